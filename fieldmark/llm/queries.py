@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, chat, media, pii, urltrust, warc
+from fieldmark.llm import bpe, chat, media, neardup, pii, urltrust, warc
 from fieldmark.llm.common import table
 
 #: The place of the tokenizer's ranks and its pattern are parameters; the defaults are those of the contract.
@@ -34,6 +34,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltrust.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,6 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_images(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op6_url_filters, op7_warc, op8_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op6_url_filters, op7_warc, op8_media_columns)}
 
 ORACLE_SQL: dict[str, str] = {}
