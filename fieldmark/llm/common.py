@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Tables of up to this many rows of a few numbers (some 20 MB) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +66,21 @@ def drop_table(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def if_small(few: DataFrame, most_rows: int = BROADCAST_IDS) -> DataFrame:
+    """few, marked for broadcast if it has at most so many rows; it should be a stored table of narrow rows."""
+    return F.broadcast(few) if few.count() <= most_rows else few
+
+
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids: by broadcast where ids are few, by a shuffle otherwise."""
+    return docs.join(if_small(ids), "doc_id", "left_semi")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't in ids, as of_ids; a null doc_id stays."""
+    return docs.join(if_small(ids), "doc_id", "left_anti")
+
+
 def small_batches(rows: int, column: str, most_bytes: int = 16 << 20):
     """A splitter of Arrow batches: pieces of at most so many rows, and of about so many bytes in one column."""
 

@@ -30,13 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import drop_table, map_rows, materialize
+from fieldmark.llm.common import drop_table, map_rows, materialize, of_ids
 from fieldmark.llm.components import components
 
 SAMPLES, ROWS, BITS, SKETCH_CUT = 112, 4, 256, 0.5
 LEADER_ROUNDS, PAIRS_PER_MEMBER = 4, 16
-#: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 CACHE_ENTRIES, CACHE_BYTES = 150_000, 40
 
 _RNG = np.random.default_rng(20240229)
@@ -134,16 +132,6 @@ def _flips(a: Column, b: Column) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(BITS // 64)])
 
 
-def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids: by broadcast where ids are few, by a shuffle otherwise."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id isn't in ids, as of_ids; a null doc_id stays."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
-
-
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of documents whose full sets have that similarity."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
