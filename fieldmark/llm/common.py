@@ -31,6 +31,22 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, as a lambda's variable."""
+    return F.transform(F.array(value), use)[0]
+
+
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of a text's lower-cased words, in order; null text has none."""
+    parts = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), WORD_SPLIT), lambda w: w != "")
+    return F.transform(parts, lambda w: F.xxhash64(w))
+
+
+def runs_of(hashes: Column, words: int) -> Column:
+    """Hashes of all runs of so many words, given at least that many word hashes."""
+    return F.transform(F.sequence(F.lit(0), F.size(hashes) - words), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(words)]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 

@@ -1,7 +1,8 @@
 """Connected components of a graph of links, by alternating large-star and small-star steps.
 
 Each step is one pre-aggregated minimum and one join over the links. Both results are written to the shared
-folder, so that the join has plain exchanges on both sides and may split a node with very many links; the number of steps grows with the logarithm of the longest path. Links and labels stay in tables.
+folder, so that the join has plain exchanges on both sides and may split a node with very many links. The
+number of steps grows with the logarithm of the longest path. Links and labels stay in tables.
 """
 
 from __future__ import annotations

@@ -20,28 +20,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import WORD_SPLIT, if_small, lower_ascii, materialize
+from fieldmark.llm.common import bind, if_small, materialize, runs_of, word_hashes
 
 WORDS, CONTAINED, SAMPLES, NEEDED = 5, 0.8, 24, 8
 #: So many samples (some 40 bytes each) or items (their full sets) at most are broadcast.
 BROADCAST_SAMPLES, BROADCAST_ITEMS = 200_000, 5_000
 
 
-def _bind(value: Column, use) -> Column:
-    """use(value) with value computed once, as a lambda's variable."""
-    return F.transform(F.array(value), use)[0]
-
-
 def shingle_set(text: Column, words: int = WORDS) -> Column:
     """Distinct 64-bit hashes of a text's word shingles."""
-    parts = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), WORD_SPLIT), lambda w: w != "")
 
     def of_hashes(h: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(h) - words), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
         whole = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(F.size(h) >= words, runs).otherwise(whole)
+        return F.when(F.size(h) >= words, runs_of(h, words)).otherwise(whole)
 
-    return F.array_distinct(_bind(F.transform(parts, lambda w: F.xxhash64(w)), of_hashes))
+    return F.array_distinct(bind(word_hashes(text), of_hashes))
 
 
 def min_samples(shingles: Column, samples: int = SAMPLES) -> Column:
