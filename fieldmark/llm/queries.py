@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, chat, decontam, media, neardup, pii, quality, urltrust, warc
+from fieldmark.llm import bpe, chat, decontam, grulm, media, neardup, pii, quality, urltrust, warc
 from fieldmark.llm.common import table
 
 #: The place of the tokenizer's ranks and its pattern are parameters; the defaults are those of the contract.
@@ -60,6 +60,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grulm.log_likelihoods(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination, op10_lm_scores)}
 
 ORACLE_SQL: dict[str, str] = {}
