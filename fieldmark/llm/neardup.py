@@ -1,16 +1,20 @@
 """Near-duplicates by MinHash with odd sketches.
 
-Each document becomes the set of its distinct word shingles. Documents with equal sets form a class, and only
-the class with its smallest id goes on. A class has ``SAMPLES`` MinHash values; bands of ``ROWS`` of them are bucket
-keys, and the values, each with its position, are folded into a bitmap of ``BITS`` bits by parity: the odd sketch.
-The population count m of two sketches' XOR gives the similarity 1 + BITS / (4 SAMPLES) * ln(1 - 2 m / BITS), most
-precisely where it is high, so it discards bucket mates below ``SKETCH_CUT`` for a few bytes each. Those that are left
-are confirmed on full sets.
-
-A bucket never gives all its pairs: its members meet a leader first, links become components, and further
-rounds compare only members of one bucket that are in different components still: first with more leaders,
-and once few pairs can be left, or after ``LEADER_ROUNDS``, each with each. So every candidate pair is compared
-or already joined through others, without a cap, and a group of n copies costs about n comparisons.
+Each document becomes the set of its distinct word shingles; documents with equal sets form a class, whose smallest id
+goes on. A class has ``SAMPLES`` MinHash values. Bands of ``ROWS`` of them are bucket keys, and the values, each with its
+position, are folded into a bitmap by parity: the odd sketch. The population count m of two sketches' XOR gives the
+similarity 1 + BITS / (4 SAMPLES) * ln(1 - 2 m / BITS). A second bitmap folds the whole set: there m never exceeds the
+symmetric difference, so it refutes pairs for certain. Bucket mates that both bitmaps admit are confirmed on full sets.
+
+Before buckets are built, documents are left out that can be no near-duplicate: a shingle that no other class has
+can't be shared, so a set with more than a fifth of such shingles (for 80 percent) is similar to no other. That is
+counted on a hash sample of each set first, with a margin of ``SURE`` deviations, and then on the full sets of those
+that are left; the same counts bound the overlap of a pair. A passage that many documents share ends here.
+
+A bucket never gives all its pairs. Its members meet a leader first, the one with the fewest shingles of its own, links
+become components, and after that only members of different components are compared, those outside the bucket's largest
+component with all others, by the bitmaps and bounds inside the join. No pair is left out by a cap. Where these
+comparisons would be many for each member, rounds with more leaders come before.
 
 Two sets with similarity 0.8 share no band with a probability of (1 - 0.8 ** ROWS) ** (SAMPLES / ROWS) = 4e-7.
 
@@ -30,11 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import drop_table, map_rows, materialize, of_ids
+from fieldmark.llm.common import drop_table, if_small, map_rows, materialize, of_ids
 from fieldmark.llm.components import components
 
-SAMPLES, ROWS, BITS, SKETCH_CUT = 112, 4, 256, 0.5
-LEADER_ROUNDS, PAIRS_PER_MEMBER = 4, 16
+SAMPLES, ROWS, BITS, SKETCH_CUT, WHOLE_BITS = 112, 4, 256, 0.5, 1024
+#: A set's own hash sample has OWN to 2 OWN shingles (all of a small set); SURE is in standard deviations.
+OWN, SURE = 32, 6
+LEADER_ROUNDS, COMPARED_PER_MEMBER = 4, 1000
 CACHE_ENTRIES, CACHE_BYTES = 150_000, 40
 
 _RNG = np.random.default_rng(20240229)
@@ -96,6 +102,12 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """WHOLE_BITS bits as 64-bit integers: each shingle flips one."""
+    odd = np.bincount((mixed(shingles + _STEP) % np.uint64(WHOLE_BITS)).astype(np.int64), minlength=WHOLE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
     m = int(np.bitwise_count(a ^ b).sum())
     return 1 + BITS / (4 * SAMPLES) * float(np.log(max(1e-9, 1 - 2 * m / BITS)))
@@ -106,36 +118,59 @@ def most_flips(cut: float = SKETCH_CUT) -> int:
     return int(BITS / 2 * (1 - np.exp((cut - 1) * 4 * SAMPLES / BITS)))
 
 
+def hash_sample(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """The least hashes of a sorted set and how many of them are its own sample; the rest answers for sets half its size.
+
+    The part of the hash range follows from the size's power of two, so similar sets sample the same part.
+    """
+    n = len(shingles)
+    share = min(1.0, OWN / (1 << (n.bit_length() - 1)))
+    upto = lambda part: n if part >= 1 else int(np.searchsorted(shingles, np.uint64(int(part * 2**64))))
+    return shingles[: upto(2 * share)], upto(share)
+
+
+SKETCH = "doc_id long, n_shingles long, class binary, bands array<long>, odd array<long>, whole array<long>, sample array<long>, own int"
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, class (a digest of the set; null without shingles), bands and odd sketch."""
+    """doc_id, n_shingles, class (a digest of the set; null without shingles), bands, both bitmaps and the hash sample."""
+    names = [x.split()[0] for x in SKETCH.split(", ")][1:]
 
     def make():
         shingle = Shingler(words)
 
+        def row(text) -> tuple:
+            found = shingle(text)
+            if not len(found):
+                return (0, *[None] * 6)
+            least = minhashes(found)
+            sample, own = hash_sample(found)
+            return (len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), band_keys(least), odd_sketch(least), parity_sketch(found), sample.view(np.int64), own)
+
         def work(batch: pa.RecordBatch) -> dict:
-            out: dict = {"doc_id": batch.column("doc_id"), "n_shingles": [], "class": [], "bands": [], "odd": []}
-            for t in batch.column("text"):
-                found = shingle(t.as_py())
-                least = minhashes(found) if len(found) else None
-                out["n_shingles"].append(len(found))
-                out["class"].append(None if least is None else hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                out["bands"].append(None if least is None else band_keys(least))
-                out["odd"].append(None if least is None else odd_sketch(least))
-            return out
+            return {"doc_id": batch.column("doc_id")} | dict(zip(names, zip(*[row(t.as_py()) for t in batch.column("text")])))
 
         return work
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n_shingles long, class binary, bands array<long>, odd array<long>", make, "text")
+    return map_rows(docs, ["doc_id", "text"], SKETCH, make, "text", 1000)
+
+
+def _flips(a: Column, b: Column, bits: int) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(bits // 64)])
 
 
-def _flips(a: Column, b: Column) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(BITS // 64)])
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes, own shingles and both bitmaps of the rows x and y allow that similarity."""
+    c = lambda k, n: F.col(f"{k}.{n}")
+    sizes = c(x, "n") + c(y, "n")
+    shared = F.least(c(x, "n") - c(x, "u"), c(y, "n") - c(y, "u"))
+    bound = 100 * shared >= percent * (sizes - shared)
+    whole = _flips(c(x, "whole"), c(y, "whole"), WHOLE_BITS) * (100 + percent) <= (100 - percent) * sizes
+    return bound & whole & (_flips(c(x, "odd"), c(y, "odd"), BITS) <= most_flips(min(SKETCH_CUT, percent / 100 - 0.3)))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of documents whose full sets have that similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(of_ids(docs.select("doc_id", "text"), materialize(ids, "pair-ids")), "pair-texts")
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
@@ -160,21 +195,57 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return materialize(map_rows(both, ["a", "b", "text_a", "text_b"], "a long, b long", make, "text_b"), "confirmed")
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose sizes and odd sketches allow that similarity."""
-    side = lambda k: classes.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}"))
-    both = pairs.distinct().join(side("b"), "b").join(side("a"), "a")
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return both.where(sizes & (_flips(F.col("odd_a"), F.col("odd_b")) <= most_flips(min(SKETCH_CUT, percent / 100 - 0.3)))).select("a", "b")
+def _singular(rows: DataFrame) -> DataFrame:
+    """(doc_id, u): how many of each document's rows (doc_id, h, own) that are its own no other document has."""
+    once = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("own").alias("own")).where("n = 1 AND own")
+    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
 
 
-def _led(members: DataFrame, leaders: int, salt: int) -> DataFrame:
-    """Pairs of each member of a bucket with the bucket's leaders; leaders are the first by a hash in each of so many slots."""
-    order = F.struct(F.xxhash64("id", F.lit(salt)).alias("h"), F.col("id").alias("id"), F.col("component").alias("c"))
-    slots = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("slot"))
-    led = slots.agg(F.min(order).alias("l")).select("bucket", F.col("l.id").alias("leader"), F.col("l.c").alias("c"))
-    joined = members.join(materialize(led, "leaders"), "bucket").where("component <> c")
-    return joined.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+def linkable(classes: DataFrame, percent: int) -> DataFrame:
+    """(doc_id) of the classes that may be similar to another, judged on hash samples."""
+    own = (F.col("pos") < F.col("own")).alias("own")
+    drawn = classes.select("doc_id", F.col("own"), F.posexplode("sample").alias("pos", "h")).select("doc_id", "h", own)
+    share = 1 - percent / 100
+    most = F.col("own") * share + SURE * F.sqrt(F.col("own") * share * (1 - share))
+    # a sample that is the whole set needs no margin
+    most = F.when(F.col("own") == F.col("n_shingles"), F.col("n_shingles") * share + 1e-9).otherwise(most)
+    return classes.select("doc_id", "n_shingles", "own").join(_singular(drawn), "doc_id", "left").where(F.coalesce("u", F.lit(0)) <= most).select("doc_id")
+
+
+def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
+    def make():
+        shingle = Shingler(words)
+
+        def work(batch: pa.RecordBatch) -> dict:
+            sets = [shingle(t.as_py()).view(np.int64) for t in batch.column("text")]
+            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in sets])
+            return {"doc_id": ids, "h": np.concatenate(sets), "own": np.ones(len(ids), bool)}
+
+        return work
+
+    return map_rows(texts, ["doc_id", "text"], "doc_id long, h long, own boolean", make, "text", 500)
+
+
+ATTRIBUTES = ("id", "component", "n", "u", "odd", "whole")
+
+
+def _led(members: DataFrame, leaders: int, percent: int) -> DataFrame:
+    """Pairs of members of a bucket with its leaders that may be links; a leader has the least share of own shingles in its slot."""
+    order = F.struct((F.col("u") / F.col("n")).alias("rank"), *ATTRIBUTES)
+    slot = F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("slot")
+    led = members.groupBy("bucket", slot).agg(F.min(order).alias("l")).select("bucket", "l.*")
+    led = materialize(led, "leaders").alias("y")
+    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
+    return members.alias("x").join(led, meet & may_link("x", "y", percent))
+
+
+def _rest(members: DataFrame, main: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's members in different components that may be links; one at least is outside the bucket's largest."""
+    whose = materialize(members.join(main, "bucket"), "bucket-members")
+    x, y = whose.where("component <> main").alias("x"), whose.alias("y")
+    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    return x.join(y, meet & once & may_link("x", "y", percent))
 
 
 def _split_buckets(members: DataFrame) -> DataFrame:
@@ -183,49 +254,57 @@ def _split_buckets(members: DataFrame) -> DataFrame:
     return materialize(members.join(materialize(several, "split-buckets"), "bucket", "left_semi"), "bucket-members")
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, component) of the classes that are linked with others."""
-    members = classes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
-    members = _split_buckets(members)
+def link_classes(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) of the nodes (doc_id, n, u, bands, odd, whole) that are linked with others."""
+    named = nodes.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"), "n", "u", "odd", "whole", "bands")
+    exploded = lambda df: df.select(*ATTRIBUTES, F.explode("bands").alias("bucket"))
+    members = _split_buckets(exploded(named))
     links = labels = None
-    for turn in range(1, 100):
-        per = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        total, cross = per.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
+    for turn in range(1, LEADER_ROUNDS + 3):
+        sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+        main = materialize(sizes.agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).select("bucket", "all", F.col("top.component").alias("main"), F.col("top.n").alias("most")), "bucket-sizes")
+        total, compared = main.agg(F.sum("all"), F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()
         if not total:
             break
-        final = cross <= PAIRS_PER_MEMBER * total or turn > LEADER_ROUNDS
-        if final:
-            x, y = members.alias("x"), members.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")))
-            pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        else:
-            pairs = _led(members, 4 ** (turn - 1), turn)
-        pairs = materialize(_sketched(pairs, classes, percent), "pairs")
-        found = confirm(pairs, docs, words, percent)
+        final = turn > 1 and (compared <= COMPARED_PER_MEMBER * total or turn > LEADER_ROUNDS)
+        pairs = _rest(members, main.select("bucket", "main"), percent) if final else _led(members, 4 ** (turn - 1), percent)
+        pairs = materialize(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
+        found = confirm(pairs, texts, words, percent)
         links = found if links is None else links.unionByName(found)
         labels = materialize(components(links), "labels")
         if final:
             break
-        named = labels.withColumnRenamed("component", "now")
-        moved = members.join(named, "id", "left").select("bucket", "id", F.coalesce("now", "id").alias("component"))
-        old, members = members, _split_buckets(moved)
+        # labels go to the nodes, which then deal out their bands again
+        moved = named.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        old, members = members, _split_buckets(exploded(moved))
         drop_table(old)
-    return labels if labels is not None else classes.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).limit(0)
+    return labels if labels is not None else nodes.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).limit(0)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of its group) and kept (it is that document) of every row."""
+    docs = docs.select("doc_id", "text")
     all_docs = materialize(sketches(docs, words), "sketches")
-    row = F.min(F.struct("doc_id", "n_shingles", "bands", "odd")).alias("r")
-    classes = materialize(all_docs.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(row).select("class", "r.*"), "classes")
+    known = all_docs.where("class IS NOT NULL AND doc_id IS NOT NULL")
+    # classes of several documents are few beside all; the others stand for themselves
+    several = known.groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
+    several = materialize(several, "classes")
+    classes = known.join(if_small(several), "class", "left").where(F.coalesce("first", "doc_id") == F.col("doc_id"))
+    ids = materialize(linkable(classes, percent), "linkable")
+    texts = materialize(of_ids(docs, ids), "linkable-texts")
+    singular = materialize(_singular(shingle_rows(texts, words)), "singular")
+    u = F.coalesce("u", F.lit(0))
+    nodes = of_ids(known, ids).join(singular, "doc_id", "left").where(100 * u <= (100 - percent) * F.col("n_shingles"))
+    nodes = materialize(nodes.select("doc_id", F.col("n_shingles").alias("n"), u.alias("u"), "bands", "odd", "whole"), "nodes")
+    labels = link_classes(nodes, texts, words, percent)
+    firsts = known.select("doc_id", "class").join(if_small(several), "class", "left").select("class", "doc_id", F.coalesce("first", "doc_id").alias("id"))
     # one node for each id: different texts under one id are one document
-    labels = link_classes(classes, docs, words, percent)
-    same_id = all_docs.where("class IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    same_id = materialize(firsts.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("doc_id"), "same-ids")
     if not same_id.isEmpty():
-        firsts = all_docs.join(same_id.select("doc_id"), "doc_id", "left_semi").join(classes.select("class", F.col("doc_id").alias("first")), "class")
-        extra = firsts.select(F.least("doc_id", "first").alias("a"), F.greatest("doc_id", "first").alias("b"))
+        extra = of_ids(firsts, same_id).select(F.least("doc_id", "id").alias("a"), F.greatest("doc_id", "id").alias("b"))
         labels = materialize(components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(extra)), "labels")
-    named = classes.select("class", F.col("doc_id").alias("id")).join(labels, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
-    joined = all_docs.select("doc_id", "n_shingles", "class").join(materialize(named, "class-labels"), "class", "left")
-    component = F.coalesce("component_id", "doc_id")
+    named = several.select("class", "first")
+    joined = all_docs.select("doc_id", "n_shingles", "class").join(if_small(named), "class", "left").withColumn("id", F.coalesce("first", "doc_id"))
+    joined = joined.join(if_small(labels), "id", "left")
+    component = F.coalesce("component", "id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
