@@ -1,6 +1,269 @@
-"""All queries of the library by name, and SQL that gives the same rows."""
+"""All queries of the library by name, over the plain tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldmark.functions import display, rules, text
+from fieldmark.functions import geometry as g
+from fieldmark.operators import boxes, extract, imaging, inference, merge, parsing, scoring, textfields
+from fieldmark.plans import fixtures
+from fieldmark.plans.oracle import ORACLE
+from fieldmark.schemas import ARABIC, FIELDS
+from fieldmark.settings import Settings
+from fieldmark.sources import readers, writers
+from fieldmark.sources.tables import card_pairs, card_structs, derived, table, truth_cards
+
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = ORACLE
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.merge_passes(card_pairs(spark, sf_dir), fixtures.AS_OF, flat=True)
+
+
+@query
+def validate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.long_fields(_merged(spark, sf_dir), "doc_id")
+
+
+@query
+def agreement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _merged(spark, sf_dir).select("doc_id", "agreement.*")
+    return counts.withColumn("label", display.agreement_label(F.col("matched"), F.col("compared")))
+
+
+@query
+def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.long_fields(_merged(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def found_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.status_counts(_merged(spark, sf_dir), "doc_id").select("doc_id", (F.col("ok") + F.col("review")).alias("found"))
+
+
+def _reasons(spark, sf_dir, reasons: dict) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), r.cast("string").alias("reason")) for f, r in reasons.items()])
+    return card_pairs(spark, sf_dir).select("doc_id", F.explode(F.filter(rows, lambda x: x["reason"].isNotNull())).alias("r")).select("doc_id", "r.*")
+
+
+@query
+def format_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasons(spark, sf_dir, {f: rules.format_reason(f, F.col(f"a_{f}")) for f in FIELDS})
+
+
+@query
+def arabic_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasons(spark, sf_dir, {f: rules.arabic_reason(f, F.col(f"a_{f}_ar")) for f in ARABIC})
+
+
+@query
+def cross_field_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasons(spark, sf_dir, rules.cross_reasons(F.col("a_date_of_birth"), F.col("a_expiry_date"), F.lit(fixtures.AS_OF).cast("date")))
+
+
+@query
+def nationality_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([(n,) for n in rules.NATIONALITIES], "value string")
+    return readers.unknown_values(card_pairs(spark, sf_dir).select("doc_id", F.col("a_nationality").alias("nationality")), "nationality", known)
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = [F.struct(F.lit(f).alias("field"), F.col(f).alias("want"), (F.col(f"{f}_ar") if f in ARABIC else F.lit(None).cast("string")).alias("want_ar")) for f in FIELDS]
+    truth = truth_cards(spark, sf_dir).select("doc_id", F.explode(F.array(*wanted)).alias("w")).select("doc_id", "w.*")
+    return scoring.compare(validate_cards(spark, sf_dir), truth, "doc_id")
+
+
+@query
+def per_field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.per_field(_compared(spark, sf_dir))
+
+
+@query
+def silent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.silent_errors(_compared(spark, sf_dir), "doc_id")
+
+
+@query
+def silent_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.silent_error_rate(_compared(spark, sf_dir))
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = {k: F.lit(v) for k, v in {"pw": 1000, "ph": 600, "w": 2000, "h": 1200}.items()}
+    return derived(spark, sf_dir, fixtures.BOXES, "lineitem").withColumns(sizes)
+
+
+@query
+def box_shared_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.shared_claims(_boxes(spark, sf_dir), "doc_id").select("doc_id", "field", "claims")
+
+
+@query
+def box_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = [g.rescaled(F.col(c), F.col("p" + s), F.col(s)).alias(c) for c, s in zip(boxes.CORNERS, "whwh")]
+    return _boxes(spark, sf_dir).select("doc_id", "field", *scaled)
+
+
+@query
+def box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.filter_boxes(_boxes(spark, sf_dir), "doc_id")
+
+
+@query
+def iou_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _boxes(spark, sf_dir)
+    shift = F.col("doc_id") % 40
+    edge = {"x1": F.col("x1") + shift, "y1": F.col("y1"), "x2": F.col("x2") + shift, "y2": F.col("y2")}
+    true = F.struct(*[(2 * v).cast("int").alias(k) for k, v in edge.items()])
+    truth = raw.where(F.col("field").isin(*FIELDS) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).select("doc_id", "field", true.alias("true_box"))
+    return scoring.box_counts(boxes.attach_boxes(truth, boxes.filter_boxes(raw, "doc_id"), "doc_id"))
+
+
+@query
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.latency_summary(derived(spark, sf_dir, fixtures.LATENCY, "events"))
+
+
+def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, fixtures.TEXT, "documents")
+
+
+@query
+def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = textfields.extract_text_fields(_text(spark, sf_dir))
+    keys = [k for k, _ in textfields.LABELS]
+    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*").where(F.col("key").isin(*keys))
+
+
+@query
+def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dates = _text(spark, sf_dir).select("doc_id", textfields.dates_of(F.col("text")).alias("d")).where(F.size("d") > 0)
+    return dates.select("doc_id", F.get("d", F.lit(0)).alias("first_date"), F.get("d", F.lit(1)).alias("second_date"))
+
+
+def _first(spark, sf_dir, pattern: str, name: str) -> DataFrame:
+    return _text(spark, sf_dir).select("doc_id", textfields.first_of(F.col("text"), pattern).alias(name)).where(F.col(name).isNotNull())
+
+
+@query
+def text_long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir, textfields.LONG_NUMBER, "number")
+
+
+@query
+def text_mrz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir, textfields.MACHINE_LINE, "machine_line")
+
+
+@query
+def text_caps_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text(spark, sf_dir).select("doc_id", textfields.capitals_line(textfields.lines_of(F.col("text"))).alias("name")).where("name IS NOT NULL")
+
+
+@query
+def text_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir, textfields.EMAIL, "email")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with words and confidences that follow from their places."""
+    sure = lambda w, i: F.struct(w.alias("text"), (F.lit(50.0) + (F.col("doc_id") * 7 + i * 13) % 50).alias("confidence"))
+    return _text(spark, sf_dir).withColumn("words", F.transform(F.split("text", " "), sure))
+
+
+@query
+def word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _words(spark, sf_dir).withColumn("value", textfields.first_label(textfields.lines_of(F.col("text")), textfields.LABELS[0][1]))
+    return named.select("doc_id", "value", F.round(textfields.value_confidence(F.col("value"), F.col("words")), 6).alias("confidence"))
+
+
+@query
+def mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select("doc_id", textfields.mean_confidence(F.col("words")).alias("mean_confidence"), F.size("words").alias("word_count"))
+
+
+@query
+def text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = textfields.extract_text_fields(_words(spark, sf_dir))
+    return found.select("doc_id", textfields.export_json(F.col("found"), F.col("words"), F.lit(0)).alias("json"))
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, fixtures.REPLIES, "customer")
+
+
+@query
+def strip_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replies(spark, sf_dir).select("doc_id", text.strip_fences(F.col("text")).alias("json"))
+
+
+@query
+def parse_card_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parsing.parse_card(_replies(spark, sf_dir))
+    family = F.regexp_extract("error", r"\A(not valid JSON|expected a JSON object, got \w+|does not match the card schema)", 1)
+    return parsed.select("doc_id", "card.full_name", "card.id_number", "card.sex", F.nullif(family, F.lit("")).alias("error"))
+
+
+@query
+def parse_boxes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of a document as one reply, in both forms, some of them cut off, read back."""
+    corner = [F.col(c) for c in boxes.CORNERS]
+    one = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array(*corner))).otherwise(F.to_json(F.struct(F.array(*corner).alias("bbox_2d"))))
+    pairs = F.array_join(F.collect_list(F.concat(F.lit('"'), F.col("field"), F.lit('": '), one)), ", ")
+    whole = derived(spark, sf_dir, fixtures.BOXES, "lineitem").groupBy("doc_id").agg(F.concat(F.lit("{"), pairs, F.lit("}")).alias("text"))
+    cut = F.when(F.col("doc_id") % 7 == 3, F.substring("text", 1, 12)).otherwise(F.col("text"))
+    return parsing.parse_boxes(whole.select("doc_id", cut.alias("text")), "text", "doc_id")
+
+
+@query
+def retry_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that can't be parsed are asked for again; every other second reply can't be parsed either."""
+    first = _replies(spark, sf_dir).select("doc_id", F.lit("A").alias("reading"), F.lit(1).alias("attempt"), "text")
+    engine = inference.ExpressionEngine(lambda _: F.when(F.col("doc_id") % 2 == 0, '{"full_name": "RETRIED"}').otherwise("still no card"))
+    resolved = extract.resolve_replies(engine, first)
+    return resolved.select("doc_id", F.col("a.full_name").alias("full_name"), F.col("error").isNotNull().alias("was_retried"), F.col("a").isNull().alias("all_missing"))
+
+
+@query
+def resize_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imaging.resize_policy(derived(spark, sf_dir, fixtures.SIZES, "documents")).select("doc_id", "out_w", "out_h")
+
+
+@query
+def props_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of small JSON objects; a stand-in, as the tables hold no replies."""
+    return table(spark, sf_dir, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
+
+
+@query
+def page_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.escape_html(F.col("html")).alias("escaped"))
+
+
+@query
+def display_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate_cards(spark, sf_dir).select("doc_id", "field", display.field_label(F.col("field")).alias("label"), display.status_class(F.col("status")).alias("class"))
+
+
+@query
+def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole extraction over scripted replies, as JSON responses: what the pipeline gives for every document."""
+    pairs = card_structs(card_pairs(spark, sf_dir))
+    keep_nulls = {"ignoreNullFields": "false"}
+    said = lambda r, c: F.struct(F.lit(r).alias("reading"), c.alias("text"))
+    box = F.concat(F.lit('{"full_name": [100, 50, 400, '), (F.lit(80) + F.col("doc_id") % 20).cast("string"), F.lit("]}"))
+    rows = F.array(said("A", F.to_json("a", keep_nulls)), said("B", F.coalesce(F.to_json("b", keep_nulls), F.lit("nothing"))), said("C", box))
+    replies = pairs.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
+    again = replies.where("reading = 'B' AND text = 'nothing'")
+    script = replies.withColumn("attempt", F.lit(1)).unionByName(again.withColumn("attempt", F.lit(2)))
+    docs = pairs.select("doc_id", F.lit(1000).alias("pw"), F.lit(600).alias("ph"), F.lit(2000).alias("w"), F.lit(1200).alias("h"))
+    responses = extract.extract(docs, inference.ScriptedEngine(script), Settings(), fixtures.AS_OF)
+    return writers.response_json(responses)
