@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Unicode white space; the four separators U+001C to U+001F count as white space too.
 SPACE = r"[\s\x1C-\x1F]"
@@ -23,7 +24,7 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(strip(c), rf"(?U){SPACE}+", " ")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _folded(lists: pd.Series) -> pd.Series:
     fold = lambda s: None if s is None else " ".join(unicodedata.normalize("NFC", s).split()).casefold()
     return lists.map(lambda row: None if row is None else [fold(s) for s in row])

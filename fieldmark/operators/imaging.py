@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldmark.functions import geometry as g
 
@@ -30,7 +31,7 @@ def contrast_pixels(data: bytes, height: int, width: int, channels: int) -> byte
     return np.repeat(stretched[:, :, None], 3, axis=2).tobytes()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _contrast(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for data, height, width, channels in parts:
         yield pd.Series([None if d is None or h <= 0 or w <= 0 else contrast_pixels(d, h, w, c) for d, h, w, c in zip(data, height, width, channels)])

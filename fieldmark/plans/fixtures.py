@@ -92,7 +92,7 @@ SELECT doc_id,
 FROM documents"""
 
 SIZES = "SELECT doc_id, CAST(300 + doc_id % 2400 AS INT) AS w, CAST(200 + doc_id % 1500 AS INT) AS h FROM documents"
-LATENCY = "SELECT CAST(value * 100 AS INT) AS elapsed_ms FROM events"
+LATENCY = "SELECT CAST(floor(value * 100) AS INT) AS elapsed_ms FROM events"
 
 #: The relations that cards need, as a WITH list.
 CARDS = f"t AS ({TRUTH}), a AS ({FIRST}), b AS ({SECOND})"

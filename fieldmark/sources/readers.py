@@ -34,9 +34,11 @@ def require_content(df: DataFrame, column: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """image, fields, boxes from one JSON object of images, in UTF-8, over any number of lines."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", MANIFEST)).alias("image", "t")).select("image", "t.fields", "t.boxes")
+    """image, fields, boxes from JSON objects of images, in UTF-8: one over any number of lines, or several below each other."""
+    text = spark.read.text(path, wholetext=True)
+    # inside an object, a comma stands between "}" and "{"
+    objects = text.select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))
+    return objects.select(F.explode(F.from_json("value", MANIFEST)).alias("image", "t")).select("image", "t.fields", "t.boxes")
 
 
 def manifest_truth(manifest: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldmark.sources.readers import IMAGE_GLOB
 
 INTERVAL = "2.5 seconds"
+FILE = "path string, modificationTime timestamp, length long, content binary"
 REPLY = "doc_id long, reading string, attempt int, text string"
 
 
 def image_stream(spark: SparkSession, path: str, glob: str = IMAGE_GLOB, most_files: int = 100) -> DataFrame:
     """path, content of image files as they arrive, so many at once at most."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", most_files).load(path).select("path", "length", "content")
+    return spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", glob).option("maxFilesPerTrigger", most_files).load(path).select("path", "length", "content")
 
 
 def reply_stream(spark: SparkSession, path: str, schema: str = REPLY) -> DataFrame:

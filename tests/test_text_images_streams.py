@@ -1,0 +1,208 @@
+"""Text fields, images, sources, sinks, the model seam, the whole extraction, streams, hygiene."""
+
+import ast
+import json
+import struct
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldmark.functions import text
+from fieldmark.operators import extract, imaging, inference, metrics, textfields
+from fieldmark.schemas import CARD_KEYS, FIELDS
+from fieldmark.settings import Settings
+from fieldmark.sources import readers, writers
+from fieldmark.streaming import watch
+
+GOOD = dict(zip(CARD_KEYS, ("JOHN A SMITH", "جون سميث", "12345678", "1990-04-12", "2030-04-11", "OMANI", "عماني", "M", "ذكر")))
+
+
+def found(spark, said):
+    df = spark.createDataFrame([(said,)], "text string")
+    return [(f["key"], f["value"]) for f in textfields.extract_text_fields(df).first()["found"]]
+
+
+def test_labels_keep_the_order_of_lines_and_the_first_value(spark):
+    said = "sex: M\nName: JOHN SMITH\nname - OTHER\nid no: AB-12345\npassport no. P123456\ndob: 1/2/1990\nvalid until: 3-4-2030\ncitizenship: OMANI\nref# 1: X\ninvoice no: A/12\nTotal OMR 12.50\n"
+    assert found(spark, said) == [
+        ("Sex", "M"), ("Name", "JOHN SMITH"), ("ID number", "AB-12345"), ("Passport no", "P123456"), ("Date of birth", "1/2/1990"), ("Expiry date", "3-4-2030"), ("Nationality", "OMANI"),
+        ("Reference", "A/12"), ("Total", "OMR 12.50"), ("Date found", "1/2/1990"), ("Date found (2)", "3-4-2030"),
+    ]
+
+
+def test_fallbacks(spark):
+    said = "JOHN O'NEIL-SMITH\r\nP<OMNSMITH<<JOHN<<<<<<<<<<<<<\r\n call 1234567 or 7654321\na.b+c@d-e.co.uk"
+    assert found(spark, said) == [("Number", "1234567"), ("Machine-readable line", "P<OMNSMITH<<JOHN<<<<<<<<<<<<<"), ("Name (uncertain)", "JOHN O'NEIL-SMITH"), ("Email", "a.b+c@d-e.co.uk")]
+    assert found(spark, "") == [] and found(spark, "éname: X") == [("Name", "X")]
+
+
+def test_confidence(spark):
+    words = [("John,", 90.0), ("SMITH", 80.0), ("other", 10.0)]
+    df = spark.createDataFrame([("JOHN smith", words), ("nobody", words), ("x", [])], "value string, words array<struct<text:string,confidence:double>>")
+    got = df.select(textfields.value_confidence(F.col("value"), F.col("words")), textfields.mean_confidence(F.col("words"))).collect()
+    assert [tuple(r) for r in got] == [(85.0, 60), (None, 60), (None, None)]
+    export = json.loads(df.limit(1).select(textfields.export_json(F.array(F.struct(F.lit("Name").alias("key"), F.col("value"))), F.col("words"), F.lit(7))).first()[0])
+    assert export == {"fields": {"Name": "JOHN smith"}, "meanConfidence": 60, "wordCount": 3, "elapsedMs": 7}
+
+
+def test_strings(spark):
+    df = spark.createDataFrame([("  a b\x1c",), ("<a href='x'>\"&amp;\"</a>",)], "s string")
+    assert [r[0] for r in df.select(text.collapse(F.col("s"))).collect()][0] == "a b"
+    assert df.select(text.escape_html(F.col("s"))).collect()[1][0] == "&lt;a href=&#39;x&#39;&gt;&quot;&amp;amp;&quot;&lt;/a&gt;"
+
+
+def png(pixels: np.ndarray) -> bytes:
+    h, w, _ = pixels.shape
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    d = tmp_path_factory.mktemp("images")
+    ramp = np.zeros((8, 8, 3), np.uint8)
+    ramp[:, :, 0] = np.arange(100, 164, 8)
+    (d / "ramp.png").write_bytes(png(ramp))
+    (d / "flat.png").write_bytes(png(np.full((4, 4, 3), 128, np.uint8)))
+    (d / "broken.png").write_bytes(b"hello")
+    (d / "notes.txt").write_text("no image")
+    return d
+
+
+def test_images(spark, folder):
+    images = readers.read_images(spark, str(folder))
+    assert {r[0] for r in readers.rejects(images).select("name").collect()} == {"broken.png"}
+    got = {r["name"]: np.frombuffer(r["contrast"], np.uint8).reshape(r["image"]["height"], r["image"]["width"], 3) for r in imaging.contrast_normalise(readers.readable(images)).collect()}
+    assert set(got) == {"ramp.png", "flat.png"} and got["flat.png"].max() == 0
+    assert got["ramp.png"].min() == 0 and got["ramp.png"].max() == 255 and (np.diff(got["ramp.png"][0, :, 0].astype(int)) > 0).all()
+    assert (got["ramp.png"][:, :, 0] == got["ramp.png"][:, :, 2]).all()
+
+
+def test_manifest(spark, tmp_path, folder):
+    cards = readers.synthetic_cards(spark)
+    assert cards.count() == 4
+    writers.write_manifest(cards, str(tmp_path / "m"))
+    back = readers.read_manifest(spark, str(tmp_path / "m"))
+    truth = readers.manifest_truth(back)
+    assert truth.count() == 24 and truth.where("true_box IS NULL OR want IS NULL").count() == 0
+    (tmp_path / "one.json").write_text(json.dumps({"flat.png": {"fields": {"sex": "M"}, "boxes": {}}, "gone.png": {"fields": {}, "boxes": {}}}, indent=2))
+    one = readers.read_manifest(spark, str(tmp_path / "one.json"))
+    assert readers.manifest_truth(one).where("image = 'flat.png' AND want = 'M'").count() == 1
+    images = readers.read_images(spark, str(folder))
+    with pytest.raises(Exception, match="no file for gone.png"):
+        readers.manifest_images(one, images).collect()
+
+
+def test_line_list(spark, tmp_path):
+    (tmp_path / "list.txt").write_text(" omani \n\nINDIAN\nOmani\n")
+    known = readers.read_lines(spark, str(tmp_path / "list.txt"))
+    assert {r[0] for r in known.collect()} == {"OMANI", "INDIAN"}
+    df = spark.createDataFrame([("omani",), ("X",), (None,)], "n string")
+    assert [r[0] for r in readers.unknown_values(df, "n", known).collect()] == ["X"]
+
+
+def responses(spark, script, settings=Settings(), docs=((1, 1000, 600, 2000, 1200),)):
+    replies = spark.createDataFrame(script, "doc_id long, reading string, attempt int, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, pw int, ph int, w int, h int")
+    return extract.extract(frame, inference.ScriptedEngine(replies), settings, "2026-01-01")
+
+
+BOX = '{"full_name": [100, 50, 400, 90]}'
+
+
+def test_extraction(spark):
+    good = json.dumps(GOOD)
+    row = responses(spark, [(1, "A", 1, good), (1, "B", 1, good), (1, "C", 1, BOX)]).first()
+    assert set(row["fields"]) == set(FIELDS) and {f["status"] for f in row["fields"].values()} == {"ok"}
+    assert tuple(row["fields"]["full_name"]["box"]) == (200, 100, 800, 180) and row["fields"]["sex"]["box"] is None and row["raw_text"] == good
+
+
+def test_retries(spark):
+    good = json.dumps(GOOD)
+    row = responses(spark, [(1, "A", 1, "no json"), (1, "A", 2, good), (1, "B", 1, "bad"), (1, "B", 2, good), (1, "C", 1, "?")]).first()
+    assert tuple(row["agreement"]) == (6, 6, 6) and row["raw_text"] == good
+    row = responses(spark, [(1, "A", 1, good), (1, "B", 1, "bad"), (1, "B", 2, "still bad"), (1, "C", 1, BOX)]).first()
+    assert {f["reason"] for f in row["fields"].values()} == {"consistency pass unavailable"}
+    # A fails twice: B isn't asked again, all is missing, the last reply is kept
+    row = responses(spark, [(1, "A", 1, "bad"), (1, "A", 2, "worse"), (1, "B", 1, "bad"), (1, "C", 1, BOX)]).first()
+    assert {k: {**f.asDict(), "box": f["box"]} for k, f in row["fields"].items()} == extract.all_missing() and tuple(row["agreement"]) == (0, 0, 6) and row["raw_text"] == "worse"
+    with pytest.raises(Exception, match="no scripted reply"):
+        responses(spark, [(1, "A", 1, "bad"), (1, "B", 1, good), (1, "C", 1, BOX)]).collect()
+
+
+def test_switches(spark):
+    good = json.dumps(GOOD)
+    row = responses(spark, [(1, "A", 1, good)], Settings(self_consistency=False, show_boxes=False)).first()
+    assert {f["status"] for f in row["fields"].values()} == {"review"} and all(f["box"] is None for f in row["fields"].values())
+
+
+def test_response_json_keeps_nulls_and_metrics_hold_no_values(spark):
+    df = responses(spark, [(1, "A", 1, json.dumps(GOOD)), (1, "B", 1, json.dumps(GOOD)), (1, "C", 1, BOX)])
+    data = json.loads(writers.response_json(df).first()["json"])
+    assert list(data["fields"]) == list(FIELDS)
+    assert data["fields"]["sex"]["box"] is None and data["fields"]["full_name"]["box"] == [200, 100, 800, 180] and data["elapsed_ms"] is None
+    line = metrics.log_line(metrics.extraction_metrics(df).first())
+    assert "ok=6" in line and "SMITH" not in line
+    with pytest.raises(ValueError, match="value"):
+        metrics.guarded(spark.createDataFrame([("x",)], "value string"))
+    with pytest.raises(PermissionError):
+        writers.write_debug_images(df, "/nowhere", Settings())
+
+
+def test_engines(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    engine = inference.BatchEngine(lambda: lambda batch: [p[:4] for p, _ in batch], "echo")
+    assert {tuple(r) for r in engine.generate(inference.requests(docs)).collect()} == {(d, r, 1, t) for d in (1, 2) for r, t in (("A", "Read"), ("B", "Read"), ("C", "Find"))}
+    assert [r["text"] for r in extract.transcribe(docs, inference.ExpressionEngine(lambda _: F.lit("  text\n"))).collect()] == ["text", "text"]
+
+    def refuse():
+        raise RuntimeError("no device")
+
+    with pytest.raises(RuntimeError):
+        inference.BatchEngine(lambda: None, "x", check=refuse).generate(inference.requests(docs))
+    info = inference.engine_info(spark, engine).first()
+    assert (info["model"], info["loaded"], info["vram_mb"]) == ("echo", True, None)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from fieldmark.operators.parsing import parse_card
+
+    rows = [{"doc_id": i, "reading": "A", "attempt": 1, "text": json.dumps(GOOD | {"id_number": str(i)})} for i in range(6)]
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows[2 * i : 2 * i + 2]))
+    handle = lambda df: parse_card(df).select("doc_id", "card.id_number")
+    q = watch.each_batch(watch.reply_stream(spark, str(tmp_path / "in")), handle, str(tmp_path / "out"), str(tmp_path / "cp"), None)
+    q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {tuple(r) for r in got.select("doc_id", "id_number").collect()} == {(i, str(i)) for i in range(6)}
+
+
+def test_image_stream(spark, tmp_path, folder):
+    q = watch.each_batch(watch.image_stream(spark, str(folder)), lambda df: df.select("path", "length"), str(tmp_path / "out"), str(tmp_path / "cp"), None)
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_settings(spark, monkeypatch):
+    monkeypatch.setenv("MAX_NEW_TOKENS", "7")
+    spark.conf.set("spark.fieldmark.self_consistency", "false")
+    try:
+        got = Settings.load(spark)
+    finally:
+        spark.conf.unset("spark.fieldmark.self_consistency")
+    assert (got.max_new_tokens, got.self_consistency, got.show_boxes) == (7, False, True)
+
+
+def test_nothing_imports_models_or_the_corpus_operators():
+    root = Path(__file__).parent.parent / "fieldmark"
+    for path in root.rglob("*.py"):
+        if "llm" in path.parts:
+            continue
+        for node in ast.walk(ast.parse(path.read_text())):
+            names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
+            assert not any(n.split(".")[0] in ("torch", "transformers", "accelerate") or n.startswith("fieldmark.llm") for n in names), path
