@@ -109,7 +109,7 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    m = int(np.bitwise_count(a ^ b).sum())
+    m = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())  # of signed numbers it counts the absolute value
     return 1 + BITS / (4 * SAMPLES) * float(np.log(max(1e-9, 1 - 2 * m / BITS)))
 
 

@@ -50,7 +50,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,27}")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = {c: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for c, n in IBAN_LENGTHS.items()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 
@@ -90,19 +91,13 @@ def _emails(text: str):
 
 
 def _ibans(text: str):
+    ended = 0
     for m in _IBAN.finditer(text):
-        need = IBAN_LENGTHS.get(m[0][:2])
-        if need is None:
-            continue
-        seen = 0
-        for i, c in enumerate(m[0]):
-            seen += c != " "
-            if seen == need:
-                end = m.start() + i + 1
-                inside = end < len(text) and text[end].isascii() and text[end].isalnum()
-                if not inside and mod97(m[0][: i + 1].replace(" ", "")):
-                    yield m.start(), end
-                break
+        rest = _IBAN_REST.get(m[0][:2])
+        whole = rest.match(text, m.end()) if rest and m.start() >= ended else None
+        if whole and mod97((m[0] + whole[0]).replace(" ", "")):
+            ended = whole.end()
+            yield m.start(), ended
 
 
 def _scored(text: str, kind: str, start: int, end: int) -> float:

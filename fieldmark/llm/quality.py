@@ -187,9 +187,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> RuleEnse
     return fit_rules(data[:, 1:], data[:, 0])
 
 
+def _scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
+    """(row, score): each row as a struct beside its score, so that no column's name can clash with a statistic's."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
+    return with_statistics(rows, "__text").select("row", model.column().alias("score"))
+
+
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """docs with score and predicted."""
-    names = docs.columns
-    taken = docs.withColumn("__text", F.col("text"))
-    scored = with_statistics(taken.select(F.struct(*names).alias("__row"), "__text"), "__text").withColumn("score", model.column())
-    return scored.select("__row.*", F.col("score"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """docs with score and predicted, in the place of columns of these names."""
+    own = [F.col(f"row.{c}") for c in docs.columns if c not in ("score", "predicted")]
+    return _scored(docs, model).select(*own, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
+    """The rows of docs that are predicted to have label 1, with all of their own columns."""
+    return _scored(docs, model).where("score >= 0.5").select("row.*")
