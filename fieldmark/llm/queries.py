@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import bpe, chat, decontam, grulm, media, neardup, pii, quality, urltrust, warc
-from fieldmark.llm.common import table
+from fieldmark.llm.common import LOWER, UPPER, table
 
 #: The place of the tokenizer's ranks and its pattern are parameters; the defaults are those of the contract.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,7 +23,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_turns(rows))
+    return chat.read_back(chat.format_turns(rows)).drop("first_invalid")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,42 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination, op10_lm_scores)}
 
-ORACLE_SQL: dict[str, str] = {}
+def _shingle_sql(table: str, key: str, words: int) -> str:
+    """Relations w (key, words) and s (key, shingle) of a table's texts."""
+    split = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    runs = f"CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i : i + {words - 1}], ' ')) END"
+    return f"{table}_w AS (SELECT {key}, {split} AS w FROM {table}), {table}_s AS (SELECT DISTINCT {key}, unnest({runs}) AS sh FROM {table}_w), {table}_n AS (SELECT {key}, count(*) AS n FROM {table}_s GROUP BY {key})"
+
+
+SAID = "'</s>[INST] ok [/INST]'"
+CONTROLS = "'\\\\|\\[SYS\\]|\\[/SYS\\]|\\[INST\\]|\\[/INST\\]|<a>|</s>|\\[ROLE\\]|\\[/ROLE\\]|\\[/TURN\\]|<s>'"
+
+#: The four that SQL can express; the others are held against brute force in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', {SAID} UNION ALL SELECT -1, 1, 'assistant', {SAID}),
+s AS (SELECT *, row_number() OVER w AS pos, coalesce(lag(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER w, '') AS before,
+  length(text) + len(regexp_extract_all(text, {CONTROLS})) + CASE role WHEN 'system' THEN 14 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 24 + length(role) + len(regexp_extract_all(role, {CONTROLS})) END AS chars
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+v AS (SELECT *, CASE before WHEN '' THEN role IN ('system', 'user') WHEN 'user' THEN role = 'assistant' ELSE role = 'user' END AS valid FROM s)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(valid) AND arg_max(role, pos) FILTER (role IN ('system', 'user', 'assistant')) = 'assistant' AS accepted
+FROM v GROUP BY conv_id""",
+    "op4_near_duplicates": f"""
+WITH RECURSIVE {_shingle_sql('documents', 'doc_id', 4)},
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM documents_s x JOIN documents_s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN documents_n x ON x.doc_id = a JOIN documents_n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN documents_n n ON n.doc_id = d.doc_id JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = d.doc_id""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM m""",
+    "op9_decontamination": f"""
+WITH {_shingle_sql('documents', 'doc_id', 5)}, {_shingle_sql('benchmark', 'item_id', 5)},
+p AS (SELECT d.doc_id, b.item_id, count(*) AS c FROM benchmark_s b JOIN documents_s d ON d.sh = b.sh GROUP BY ALL)
+SELECT p.doc_id, p.item_id, n.n AS item_shingles, c AS shared_shingles, c / CAST(n.n AS DOUBLE) AS containment FROM p JOIN benchmark_n n ON n.item_id = p.item_id WHERE c / CAST(n.n AS DOUBLE) >= 0.8""",
+}
