@@ -47,20 +47,24 @@ def runs_of(hashes: Column, words: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(hashes) - words), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(words)]))
 
 
+#: The temporary folder of a local session without a shared one.
+_stand_in: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
     A temporary folder stands in only where the setting is absent, as in tests in local mode.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _stand_in.get("dir")
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="fieldmark-")
     atexit.register(shutil.rmtree, made, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    _stand_in["dir"] = f"file://{made}"
+    return _stand_in["dir"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

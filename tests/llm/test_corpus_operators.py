@@ -324,3 +324,28 @@ def test_pipeline_stage_by_stage(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
     assert bpe.digest(empty, queries.default_coder(), keep=("lang",)).columns[-1] == "lang"
+
+
+# ---- shared folder
+
+
+def test_shared_folder(monkeypatch, spark):
+    from fieldmark.llm import common
+
+    class Session:
+        def __init__(self, master, folder=None):
+            self.sparkContext = type("Context", (), {"master": master})
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: folder if key == "spark.checkpoint.dir" else default)})
+
+    monkeypatch.setattr(common, "_stand_in", {})
+    assert common.shared_dir(Session("spark://x", "hdfs://there/")) == "hdfs://there"
+    with pytest.raises(ValueError):
+        common.shared_dir(Session("spark://x"))
+    here = common.shared_dir(Session("local[4]"))
+    assert here.startswith("file:///") and common.shared_dir(Session("local[4]")) == here
+    table = common.materialize(spark.range(3).toDF("doc_id"), "three")
+    assert table.count() == 3
+    assert common.of_ids(spark.range(5).toDF("doc_id"), table).count() == 3 and common.without_ids(spark.range(5).toDF("doc_id"), table).count() == 2
+    common.drop_table(table)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(table.inputFiles()[0]).count()
