@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from fieldmark.schemas import ARABIC, FIELDS
 from fieldmark.settings import Settings
 from fieldmark.sources import readers, writers
 from fieldmark.sources.tables import card_pairs, card_structs, derived, table, truth_cards
+from fieldmark.streaming import watch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = ORACLE
@@ -243,6 +246,48 @@ def props_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
 
 
+@query
+def box_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes that are left beside the fields that asked for one, null where none is."""
+    raw = _boxes(spark, sf_dir)
+    asked = raw.where(F.col("field").isin(*FIELDS)).select("doc_id", "field")
+    return boxes.attach_boxes(asked, boxes.filter_boxes(raw, "doc_id"), "doc_id").select("doc_id", "field", "box.*")
+
+
+@query
+def request_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first round's requests: both readings and the boxes."""
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return inference.requests(docs).select("doc_id", "reading", "attempt", "variant", F.col("prompt").contains("bbox_2d").alias("asks_for_boxes"))
+
+
+@query
+def transcriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistants' turns as the replies of an engine, stripped."""
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    script = said.select("doc_id", F.lit("T").alias("reading"), F.lit(1).alias("attempt"), F.concat(F.lit("  \n"), "text", F.lit("\t\n")).alias("text"))
+    return extract.transcribe(said.select("doc_id"), inference.ScriptedEngine(script))
+
+
+@query
+def confidence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The display of confidences, one for each event's value."""
+    c = F.when(F.col("event_id") % 10 != 0, F.pmod(F.floor(F.col("value")), F.lit(101)).cast("double"))
+    sure = table(spark, sf_dir, "events").select("event_id", c.alias("c"))
+    return sure.select("event_id", display.confidence_class(F.col("c")).alias("class"), display.confidence_label(F.col("c")).alias("label"))
+
+
+@query
+def stream_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table's files as a stream of replies, each micro-batch stripped and stored, until no file is left."""
+    schema = table(spark, sf_dir, "conversations").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/conversations.parquet*")
+    out = f"{writers.scratch(spark)}/stream-{uuid.uuid4().hex}"
+    handle = lambda df: df.where("role = 'assistant'").select("conv_id", "turn", text.strip(F.col("text")).alias("text"))
+    watch.each_batch(files, handle, f"{out}/rows", f"{out}/state", None).awaitTermination()
+    return spark.read.schema("conv_id long, turn long, text string").parquet(f"{out}/rows").select("conv_id", "turn", "text")
+
+
 @query
 def page_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.escape_html(F.col("html")).alias("escaped"))

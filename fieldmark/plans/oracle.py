@@ -148,6 +148,11 @@ ORACLE = {
     "retry_resolution": f"WITH o AS ({f.REPLY_OUTCOME}) SELECT doc_id, CASE WHEN error IS NULL THEN full_name WHEN doc_id % 2 = 0 THEN 'RETRIED' END AS full_name, error IS NOT NULL AS was_retried, error IS NOT NULL AND doc_id % 2 = 1 AS all_missing FROM o",
     "resize_policy": f"WITH z AS ({f.SIZES}), y AS (SELECT *, CASE WHEN greatest(w, h) > 1600 THEN 1600.0::DOUBLE / greatest(w, h) WHEN greatest(w, h) < 900 THEN least(2.0::DOUBLE, 900.0::DOUBLE / greatest(w, h)) ELSE 1.0::DOUBLE END AS k FROM z) SELECT doc_id, CAST(floor(w * k + 0.5) AS INT) AS out_w, CAST(floor(h * k + 0.5) AS INT) AS out_h FROM y",
     "props_parse": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "box_attach": f"{FILTERED} SELECT r.doc_id, r.field, k.x1, k.y1, k.x2, k.y2 FROM (SELECT doc_id, field FROM raw WHERE field IN ({KNOWN})) r LEFT JOIN kept k ON r.doc_id = k.doc_id AND r.field = k.field",
+    "request_fanout": "SELECT c_custkey AS doc_id, reading, 1 AS attempt, CASE reading WHEN 'B' THEN 'contrast' ELSE 'original' END AS variant, reading = 'C' AS asks_for_boxes FROM customer, (SELECT unnest(['A', 'B', 'C']) AS reading) r",
+    "transcriptions": "SELECT conv_id * 1000 + turn AS doc_id, trim(text) AS text FROM conversations WHERE role = 'assistant'",
+    "confidence_classes": "WITH e AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(floor(value) AS BIGINT) % 101 END AS c FROM events) SELECT event_id, CASE WHEN c IS NULL THEN 'mid' WHEN c >= 85 THEN 'ok' WHEN c >= 65 THEN 'mid' ELSE 'low' END AS class, CASE WHEN c IS NULL THEN 'n/a' ELSE CAST(c AS STRING) || '%' END AS label FROM e",
+    "stream_transcripts": "SELECT conv_id, turn, trim(text) AS text FROM conversations WHERE role = 'assistant'",
     "page_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages",
     "display_classes": f"{MERGED} SELECT doc_id, field, CASE field WHEN 'full_name' THEN 'Name' WHEN 'id_number' THEN 'ID number' WHEN 'date_of_birth' THEN 'Date of birth' WHEN 'expiry_date' THEN 'Expiry' WHEN 'nationality' THEN 'Nationality' ELSE 'Sex' END AS label, CASE status WHEN 'ok' THEN 'ok' WHEN 'review' THEN 'mid' ELSE 'low' END AS class FROM m",
 }

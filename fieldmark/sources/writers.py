@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.settings import Settings
 
+_stand_in: list[str] = []
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one stands in for it in local sessions without the setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _stand_in:
+        _stand_in.append(f"file://{tempfile.mkdtemp(prefix='fieldmark-')}")
+    return _stand_in[0]
+
+
 def response_json(responses: DataFrame) -> DataFrame:
     """doc_id and json; boxes are lists of four numbers there, and nulls are kept."""
     def edge(f):
