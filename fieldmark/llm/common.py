@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,23 +69,43 @@ def shared_dir(spark: SparkSession) -> str:
     return _stand_in["dir"]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the runs that are under way, the innermost last.
+_runs: ContextVar[tuple[str, ...]] = ContextVar("runs", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that materialize() writes meanwhile are deleted at the end, but for those made with outer=True."""
+    run = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    mark = _runs.set((*_runs.get(), run))
+    try:
+        yield
+    finally:
+        _runs.reset(mark)
+        _delete(spark, run)
+
+
+def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: what was computed survives the loss of executors, and the reader knows its size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    runs = _runs.get()[: -1 if outer else None]
+    path = f"{runs[-1] if runs else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote and nobody reads any more."""
-    jvm = df.sparkSession._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def if_small(few: DataFrame, most_rows: int = BROADCAST_IDS) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import drop_table, if_small, map_rows, materialize, of_ids
+from fieldmark.llm.common import drop_table, if_small, map_rows, materialize, of_ids, temporary
 from fieldmark.llm.components import components
 
 SAMPLES, ROWS, BITS, SKETCH_CUT, WHOLE_BITS = 112, 4, 256, 0.5, 1024
@@ -281,15 +281,8 @@ def link_classes(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -
     return labels if labels is not None else nodes.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).limit(0)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of its group) and kept (it is that document) of every row."""
-    docs = docs.select("doc_id", "text")
-    all_docs = materialize(sketches(docs, words), "sketches")
-    known = all_docs.where("class IS NOT NULL AND doc_id IS NOT NULL")
-    # classes of several documents are few beside all; the others stand for themselves
-    several = known.groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
-    several = materialize(several, "classes")
-    classes = known.join(if_small(several), "class", "left").where(F.coalesce("first", "doc_id") == F.col("doc_id"))
+def _labels(docs: DataFrame, known: DataFrame, several: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) of the classes' documents that are linked with others."""
     ids = materialize(linkable(classes, percent), "linkable")
     texts = materialize(of_ids(docs, ids), "linkable-texts")
     singular = materialize(_singular(shingle_rows(texts, words)), "singular")
@@ -303,6 +296,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not same_id.isEmpty():
         extra = of_ids(firsts, same_id).select(F.least("doc_id", "id").alias("a"), F.greatest("doc_id", "id").alias("b"))
         labels = materialize(components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(extra)), "labels")
+    return labels
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of its group) and kept (it is that document) of every row."""
+    docs = docs.select("doc_id", "text")
+    all_docs = materialize(sketches(docs, words), "sketches")
+    known = all_docs.where("class IS NOT NULL AND doc_id IS NOT NULL")
+    # classes of several documents are few beside all; the others stand for themselves
+    several = known.groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
+    several = materialize(several, "classes")
+    classes = known.join(if_small(several), "class", "left").where(F.coalesce("first", "doc_id") == F.col("doc_id"))
+    with temporary(docs.sparkSession):
+        labels = materialize(_labels(docs, known, several, classes, words, percent), "labels", outer=True)
     named = several.select("class", "first")
     joined = all_docs.select("doc_id", "n_shingles", "class").join(if_small(named), "class", "left").withColumn("id", F.coalesce("first", "doc_id"))
     joined = joined.join(if_small(labels), "id", "left")

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import lower_ascii, materialize
+from fieldmark.llm.common import lower_ascii, materialize, temporary
 
 DAMPING, STEPS, SAVE_EVERY, MARGIN = 0.85, 12, 4, 0.5
 
@@ -92,7 +92,7 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, spread: Spread = Sprea
     return ranks
 
 
-def host_verdicts(pages: DataFrame, judged: DataFrame, spread: Spread = Spread()) -> DataFrame:
+def _host_verdicts(pages: DataFrame, judged: DataFrame, spread: Spread = Spread()) -> DataFrame:
     """(host, trust, distrust, host_verdict) for every host of a page."""
     seeds = materialize(host_seeds(judged), "url-seeds")
     edges = materialize(host_edges(pages), "url-links")
@@ -107,7 +107,13 @@ def host_verdicts(pages: DataFrame, judged: DataFrame, spread: Spread = Spread()
         both = seeds.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust")).unionByName(both)
         ranks = both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     blocked = F.col("distrust") - F.col("trust") >= spread.margin * (1 - spread.damping)
-    return materialize(ranks.select("host", "trust", "distrust", F.when(blocked, "block").otherwise("allow").alias("host_verdict")), "url-hosts")
+    return ranks.select("host", "trust", "distrust", F.when(blocked, "block").otherwise("allow").alias("host_verdict"))
+
+
+def host_verdicts(pages: DataFrame, judged: DataFrame, spread: Spread = Spread()) -> DataFrame:
+    """(host, trust, distrust, host_verdict) for every host of a page, as a stored table."""
+    with temporary(pages.sparkSession):
+        return materialize(_host_verdicts(pages, judged, spread), "url-hosts", outer=True)
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, spread: Spread = Spread()) -> DataFrame:
