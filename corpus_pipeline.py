@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import bpe, decontam, neardup, pii, quality
-from fieldmark.llm.common import materialize, table, without_ids
+from fieldmark.llm.common import drop_table, materialize, table, temporary, without_ids
 from fieldmark.llm.queries import default_coder
 
 
@@ -61,6 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    for i, (_, stage) in enumerate(STAGES):
+        with temporary(spark):
+            read, docs = docs, materialize(stage(spark, docs, sf_dir), "stage", outer=True)
+        if i:
+            drop_table(read)
     return docs
