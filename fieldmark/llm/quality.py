@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import bind, materialize, runs_of, word_hashes
+from fieldmark.llm.common import bind, first_by_hash, materialize, runs_of, word_hashes
 
 SAMPLE_ROWS = 10_000
 TREES, DEPTH, LEAST, CUTS, RATE = 24, 3, 15, 24, 0.3
@@ -178,7 +178,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> RuleEnsemble:
     """Learn from labelled rows that aren't held out, at most so many."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    picked = materialize(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows), "label-sample")
+    picked = materialize(first_by_hash(usable, rows, "doc_id", "quality"), "label-sample")
     known = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by rows
     got = with_statistics(known).select("doc_id", "quality", *STATISTICS).orderBy("doc_id", "quality").limit(rows).collect()
     if not got:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import map_rows, materialize
+from fieldmark.llm.common import first_by_hash, map_rows, materialize
 
 MAGIC = 0x184D2A5D
 REVISIT_BYTES = 1000
@@ -105,12 +105,12 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
 
 
 def sample_records(pages: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[bytes]:
-    """At most so many rows and bytes, the first by a hash of the page id; larger records than 1/64 of the bytes aren't used."""
+    """At most so many rows and bytes, the first by a hash of the page id; larger pages than 1/256 of the bytes aren't used."""
     html = F.coalesce("html", F.lit(""))
-    picked = pages.where(F.octet_length(html) <= most_bytes // 64).select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
-    # most_bytes // rows on average at least; a row is 1/64 at most, so the rows that are fetched are bounded too
+    picked = pages.where(F.octet_length(html) <= most_bytes // 256).select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
+    # so at most rows / 256 times most_bytes are fetched
     got, total = [], 0
-    for page_id, url, body in picked.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(rows).collect():
+    for page_id, url, body in first_by_hash(picked, rows, "page_id", "url", "html", of=pages.count()).collect():
         record = make_record(page_id, url, body.encode())
         total += len(record)
         if total > most_bytes:
