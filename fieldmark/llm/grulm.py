@@ -36,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import map_rows, materialize, small_batches
+from fieldmark.llm.common import first_by_hash, map_rows, materialize, small_batches
 
-FREQUENT, HEAD, CLASSES, HIDDEN, SUFFIX = 60_000, 1024, 32, 16, 3
+FREQUENT, HEAD, CLASSES, HIDDEN, SUFFIX = 60_000, 1024, 32, 12, 3
 #: Steps of a training window, most lanes, tokens of a scoring window, tokens after which training cuts a document, bytes of text at once.
-STEPS, LANES, SCORE_TOKENS, PART, CHUNK_BYTES = 32, 192, 12_000, 1024, 12 << 20
+STEPS, LANES, SCORE_TOKENS, PART, CHUNK_BYTES = 32, 256, 16_000, 1024, 12 << 20
 START_ROWS, START_CHARS, START_PASSES, RATE, CLIP = 400, 200_000, 3, 0.08, 1.0
 COUNTER_WORDS, BLOCKS = 200_000, 32
 
@@ -68,7 +68,7 @@ def count_words(training: DataFrame) -> DataFrame:
 
         def flush():
             words = list(seen)
-            rows = {"word": pa.array([w.decode() for w in words], pa.string()), "class": pa.array([class_of(w) for w in words], pa.int32()), "n": pa.array(list(seen.values()), pa.int64())}
+            rows = {"word": pa.array(words, pa.binary()).cast(pa.string()), "class": pa.array([class_of(w) for w in words], pa.int32()), "n": pa.array(list(seen.values()), pa.int64())}
             seen.clear()
             return pa.RecordBatch.from_pydict(rows)
 
@@ -85,6 +85,14 @@ def count_words(training: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n"))
 
 
+class Lookup(dict):
+    """Word to index; a word that isn't there is -1 and is noted in ``rare``, all in one pass over a text."""
+
+    def __missing__(self, word: bytes) -> int:
+        self.rare.append(word)
+        return -1
+
+
 @dataclass
 class Vocabulary:
     """What every worker knows: the frequent words in order, their counts, and totals of all words and of each class's rest."""
@@ -98,7 +106,7 @@ class Vocabulary:
     classes: np.ndarray = field(init=False)
     units: np.ndarray = field(init=False)
     sizes: np.ndarray = field(init=False)
-    index: dict = field(init=False, repr=False)
+    index: Lookup = field(init=False, repr=False)
 
     def __post_init__(self):
         self.head = min(HEAD, len(self.words))
@@ -111,7 +119,7 @@ class Vocabulary:
             self.units[i] = next_unit[c] if i < self.head else self.sizes[c] - 1
             next_unit[c] += i < self.head
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.index = {w: i for i, w in enumerate(self.words) if i}
+        self.index = Lookup({w: i for i, w in enumerate(self.words) if i})
         self.rest_log = np.log10(self.rest_tokens + 0.5 * (self.rest_words + 1))
         self.base_log = float(np.log10(self.tokens + 0.5 * (self.distinct + 1)))
         self.count_log = np.log10(self.counts + 0.5)
@@ -125,7 +133,15 @@ class Vocabulary:
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     order = [F.desc("n"), F.col("word")]
-    top = [(r[0].encode(), r[1]) for r in counts.where("word <> ''").select("word", "n").orderBy(*order).limit(FREQUENT).collect()]
+    # only words as frequent as the last that is wanted, to a part in 16 of a doubling, are sorted: not so many from every task
+    level = F.floor(F.log2("n") * 16).alias("level")
+    least, seen = 0, 0
+    for r in counts.where("word <> ''").groupBy(level).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():
+        least, seen = r["level"], seen + r["words"]
+        if seen >= FREQUENT:
+            break
+    frequent = counts.where("word <> ''").where(level >= least).select("word", "n")
+    top = [(r[0].encode(), r[1]) for r in frequent.orderBy(*order).limit(FREQUENT).collect()]
     ends = counts.where("word = ''").select("n").collect()
     words, head = [(b"", ends[0][0] if ends else 0), *top], [w for w, _ in top[: HEAD - 1]]
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -258,8 +274,12 @@ class Trainer:
         d_after = d_after.reshape(after.shape)
         # derivatives of the gates and the fresh value, for all steps at once
         z, r = gates[:, :, :h], gates[:, :, h:]
-        by_z, by_n = (before - fresh) * z * (1 - z), (1 - z) * (1 - fresh * fresh)
-        by_r = inner * r * (1 - r)
+        stays = 1 - z
+        by_z = (before - fresh) * z
+        by_z *= stays
+        by_n = stays * (1 - fresh * fresh)
+        by_r = inner * r
+        by_r *= 1 - r
         d_x = np.empty((*after.shape[:2], 3 * h), np.float32)
         d_a = np.empty_like(d_x)
         ut, later = np.ascontiguousarray(p["U"].T), np.zeros_like(state)
@@ -282,7 +302,7 @@ class Trainer:
             np.clip(g, -CLIP, CLIP, out=g)
             self._move(k, g)
         ids = inputs.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16) if self.v.inputs < 2**15 else ids, kind="stable")  # short integers sort by radix
         sorted_ids = ids[order]
         starts = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
         g = np.add.reduceat(d_x.reshape(-1, 3 * h)[order], starts, axis=0)
@@ -308,24 +328,21 @@ class Tokens:
 
 
 def tokens_of(texts: list[str | None], v: Vocabulary) -> Tokens:
-    get, parts, rare, lengths = v.index.get, [], [], []
-    rare_classes: list[int] = []
+    look, parts, rare = v.index.__getitem__, [], []
+    end = np.zeros(1, np.int32)
     for text in texts:
         words = words_of(text)
-        ids = [get(w, -1) for w in words]
-        mine = [w for w, i in zip(words, ids) if i < 0] if -1 in ids else []
-        rare_classes += map(class_of, mine)
-        ids.append(0)
-        parts.append(ids)
-        rare.append(mine)
-        lengths.append(len(ids))
-    index = np.fromiter(chain.from_iterable(parts), np.int32, sum(lengths))
-    unknown = index < 0
+        v.index.rare = []
+        parts += [np.fromiter(map(look, words), np.int32, len(words)), end]
+        rare.append(v.index.rare)
+    index = np.concatenate(parts)
+    lengths = np.array([len(p) for p in parts], np.int64).reshape(-1, 2).sum(axis=1)
     classes = v.classes[index]
-    classes[unknown] = rare_classes
+    unknown = index < 0
+    classes[unknown] = list(map(class_of, chain.from_iterable(rare)))
     units = v.units[index]
     units[unknown] = v.sizes[classes[unknown]] - 1
-    return Tokens(index, classes, units, np.array(lengths, np.int64), rare)
+    return Tokens(index, classes, units, lengths, rare)
 
 
 def in_lanes(t: Tokens, v: Vocabulary, most: int | None = None):
@@ -397,8 +414,8 @@ def score_tokens(p: Weights, v: Vocabulary, t: Tokens) -> np.ndarray:
 
 def start_weights(training: DataFrame, v: Vocabulary) -> tuple[Weights, Weights]:
     """Weights and Adagrad sums from START_ROWS rows at most, the first by a hash of the id."""
-    picked = training.where(F.char_length(F.coalesce("text", F.lit(""))) <= START_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(START_ROWS)
-    texts = [r[0] for r in picked.select("text").collect()]
+    picked = training.where(F.char_length(F.coalesce("text", F.lit(""))) <= START_CHARS)
+    texts = [r[1] for r in first_by_hash(picked.select("doc_id", "text"), START_ROWS, "doc_id", "text", of=int(v.counts[0])).collect()]
     trainer = Trainer(new_weights(v), v)
     for _ in range(START_PASSES):
         train_on(trainer, texts)
@@ -440,7 +457,7 @@ def train(training: DataFrame, v: Vocabulary) -> Weights:
 
 # ---- scores ---------------------------------------------------------------------------------------------------
 
-PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, lm double, rare array<struct<word:string,n:long>>"
+PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, lm double, rare array<string>"
 
 
 def score_parts(docs: DataFrame, v: Vocabulary, weights: Weights) -> DataFrame:
@@ -464,7 +481,8 @@ def score_parts(docs: DataFrame, v: Vocabulary, weights: Weights) -> DataFrame:
             met = np.add.reduceat(((t.index >= 0) & (v.counts[t.index] > 0)).astype(np.int64), at)
             rows = np.arange(row, row + batch.num_rows)
             row += batch.num_rows
-            rare = [[{"word": w.decode(), "n": n} for w, n in Counter(words).items()] for words in t.rare]
+            ends = np.cumsum([0, *map(len, t.rare)])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(t.rare)), pa.binary()).cast(pa.string()))
             return {"row": rows, "doc_id": batch.column("doc_id"), "n_tokens": t.lengths, "n_known": met, "base": base, "lm": np.add.reduceat(lm, at), "rare": rare}
 
         return work
@@ -480,9 +498,10 @@ def log_likelihoods(docs: DataFrame) -> DataFrame:
     v = read_vocabulary(counts)
     weights = train(training, v)
     parts = materialize(score_parts(docs, v, weights), "lm-parts")
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    met = rare.join(counts.select("word", "n"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("met"))
+    rare = parts.select("row", F.explode("rare").alias("word"))
+    # counts have one row for each word, so no key is hot on the side that is hashed
+    met = rare.join(counts.select("word", "n").hint("shuffle_hash"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sums = met.groupBy("row").agg(F.sum(F.log10(F.col("n") + 0.5)).alias("logs"), F.count_if(F.col("n") > 0).alias("met"))
     both = parts.drop("rare").join(sums, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return both.select(
