@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm.common import first_by_hash, map_rows, materialize, small_batches
 
-FREQUENT, HEAD, CLASSES, HIDDEN, SUFFIX = 60_000, 1024, 32, 12, 3
+FREQUENT, HEAD, CLASSES, HIDDEN, SUFFIX = 60_000, 768, 32, 12, 3
 #: Steps of a training window, most lanes, tokens of a scoring window, tokens after which training cuts a document, bytes of text at once.
 STEPS, LANES, SCORE_TOKENS, PART, CHUNK_BYTES = 32, 256, 16_000, 1024, 12 << 20
 START_ROWS, START_CHARS, START_PASSES, RATE, CLIP = 400, 200_000, 3, 0.08, 1.0
-COUNTER_WORDS, BLOCKS = 200_000, 32
+COUNTER_WORDS, BLOCKS = 300_000, 32
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,6 +57,23 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-SUFFIX:]) % CLASSES
 
 
+class SuffixClasses(dict):
+    """The classes of suffixes that were met; there are few beside the words."""
+
+    def __missing__(self, suffix: bytes) -> int:
+        if len(self) >= FREQUENT:
+            self.clear()
+        self[suffix] = found = class_of(suffix)
+        return found
+
+
+_suffix_classes = SuffixClasses()
+
+
+def classes_of(words: list[bytes]) -> list[int]:
+    return list(map(_suffix_classes.__getitem__, [w[-SUFFIX:] for w in words]))
+
+
 # ---- counts ---------------------------------------------------------------------------------------------------
 
 
@@ -68,7 +85,7 @@ def count_words(training: DataFrame) -> DataFrame:
 
         def flush():
             words = list(seen)
-            rows = {"word": pa.array(words, pa.binary()).cast(pa.string()), "class": pa.array([class_of(w) for w in words], pa.int32()), "n": pa.array(list(seen.values()), pa.int64())}
+            rows = {"word": pa.array(words, pa.binary()).cast(pa.string()), "class": pa.array(classes_of(words), pa.int32()), "n": pa.array(list(seen.values()), pa.int64())}
             seen.clear()
             return pa.RecordBatch.from_pydict(rows)
 
@@ -187,7 +204,7 @@ def run_window(p: Weights, state: np.ndarray, inputs: np.ndarray, keep: np.ndarr
     """States after each step of a window, and what backpropagation needs. inputs, keep: steps x lanes."""
     steps, lanes = inputs.shape
     h = HIDDEN
-    x = p["E"][inputs]
+    x = p["E"].take(inputs, axis=0)
     x += p["b"]
     before, gates, fresh, inner = (np.empty((steps, lanes, n), np.float32) for n in (h, 2 * h, h, h))
     after = np.empty((steps, lanes, h), np.float32)
@@ -220,7 +237,7 @@ def _picked(x: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def outputs(p: Weights, offsets: np.ndarray, states: np.ndarray, classes: np.ndarray, units: np.ndarray, grads: Weights | None = None):
     """Natural log of each token's class and unit probability; with grads, adds to them and returns the states' gradient too."""
     order = np.argsort(classes.astype(np.int8), kind="stable")
-    states, classes, units = states[order], classes[order], units[order]
+    states, classes, units = states.take(order, axis=0), classes[order], units[order]
     found, g = _picked(p["C"].T @ states.T + p["c"][:, None], classes)
     back = None
     if grads is not None:
@@ -281,7 +298,7 @@ class Trainer:
         by_r = inner * r
         by_r *= 1 - r
         d_x = np.empty((*after.shape[:2], 3 * h), np.float32)
-        d_a = np.empty_like(d_x)
+        d_inner = np.empty_like(after)
         ut, later = np.ascontiguousarray(p["U"].T), np.zeros_like(state)
         for t in range(len(after) - 1, -1, -1):
             d = d_after[t]
@@ -289,14 +306,14 @@ class Trainer:
             n = np.multiply(d, by_n[t], out=d_x[t, :, 2 * h :])
             np.multiply(d, by_z[t], out=d_x[t, :, :h])
             np.multiply(n, by_r[t], out=d_x[t, :, h : 2 * h])
-            d_a[t, :, : 2 * h] = d_x[t, :, : 2 * h]
-            np.multiply(n, r[t], out=d_a[t, :, 2 * h :])
-            later = d_a[t] @ ut
+            later = d_x[t, :, : 2 * h] @ ut[: 2 * h]
+            later += np.multiply(n, r[t], out=d_inner[t]) @ ut[2 * h :]
             d *= z[t]
             later += d
             later *= keep[t][:, None]
         scale = np.float32(1 / max(1, len(flat)) ** 0.5)
-        every = {"U": before.reshape(-1, h).T @ d_a.reshape(-1, 3 * h), "b": d_x.reshape(-1, 3 * h).sum(axis=0), **self.grads}
+        last = before.reshape(-1, h).T
+        every = {"U": np.concatenate([last @ d_x.reshape(-1, 3 * h)[:, : 2 * h], last @ d_inner.reshape(-1, h)], axis=1), "b": d_x.reshape(-1, 3 * h).sum(axis=0), **self.grads}
         for k, g in every.items():
             g *= scale
             np.clip(g, -CLIP, CLIP, out=g)
@@ -305,7 +322,7 @@ class Trainer:
         order = np.argsort(ids.astype(np.int16) if self.v.inputs < 2**15 else ids, kind="stable")  # short integers sort by radix
         sorted_ids = ids[order]
         starts = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-        g = np.add.reduceat(d_x.reshape(-1, 3 * h)[order], starts, axis=0)
+        g = np.add.reduceat(d_x.reshape(-1, 3 * h).take(order, axis=0), starts, axis=0)
         g *= scale
         np.clip(g, -CLIP, CLIP, out=g)
         self._move("E", g, sorted_ids[starts])
@@ -339,7 +356,7 @@ def tokens_of(texts: list[str | None], v: Vocabulary) -> Tokens:
     lengths = np.array([len(p) for p in parts], np.int64).reshape(-1, 2).sum(axis=1)
     classes = v.classes[index]
     unknown = index < 0
-    classes[unknown] = list(map(class_of, chain.from_iterable(rare)))
+    classes[unknown] = classes_of(list(chain.from_iterable(rare)))
     units = v.units[index]
     units[unknown] = v.sizes[classes[unknown]] - 1
     return Tokens(index, classes, units, lengths, rare)
@@ -364,11 +381,11 @@ def in_lanes(t: Tokens, v: Vocabulary, most: int | None = None):
         dealt[lane].append(d)
     longest = max(n for n, _ in heap)
     longest += -longest % STEPS
-    inputs, keep = np.zeros((lanes, longest), np.int32), np.ones((lanes, longest), np.float32)
-    places = np.full((lanes, longest), -1, np.int64)
+    inputs, keep = np.zeros((lanes, longest), np.intp), np.ones((lanes, longest), np.float32)
+    places = np.full((lanes, longest), -1, np.intp)
     # the input for a token is the token before it; for a document's first, the end
-    own = np.where((t.index >= 0) & (t.index < v.head), t.index, v.head + t.classes).astype(np.int32)
-    before = np.concatenate([[0], own[:-1]]).astype(np.int32)
+    own = np.where((t.index >= 0) & (t.index < v.head), t.index, v.head + t.classes).astype(np.intp)
+    before = np.concatenate([[0], own[:-1]]).astype(np.intp)
     before[firsts] = 0
     for lane, docs in enumerate(dealt):
         at = 0
@@ -379,7 +396,7 @@ def in_lanes(t: Tokens, v: Vocabulary, most: int | None = None):
             keep[lane, at] = 0
             at += n
     places = np.ascontiguousarray(places.T)
-    return np.ascontiguousarray(inputs.T), np.ascontiguousarray(keep.T), t.classes[places], t.units[places], places
+    return np.ascontiguousarray(inputs.T), np.ascontiguousarray(keep.T), t.classes.take(places), t.units.take(places), places
 
 
 def train_on(trainer: Trainer, texts: list[str | None]) -> float:
