@@ -349,3 +349,14 @@ def test_shared_folder(monkeypatch, spark):
     common.drop_table(table)
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(table.inputFiles()[0]).count()
+
+
+def test_first_by_hash(spark):
+    from fieldmark.llm.common import first_by_hash
+
+    df = spark.range(5000).withColumn("k", grulm.F.col("id") * 7)
+    got = [r["id"] for r in first_by_hash(df, 50, "id", "k").collect()]
+    want = [r["id"] for r in df.orderBy(grulm.F.xxhash64("id", "k")).limit(50).collect()]
+    assert got == want == [r["id"] for r in first_by_hash(df, 50, "id", "k", of=5000).collect()]
+    assert first_by_hash(df.limit(0), 5, "id").count() == 0 and first_by_hash(df.limit(7), 50, "id").count() == 7
+    assert "<" in first_by_hash(df, 50, "id", "k")._jdf.queryExecution().optimizedPlan().toString()
