@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm.common import first_by_hash, map_rows, materialize, small_batches
 
-FREQUENT, HEAD, CLASSES, HIDDEN, SUFFIX = 60_000, 768, 32, 12, 3
+FREQUENT, HEAD, CLASSES, HIDDEN, SUFFIX = 60_000, 1024, 32, 16, 3
 #: Steps of a training window, most lanes, tokens of a scoring window, tokens after which training cuts a document, bytes of text at once.
-STEPS, LANES, SCORE_TOKENS, PART, CHUNK_BYTES = 32, 256, 16_000, 1024, 12 << 20
+STEPS, LANES, SCORE_TOKENS, PART, CHUNK_BYTES = 32, 192, 16_000, 1024, 12 << 20
 START_ROWS, START_CHARS, START_PASSES, RATE, CLIP = 400, 200_000, 3, 0.08, 1.0
 COUNTER_WORDS, BLOCKS = 300_000, 32
 

@@ -236,6 +236,15 @@ def small_vocabulary():
     return grulm.Vocabulary(named, np.sort(rng.integers(1, 500, 301))[::-1].astype(float), 9000, 900, rest, rest)
 
 
+def test_a_thousand_head_words_have_rows_and_units_of_their_own():
+    named = [b""] + [f"w{i}".encode() for i in range(1100)]
+    rest = np.full(grulm.CLASSES, 5.0)
+    v = grulm.Vocabulary(named, np.arange(1101, 0, -1).astype(float), 10**6, 2000, rest, rest)
+    own = {(c, u) for c, u in zip(v.classes[:1024], v.units[:1024]) if u < v.sizes[c] - 1}
+    assert len(own) == 1024 and v.inputs == 1024 + grulm.CLASSES and v.units[1024] == v.sizes[v.classes[1024]] - 1
+    assert grulm.new_weights(v)["U"].shape == (16, 48) and grulm.LANES == 192
+
+
 def test_scores_dont_depend_on_lanes_and_sum_to_one():
     v, rng = small_vocabulary(), random.Random(2)
     p = grulm.new_weights(v)
