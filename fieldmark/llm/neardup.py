@@ -129,11 +129,17 @@ def hash_sample(shingles: np.ndarray) -> tuple[np.ndarray, int]:
     return shingles[: upto(2 * share)], upto(share)
 
 
-SKETCH = "doc_id long, n_shingles long, class binary, bands array<long>, odd array<long>, whole array<long>, sample array<long>, own int"
+SKETCH = "doc_id long, n_shingles long, class binary, mark long, bands array<long>, odd array<long>, whole array<long>, sample array<long>, own int"
+
+
+def class_digest(shingles: np.ndarray) -> tuple[bytes, int]:
+    """A digest of a set, and its mark: the first half as a number, which tells the texts of one id apart."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return digest, int.from_bytes(digest[:8], "little", signed=True)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, class (a digest of the set; null without shingles), bands, both bitmaps and the hash sample."""
+    """doc_id, n_shingles, class (a digest of the set; null without shingles) and its mark, bands, both bitmaps and the hash sample."""
     names = [x.split()[0] for x in SKETCH.split(", ")][1:]
 
     def make():
@@ -142,10 +148,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         def row(text) -> tuple:
             found = shingle(text)
             if not len(found):
-                return (0, *[None] * 6)
+                return (0, *[None] * 7)
             least = minhashes(found)
             sample, own = hash_sample(found)
-            return (len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), band_keys(least), odd_sketch(least), parity_sketch(found), sample.view(np.int64), own)
+            return (len(found), *class_digest(found), band_keys(least), odd_sketch(least), parity_sketch(found), sample.view(np.int64), own)
 
         def work(batch: pa.RecordBatch) -> dict:
             return {"doc_id": batch.column("doc_id")} | dict(zip(names, zip(*[row(t.as_py()) for t in batch.column("text")])))
@@ -175,7 +181,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def make():
-        shingle, last = Shingler(words), (None, None)
+        shingle, last = Shingler(words), (object(), None)  # equal to no text, null neither
 
         def work(batch: pa.RecordBatch) -> dict:
             nonlocal last
@@ -186,7 +192,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     last = (said, shingle(said))  # pairs of a leader follow one another
                 x, y = last[1], shingle(tb.as_py())
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(y) - same):
+                if same and 100 * same >= percent * (len(x) + len(y) - same):
                     out.append(i)
             return {"a": [a[i] for i in out], "b": [b[i] for i in out]}
 
@@ -196,20 +202,20 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 
 def _singular(rows: DataFrame) -> DataFrame:
-    """(doc_id, u): how many of each document's rows (doc_id, h, own) that are its own no other document has."""
-    once = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("own").alias("own")).where("n = 1 AND own")
-    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
+    """(doc_id, mark, u): how many of each text's rows (doc_id, mark, h, own) that are its own no other text has."""
+    once = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.min("own").alias("own")).where("n = 1 AND own")
+    return once.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("u"))
 
 
 def linkable(classes: DataFrame, percent: int) -> DataFrame:
-    """(doc_id) of the classes that may be similar to another, judged on hash samples."""
+    """(doc_id, mark) of the classes that may be similar to another, judged on hash samples."""
     own = (F.col("pos") < F.col("own")).alias("own")
-    drawn = classes.select("doc_id", F.col("own"), F.posexplode("sample").alias("pos", "h")).select("doc_id", "h", own)
+    drawn = classes.select("doc_id", "mark", F.col("own"), F.posexplode("sample").alias("pos", "h")).select("doc_id", "mark", "h", own)
     share = 1 - percent / 100
     most = F.col("own") * share + SURE * F.sqrt(F.col("own") * share * (1 - share))
     # a sample that is the whole set needs no margin
     most = F.when(F.col("own") == F.col("n_shingles"), F.col("n_shingles") * share + 1e-9).otherwise(most)
-    return classes.select("doc_id", "n_shingles", "own").join(_singular(drawn), "doc_id", "left").where(F.coalesce("u", F.lit(0)) <= most).select("doc_id")
+    return classes.select("doc_id", "mark", "n_shingles", "own").join(_singular(drawn), ["doc_id", "mark"], "left").where(F.coalesce("u", F.lit(0)) <= most).select("doc_id", "mark")
 
 
 def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
@@ -218,12 +224,20 @@ def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingle(t.as_py()).view(np.int64) for t in batch.column("text")]
-            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in sets])
-            return {"doc_id": ids, "h": np.concatenate(sets), "own": np.ones(len(ids), bool)}
+            marks = [class_digest(s)[1] if one_of else 0 for s, one_of in zip(sets, batch.column("several").to_pylist())]
+            ids, marks = (np.repeat(x, [len(s) for s in sets]) for x in (batch.column("doc_id").to_numpy(), np.array(marks, np.int64)))
+            return {"doc_id": ids, "mark": marks, "h": np.concatenate(sets), "own": np.ones(len(ids), bool)}
 
         return work
 
-    return map_rows(texts, ["doc_id", "text"], "doc_id long, h long, own boolean", make, "text", 500)
+    return map_rows(texts, ["doc_id", "text", "several"], "doc_id long, mark long, h long, own boolean", make, "text", 500)
+
+
+def _tell_texts(rows: DataFrame, same_id: DataFrame | None) -> DataFrame:
+    """rows with several: whether the id has different texts."""
+    if same_id is None:
+        return rows.withColumn("several", F.lit(False))
+    return rows.join(if_small(same_id), "doc_id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
 
 
 ATTRIBUTES = ("id", "component", "n", "u", "odd", "whole")
@@ -281,20 +295,25 @@ def link_classes(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -
     return labels if labels is not None else nodes.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).limit(0)
 
 
-def _labels(docs: DataFrame, known: DataFrame, several: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _labels(docs: DataFrame, all_docs: DataFrame, several: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, component) of the classes' documents that are linked with others."""
+    by_id = all_docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.count("mark").alias("sets"), F.count(F.lit(1)).alias("n"))
+    same_id = materialize(by_id.where("lo <> hi OR (sets > 0 AND sets < n)").select("doc_id", F.lit(True).alias("several")), "same-ids")
+    same_id = None if same_id.isEmpty() else same_id
+    # marks of ids with one text are 0, which the shuffles compress
+    known = _tell_texts(all_docs.where("class IS NOT NULL AND doc_id IS NOT NULL"), same_id).withColumn("mark", F.when(F.col("several"), F.col("mark")).otherwise(0))
+    classes = known.join(if_small(several), "class", "left").where(F.coalesce("first", "doc_id") == F.col("doc_id"))
     ids = materialize(linkable(classes, percent), "linkable")
-    texts = materialize(of_ids(docs, ids), "linkable-texts")
+    texts = materialize(_tell_texts(of_ids(docs, ids), same_id), "linkable-texts")
     singular = materialize(_singular(shingle_rows(texts, words)), "singular")
     u = F.coalesce("u", F.lit(0))
-    nodes = of_ids(known, ids).join(singular, "doc_id", "left").where(100 * u <= (100 - percent) * F.col("n_shingles"))
+    nodes = known.join(if_small(ids), ["doc_id", "mark"], "left_semi").join(singular, ["doc_id", "mark"], "left").where(100 * u <= (100 - percent) * F.col("n_shingles"))
     nodes = materialize(nodes.select("doc_id", F.col("n_shingles").alias("n"), u.alias("u"), "bands", "odd", "whole"), "nodes")
     labels = link_classes(nodes, texts, words, percent)
-    firsts = known.select("doc_id", "class").join(if_small(several), "class", "left").select("class", "doc_id", F.coalesce("first", "doc_id").alias("id"))
-    # one node for each id: different texts under one id are one document
-    same_id = materialize(firsts.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("doc_id"), "same-ids")
-    if not same_id.isEmpty():
-        extra = of_ids(firsts, same_id).select(F.least("doc_id", "id").alias("a"), F.greatest("doc_id", "id").alias("b"))
+    # one node for each id: different texts under one id, and texts without shingles, are one document
+    if same_id is not None:
+        firsts = of_ids(all_docs.select("doc_id", "class"), same_id).join(if_small(several), "class", "left").withColumn("id", F.coalesce("first", "doc_id"))
+        extra = firsts.select(F.least("doc_id", "id").alias("a"), F.greatest("doc_id", "id").alias("b"))
         labels = materialize(components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(extra)), "labels")
     return labels
 
@@ -307,9 +326,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # classes of several documents are few beside all; the others stand for themselves
     several = known.groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
     several = materialize(several, "classes")
-    classes = known.join(if_small(several), "class", "left").where(F.coalesce("first", "doc_id") == F.col("doc_id"))
     with temporary(docs.sparkSession):
-        labels = materialize(_labels(docs, known, several, classes, words, percent), "labels", outer=True)
+        labels = materialize(_labels(docs, all_docs, several, words, percent), "labels", outer=True)
     named = several.select("class", "first")
     joined = all_docs.select("doc_id", "n_shingles", "class").join(if_small(named), "class", "left").withColumn("id", F.coalesce("first", "doc_id"))
     joined = joined.join(if_small(labels), "id", "left")

@@ -80,6 +80,26 @@ def test_near_duplicates_edges(spark):
     assert got == [(7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False)]
 
 
+def test_texts_of_one_id(spark):
+    """Near copies, unique texts and nulls under one id: each text is compared by itself, and the links are the id's."""
+    text = lambda name, n=60: [f"{name}{i}" for i in range(n)]
+    near, below = text("x")[:58] + ["new", "words"], text("y")
+    below[20] = below[33] = below[46] = "other"
+    rows = [(3, text("x")), (7, near), (7, text("own", 90)), (2, text("z")), (1, None), (1, text("z")), (1, text("zz")), (5, [*text("z")[:59], "new"]), (5, None), (4, text("e")), (9, text("e")), (9, None)]
+    rows += [(20, text("y")), (20, None), (21, below), (21, None), (22, None), (7, None), (30, text("s")), (31, text("t")), (31, text("s"))]
+    ids, texts = [i for i, _ in rows], [t and " ".join(t) for _, t in rows]
+    for k in (4, 5):
+        want = sorted((i, len(shingles(t, k)), c, kept) for (i, _, c, kept), t in zip(brute_groups(texts, k, 80, ids), texts))
+        assert sorted(tuple(r) for r in neardup.near_duplicates(frame(spark, texts, ids), words=k).collect()) == want
+        assert {c for i, _, c, _ in want if i in (3, 7)} == {3} and {c for i, _, c, _ in want if i in (20, 21)} == {20, 21}
+
+
+def test_confirm_with_nulls(spark):
+    docs = spark.createDataFrame([(1, None), (1, "a b c d e"), (2, "a b c d e"), (3, None), (3, "q r s t u")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long").coalesce(1)
+    assert {tuple(r) for r in neardup.confirm(pairs, docs, 4, 80).collect()} == {(1, 2)}
+
+
 def test_leader_rounds_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(neardup, "COMPARED_PER_MEMBER", 0)
     texts = graded_copies(50, 3)
