@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import bpe, decontam, neardup, pii, quality
-from fieldmark.llm.common import drop_table, materialize, table, temporary, without_ids
+from fieldmark.llm.common import drop_table, materialize, of_ids, table, temporary, without_ids
 from fieldmark.llm.queries import default_coder
 
 
@@ -24,10 +24,16 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that with the smallest id; shingles of five words, similar from 80 percent.
 
-    Repeated rows of one id are one document, of which every row stays.
+    Of equal rows of one id one stays; rows of one id that differ in any column all stay, as they are one document.
+    Rows without an id aren't touched.
     """
     groups = neardup.near_duplicates(docs, words=5, percent=80)
-    return without_ids(docs, materialize(groups.where(~F.col("kept")).select("doc_id").distinct(), "dropped"))
+    kept = without_ids(docs, materialize(groups.where(~F.col("kept")).select("doc_id").distinct(), "dropped"))
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    repeated = materialize(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept
+    return without_ids(kept, repeated).unionByName(of_ids(kept, repeated).distinct())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -355,6 +355,15 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert bpe.digest(empty, queries.default_coder(), keep=("lang",)).columns[-1] == "lang"
 
 
+def test_equal_rows_leave_one(spark, sf):
+    import corpus_pipeline
+
+    docs = frame(spark, ["a b c d e f"] * 9 + ["A b c d e f", "q r s", None, None, "u", "u"], ids=[4] * 8 + [6, 4, 5, 8, 8, None, None])
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()]
+    want = [(4, "a b c d e f"), (4, "A b c d e f"), (5, "q r s"), (8, None), (None, "u"), (None, "u")]
+    assert collections.Counter(got) == collections.Counter(want)
+
+
 # ---- shared folder
 
 
