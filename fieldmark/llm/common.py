@@ -151,11 +151,11 @@ def small_batches(rows: int, column: str, most_bytes: int = 16 << 20):
     return split
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: str | StructType, make: Callable[[], Callable], text: str | None = None, rows: int = 2000) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], schema: str | StructType, make: Callable[[], Callable], text: str | None = None, rows: int = 2000, most_bytes: int = 16 << 20) -> DataFrame:
     """mapInArrow over the given columns. make() runs once a task and returns batch -> dict of lists, or an iterator of them."""
     out = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
-    split = small_batches(rows, text or columns[0])
+    split = small_batches(rows, text or columns[0], most_bytes)
 
     def run(batches):
         work = make()

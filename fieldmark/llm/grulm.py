@@ -6,11 +6,16 @@ probability of a word is that of its class given the state, times that of its un
 ``HEAD`` most frequent words are units; the other words of a class share one unit and are told apart by their counts,
 smoothed as the base score is, with one unseen word in each class.
 
+Texts are encoded once, two bytes a token, and stored; training and scoring read the codes.
+
 Training is truncated backpropagation through windows of ``STEPS`` tokens in numpy, by Adagrad, with the state carried
-from window to window through ``PART`` tokens. A start is learned on the
-driver from ``START_ROWS`` rows; then every task goes once over all of its training rows, and the replicas'
-weights are averaged, each by its number of tokens: blocks of weights are shuffled and summed in streams, so neither the
-driver nor a task holds more than one replica. The replicas' number follows the input's partitions.
+from window to window through whole documents. It covers every training row once, in rounds, each of twice as many
+tokens as the one before. In a round each replica goes on from the common weights over rows of its own; then the replicas' weights and Adagrad sums are averaged by their numbers
+of tokens: blocks of them are shuffled and summed in streams, so neither the driver nor a task holds more than one
+replica. Replicas grow in number with the square root of the training tokens, and so do the tokens of each.
+
+Rows are dealt to rounds and replicas, and put in order there, by hashes of their id and content. So the weights don't
+depend on how the input is partitioned.
 
 Scoring runs many documents side by side in lanes; the state is carried from window to window, so that each score is
 that of the complete document. Words beyond the frequent ones meet their counts in a join.
@@ -18,15 +23,18 @@ that of the complete document. Words beyond the frequent ones meet their counts
 Rows whose crc32 of the id modulo 5 is 1 are held out; nothing is learned from them.
 
 Defined cases: a null text is the empty text, one end; repeated rows count and are scored as often as they
-occur; without training rows every count is 0, the base score of a token is log10(1), and the network stays as it
-starts; an empty table gives an empty result; further columns are ignored.
+occur, and equal rows of one id follow one another in one replica; without training rows every count is 0, the base
+score of a token is log10(1), and the network stays as it starts; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -36,13 +44,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import first_by_hash, map_rows, materialize, small_batches
+from fieldmark.llm.common import map_rows, materialize, small_batches, temporary
 
 FREQUENT, HEAD, CLASSES, HIDDEN, SUFFIX = 60_000, 1024, 32, 16, 3
-#: Steps of a training window, most lanes, tokens of a scoring window, tokens after which training cuts a document, bytes of text at once.
-STEPS, LANES, SCORE_TOKENS, PART, CHUNK_BYTES = 32, 192, 16_000, 1024, 12 << 20
-START_ROWS, START_CHARS, START_PASSES, RATE, CLIP = 400, 200_000, 3, 0.08, 1.0
+#: Steps of a training window, most lanes, tokens of a scoring window, tokens and bytes of text that a task works on at once.
+STEPS, LANES, SCORE_TOKENS, CHUNK_TOKENS, CHUNK_BYTES = 32, 192, 16_000, 2_000_000, 8 << 20
+RATE, CLIP = 0.25, 1.0
+#: There are sqrt(tokens / REPLICA_TOKENS) replicas; the first round has about FIRST_TOKENS for each.
+REPLICA_TOKENS, FIRST_TOKENS = 750_000, 200_000
 COUNTER_WORDS, BLOCKS = 300_000, 32
+#: The end and FREQUENT words have the codes below this; from here on, codes are classes of other words.
+RARE = FREQUENT + 1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -224,21 +236,22 @@ def run_window(p: Weights, state: np.ndarray, inputs: np.ndarray, keep: np.ndarr
     return after, before, gates, fresh, inner
 
 
-def _picked(x: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits with a column for each token: the log-probability of the row picked in each, and all probabilities (in x)."""
+def _picked(x: np.ndarray, which: np.ndarray, all_of_them: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Logits with a column for each token: the log-probability of the row picked in each, and all probabilities (in x) if wanted."""
     x -= x.max(axis=0)
     found = x[which, np.arange(x.shape[1])]
     np.exp(x, out=x)
     total = x.sum(axis=0)
-    x /= total
-    return found - np.log(total), x
+    if all_of_them:
+        x /= total
+    return found - np.log(total), x if all_of_them else None
 
 
 def outputs(p: Weights, offsets: np.ndarray, states: np.ndarray, classes: np.ndarray, units: np.ndarray, grads: Weights | None = None):
     """Natural log of each token's class and unit probability; with grads, adds to them and returns the states' gradient too."""
     order = np.argsort(classes.astype(np.int8), kind="stable")
     states, classes, units = states.take(order, axis=0), classes[order], units[order]
-    found, g = _picked(p["C"].T @ states.T + p["c"][:, None], classes)
+    found, g = _picked(p["C"].T @ states.T + p["c"][:, None], classes, grads is not None)
     back = None
     if grads is not None:
         g[classes, np.arange(len(states))] -= 1
@@ -250,7 +263,7 @@ def outputs(p: Weights, offsets: np.ndarray, states: np.ndarray, classes: np.nda
         if end == start:
             continue
         o, s, k = slice(offsets[c], offsets[c + 1]), states[start:end], units[start:end]
-        inside, g = _picked(p["W"][o] @ s.T + p["w"][o, None], k)
+        inside, g = _picked(p["W"][o] @ s.T + p["w"][o, None], k, grads is not None)
         found[start:end] += inside
         if grads is not None:
             g[k, np.arange(end - start)] -= 1
@@ -335,16 +348,24 @@ class Trainer:
 
 @dataclass
 class Tokens:
-    """The tokens of some documents, one after another: index of a frequent word or -1, class, unit, and each one's document."""
+    """The tokens of some documents, one after another: index of a frequent word or -1, class, unit, and each document's length."""
 
     index: np.ndarray
     classes: np.ndarray
     units: np.ndarray
     lengths: np.ndarray
+
+
+@dataclass
+class Coded:
+    """Documents' tokens, one after another, as numbers of 16 bits: a frequent word's index, or RARE and the class; and each one's other words."""
+
+    codes: np.ndarray
+    lengths: np.ndarray
     rare: list[list[bytes]]
 
 
-def tokens_of(texts: list[str | None], v: Vocabulary) -> Tokens:
+def coded(texts: list[str | None], v: Vocabulary) -> Coded:
     look, parts, rare = v.index.__getitem__, [], []
     end = np.zeros(1, np.int32)
     for text in texts:
@@ -352,27 +373,30 @@ def tokens_of(texts: list[str | None], v: Vocabulary) -> Tokens:
         v.index.rare = []
         parts += [np.fromiter(map(look, words), np.int32, len(words)), end]
         rare.append(v.index.rare)
-    index = np.concatenate(parts)
+    codes = np.concatenate(parts)
     lengths = np.array([len(p) for p in parts], np.int64).reshape(-1, 2).sum(axis=1)
-    classes = v.classes[index]
-    unknown = index < 0
-    classes[unknown] = classes_of(list(chain.from_iterable(rare)))
-    units = v.units[index]
+    codes[codes < 0] = RARE + np.array(classes_of(list(chain.from_iterable(rare))), np.int32)
+    return Coded(codes.astype(np.uint16), lengths, rare)
+
+
+def tokens_from(codes: np.ndarray, lengths: np.ndarray, v: Vocabulary) -> Tokens:
+    index = codes.astype(np.int32)
+    unknown = np.flatnonzero(codes >= RARE)
+    index[unknown] = -1
+    classes, units = v.classes[index], v.units[index]
+    classes[unknown] = codes[unknown].astype(np.int32) - RARE
     units[unknown] = v.sizes[classes[unknown]] - 1
-    return Tokens(index, classes, units, lengths, rare)
+    return Tokens(index, classes, units, lengths)
+
 
+def tokens_of(texts: list[str | None], v: Vocabulary) -> Tokens:
+    c = coded(texts, v)
+    return tokens_from(c.codes, c.lengths, v)
 
-def in_lanes(t: Tokens, v: Vocabulary, most: int | None = None):
-    """Arrays steps x lanes of inputs, keep, classes, units, places (of the tokens; -1: none), documents dealt by length.
 
-    most: documents are cut into parts of so many tokens, each of which begins with an empty state and its own last token.
-    """
+def in_lanes(t: Tokens, v: Vocabulary):
+    """Arrays steps x lanes of inputs, keep, classes, units, places (of the tokens; -1: none), whole documents dealt by length."""
     starts, lengths = np.cumsum(t.lengths) - t.lengths, t.lengths
-    firsts = starts
-    if most:
-        parts = -(-lengths // most)
-        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, lengths = np.repeat(starts, parts) + within * most, np.minimum(most, np.repeat(lengths, parts) - within * most)
     lanes = int(np.clip(lengths.sum() // lengths.max(), 1, LANES))
     heap, dealt = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
     for d in np.argsort(-lengths, kind="stable").tolist():
@@ -386,7 +410,7 @@ def in_lanes(t: Tokens, v: Vocabulary, most: int | None = None):
     # the input for a token is the token before it; for a document's first, the end
     own = np.where((t.index >= 0) & (t.index < v.head), t.index, v.head + t.classes).astype(np.intp)
     before = np.concatenate([[0], own[:-1]]).astype(np.intp)
-    before[firsts] = 0
+    before[starts] = 0
     for lane, docs in enumerate(dealt):
         at = 0
         for d in docs:
@@ -399,11 +423,9 @@ def in_lanes(t: Tokens, v: Vocabulary, most: int | None = None):
     return np.ascontiguousarray(inputs.T), np.ascontiguousarray(keep.T), t.classes.take(places), t.units.take(places), places
 
 
-def train_on(trainer: Trainer, texts: list[str | None]) -> float:
-    """One pass over the texts; the natural log-likelihood met on the way."""
-    if not texts:
-        return 0.0
-    inputs, keep, classes, units, places = in_lanes(tokens_of(texts, trainer.v), trainer.v, PART)
+def train_on(trainer: Trainer, t: Tokens) -> float:
+    """One pass over the tokens, states carried through whole documents; the natural log-likelihood met on the way."""
+    inputs, keep, classes, units, places = in_lanes(t, trainer.v)
     state, total = np.zeros((inputs.shape[1], HIDDEN), np.float32), 0.0
     for at in range(0, len(inputs), STEPS):
         w = slice(at, at + STEPS)
@@ -429,31 +451,53 @@ def score_tokens(p: Weights, v: Vocabulary, t: Tokens) -> np.ndarray:
 # ---- training over all rows -----------------------------------------------------------------------------------
 
 
-def start_weights(training: DataFrame, v: Vocabulary) -> tuple[Weights, Weights]:
-    """Weights and Adagrad sums from START_ROWS rows at most, the first by a hash of the id."""
-    picked = training.where(F.char_length(F.coalesce("text", F.lit(""))) <= START_CHARS)
-    texts = [r[1] for r in first_by_hash(picked.select("doc_id", "text"), START_ROWS, "doc_id", "text", of=int(v.counts[0])).collect()]
-    trainer = Trainer(new_weights(v), v)
-    for _ in range(START_PASSES):
-        train_on(trainer, texts)
-    return trainer.p, trainer.sums
+@dataclass(frozen=True)
+class Rounds:
+    """How many replicas and rounds so many training tokens have."""
+
+    replicas: int
+    rounds: int
+
+    @classmethod
+    def of(cls, tokens: int) -> Rounds:
+        replicas = max(1, math.ceil(math.sqrt(tokens / REPLICA_TOKENS)))
+        return cls(replicas, max(1, math.ceil(math.log2(tokens / replicas / FIRST_TOKENS + 1))))
+
+    def replica(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(self.replicas)).cast("int")
+
+    def round(self, key: Column) -> Column:
+        """Shares of 1, 2, 4, ... of all rows."""
+        part = F.shiftrightunsigned(F.xxhash64(key), 11) / 2.0**53
+        return F.least(F.floor(F.log2(part * (2**self.rounds - 1) + 1)), F.lit(self.rounds - 1)).cast("int")
 
 
-def train(training: DataFrame, v: Vocabulary) -> Weights:
-    """A start, one pass of every task over its training rows, and the average of the tasks' weights."""
-    weights, sums = start_weights(training, v)
+def chunks_of(codes: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Documents' codes in the order given, joined to chunks that end with the document that fills CHUNK_TOKENS; and their lengths."""
+    held, n = [], 0
+    for c in codes:
+        held.append(c)
+        n += len(c)
+        if n >= CHUNK_TOKENS:
+            yield np.concatenate(held), np.array([len(x) for x in held], np.int64)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held), np.array([len(x) for x in held], np.int64)
+
+
+def train_replica(trainer: Trainer, codes: Iterator[np.ndarray]) -> None:
+    for joined, lengths in chunks_of(codes):
+        train_on(trainer, tokens_from(joined, lengths, trainer.v))
+
+
+def train(tokens: DataFrame, v: Vocabulary, plan: Rounds) -> Weights:
+    """Rounds of replicas, each followed by an average, over the training rows of encode()."""
+    weights, spark = new_weights(v), tokens.sparkSession
+    sums = Trainer(weights, v).sums
     names, sizes = list(weights), [weights[k].size for k in weights]
-    shared = training.sparkSession.sparkContext.broadcast((v, weights, sums))  # bounded by FREQUENT, HEAD and HIDDEN
-
-    def replica(batches):
-        v, weights, sums = shared.value
-        trainer = Trainer(weights, v, sums)
-        for batch in small_batches(20_000, "text", CHUNK_BYTES)(batches):
-            train_on(trainer, batch.column("text").to_pylist())
-        if trainer.tokens:
-            flat = np.concatenate([trainer.p[k].ravel() for k in names]).astype(np.float64) * trainer.tokens
-            blocks = np.array_split(flat, BLOCKS)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "tokens": pa.array([trainer.tokens] * BLOCKS, pa.int64()), "sums": pa.array([b.tobytes() for b in blocks], pa.binary())})
+    flat = lambda x: np.concatenate([x[k].ravel() for k in names]).astype(np.float64)
+    back = lambda x: {k: part.astype(np.float32).reshape(weights[k].shape) for k, part in zip(names, np.split(x, np.cumsum(sizes)[:-1]))}
+    schema = "block int, tokens long, sums binary"
 
     def added(batches):
         kept: dict[int, list] = {}
@@ -463,65 +507,113 @@ def train(training: DataFrame, v: Vocabulary) -> Weights:
                 kept[b] = [kept[b][0] + n, kept[b][1] + part] if b in kept else [n, part]
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(kept), pa.int32()), "tokens": pa.array([x[0] for x in kept.values()], pa.int64()), "sums": pa.array([x[1].tobytes() for x in kept.values()], pa.binary())})
 
-    schema = "block int, tokens long, sums binary"
-    replicas = training.select("text").mapInArrow(replica, schema)
-    total = replicas.repartition(BLOCKS, "block").mapInArrow(added, schema).orderBy("block").collect()  # one replica's size
-    if not total:
-        return weights
-    flat = np.concatenate([np.frombuffer(r["sums"], np.float64) / r["tokens"] for r in total]).astype(np.float32)
-    return {k: x.reshape(weights[k].shape) for k, x in zip(names, np.split(flat, np.cumsum(sizes)[:-1]))}
+    for number in range(plan.rounds):
+        shared = spark.sparkContext.broadcast((v, weights, sums))  # bounded by FREQUENT, HEAD and HIDDEN
+
+        def replica(batches, shared=shared):
+            v, weights, sums = shared.value
+            trainer = Trainer(weights, v, sums)
+            train_replica(trainer, (np.frombuffer(c.as_buffer(), np.uint16) for b in batches for c in b.column("codes")))
+            if trainer.tokens:
+                blocks = np.array_split(np.concatenate([flat(trainer.p), flat(trainer.sums)]) * trainer.tokens, BLOCKS)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "tokens": pa.array([trainer.tokens] * BLOCKS, pa.int64()), "sums": pa.array([b.tobytes() for b in blocks], pa.binary())})
+
+        rows = tokens.where(F.col("round") == number).select("replica", "key", "doc_id", "codes")
+        # one partition for each replica, its rows in an order of their own
+        rows = rows.repartitionById(plan.replicas, "replica").sortWithinPartitions("key", "doc_id", "codes")
+        replicas = rows.select("codes").mapInArrow(replica, schema)
+        total = replicas.repartition(BLOCKS, "block").mapInArrow(added, schema).orderBy("block").collect()  # one replica's size
+        if total:
+            mean = np.concatenate([np.frombuffer(r["sums"], np.float64) / r["tokens"] for r in total])
+            weights, sums = back(mean[: sum(sizes)]), back(mean[sum(sizes) :])
+        shared.destroy()
+    return weights
 
 
 # ---- scores ---------------------------------------------------------------------------------------------------
 
-PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, lm double, rare array<string>"
+TOKENS = "row long, doc_id long, n_tokens long, n_known long, base double, codes binary, rare array<string>"
+
 
+def encode(docs: DataFrame, v: Vocabulary, plan: Rounds) -> DataFrame:
+    """Each row's codes, what is known of its counts, its words beyond the frequent ones, and where it is trained (round -1: nowhere).
 
-def score_parts(docs: DataFrame, v: Vocabulary, weights: Weights) -> DataFrame:
-    """What workers know of each row: sums over its tokens without the counts of rare words, and those words."""
-    shared = docs.sparkSession.sparkContext.broadcast((v, weights))  # bounded by FREQUENT, HEAD and HIDDEN
+    Rows of a round lie together in each file, so that a round's scan skips pages of the others.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(v)  # bounded by FREQUENT
 
     def make():
-        v, p = shared.value
+        v = shared.value
         row = TaskContext.get().partitionId() << 33
 
         def work(batch: pa.RecordBatch) -> dict:
             nonlocal row
-            t = tokens_of(batch.column("text").to_pylist(), v)
+            c = coded(batch.column("text").to_pylist(), v)
+            frequent = c.codes < RARE
+            index = np.where(frequent, c.codes, 0)
+            known = np.where(frequent, v.count_log[index], 0.0)  # other words' logs follow from the join
+            at = np.cumsum(c.lengths) - c.lengths
+            rows = np.arange(row, row + batch.num_rows)
+            row += batch.num_rows
+            bytes_at = np.append(at, len(c.codes)).astype(np.int32) * 2
+            codes = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(bytes_at), pa.py_buffer(c.codes)])
+            words = pa.array(list(chain.from_iterable(c.rare)), pa.binary()).cast(pa.string())
+            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c.rare)]), pa.int32()), words)
+            return {
+                "row": rows, "doc_id": batch.column("doc_id"), "n_tokens": c.lengths, "n_known": np.add.reduceat((frequent & (v.counts[index] > 0)).astype(np.int64), at),
+                "base": np.add.reduceat(known, at) - c.lengths * v.base_log, "codes": codes, "rare": rare,
+            }
+
+        return work
+
+    rows = map_rows(docs, ["doc_id", "text"], TOKENS, make, "text", 20_000, CHUNK_BYTES)
+    key = F.xxhash64("doc_id", "codes")
+    placed = rows.withColumns({"key": key, "replica": plan.replica(key), "round": F.when(held_out(F.col("doc_id")), -1).otherwise(plan.round(key))})
+    return placed.sortWithinPartitions("round")
+
+
+def score_rows(tokens: DataFrame, v: Vocabulary, weights: Weights) -> DataFrame:
+    """(row, lm): each row's log10 probability without the counts of its words beyond the frequent ones."""
+    shared = tokens.sparkSession.sparkContext.broadcast((v, weights))  # bounded by FREQUENT, HEAD and HIDDEN
+
+    def make():
+        v, p = shared.value
+
+        def work(batch: pa.RecordBatch) -> dict:
+            each = [np.frombuffer(c.as_buffer(), np.uint16) for c in batch.column("codes")]
+            t = tokens_from(np.concatenate(each), np.array([len(c) for c in each], np.int64), v)
             lm = score_tokens(p, v, t) / np.log(10)
             rest = (t.index < 0) | (t.index >= v.head)
             lm[rest] -= v.rest_log[t.classes[rest]]
-            known = np.where(t.index >= 0, v.count_log[t.index], 0.0)  # rare words' logs follow from the join
-            lm[rest] += known[rest]
-            at = np.cumsum(t.lengths) - t.lengths
-            base = np.add.reduceat(known, at) - t.lengths * v.base_log
-            met = np.add.reduceat(((t.index >= 0) & (v.counts[t.index] > 0)).astype(np.int64), at)
-            rows = np.arange(row, row + batch.num_rows)
-            row += batch.num_rows
-            ends = np.cumsum([0, *map(len, t.rare)])
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(t.rare)), pa.binary()).cast(pa.string()))
-            return {"row": rows, "doc_id": batch.column("doc_id"), "n_tokens": t.lengths, "n_known": met, "base": base, "lm": np.add.reduceat(lm, at), "rare": rare}
+            frequent = t.index >= v.head
+            lm[frequent] += v.count_log[t.index[frequent]]
+            return {"row": batch.column("row"), "lm": np.add.reduceat(lm, np.cumsum(t.lengths) - t.lengths)}
 
         return work
 
-    return map_rows(docs, ["doc_id", "text"], PARTS, make, "text", 20_000)
+    return map_rows(tokens, ["row", "codes"], "row long, lm double", make, "codes", 20_000, 2 * CHUNK_TOKENS)
 
 
-def log_likelihoods(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row."""
-    docs = docs.select("doc_id", "text")
+def _log_likelihoods(docs: DataFrame) -> DataFrame:
     training = docs.where(~held_out(F.col("doc_id")))
     counts = materialize(count_words(training), "word-counts")
     v = read_vocabulary(counts)
-    weights = train(training, v)
-    parts = materialize(score_parts(docs, v, weights), "lm-parts")
-    rare = parts.select("row", F.explode("rare").alias("word"))
+    plan = Rounds.of(v.tokens)
+    tokens = materialize(encode(docs, v, plan), "lm-tokens")
+    scores = materialize(score_rows(tokens, v, train(tokens, v, plan)), "lm-scores")
+    rare = tokens.select("row", F.explode("rare").alias("word"))
     # counts have one row for each word, so no key is hot on the side that is hashed
     met = rare.join(counts.select("word", "n").hint("shuffle_hash"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = met.groupBy("row").agg(F.sum(F.log10(F.col("n") + 0.5)).alias("logs"), F.count_if(F.col("n") > 0).alias("met"))
-    both = parts.drop("rare").join(sums, "row", "left")
+    both = tokens.select("row", "doc_id", "n_tokens", "n_known", "base").join(scores, "row").join(sums, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return both.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("lm") + logs).alias("score"),
     )
+
+
+def log_likelihoods(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row, as a stored table."""
+    with temporary(docs.sparkSession):
+        return materialize(_log_likelihoods(docs.select("doc_id", "text")), "lm-likelihoods", outer=True)
