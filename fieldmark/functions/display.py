@@ -45,7 +45,7 @@ def agreement_label(matched: Column, compared: Column) -> Column:
 
 
 def seconds_label(ms: Column) -> Column:
-    return F.format_string("%.1fs", ms / 1000)
+    return F.when(ms.isNotNull(), F.format_string("%.1fs", ms / 1000))
 
 
 def short_model(model: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldmark.functions.binding import bind
+
 #: Unicode white space; the four separators U+001C to U+001F count as white space too.
 SPACE = r"[\s\x1C-\x1F]"
 ASCII_ONLY = r"\A\p{ASCII}*\z"
@@ -42,11 +44,15 @@ def normalised(values: list[Column]) -> Column:
 
 def strip_fences(c: Column) -> Column:
     """The reply without a code fence at its ends, cut to its outermost braces where it has them."""
-    bare = F.regexp_replace(strip(c), r"(?iU)\A\s*```(?:json)?\s*|\s*```\s*\z", "")
-    first = F.instr(bare, "{")
-    last = F.char_length(bare) - F.instr(F.reverse(bare), "}") + 1
-    has = (first > 0) & (F.instr(bare, "}") > 0) & (last > first)
-    return F.when(has, bare.substr(first, last - first + 1)).otherwise(strip(bare))
+
+    def cut(bare: Column) -> Column:
+        first = F.instr(bare, "{")
+        last = F.char_length(bare) - F.instr(F.reverse(bare), "}") + 1
+        # without "}" the reversed text has no place for it either, and last is beyond the end
+        has = (first > 0) & (last > first) & (last <= F.char_length(bare))
+        return F.when(has, bare.substr(first, last - first + 1)).otherwise(strip(bare))
+
+    return bind(F.regexp_replace(strip(c), r"(?iU)\A\s*```(?:json)?\s*|\s*```\s*\z", ""), cut)
 
 
 def escape_html(c: Column) -> Column:

@@ -1,7 +1,8 @@
 """The whole extraction: requests, replies, one retry, merge, boxes, response.
 
-Replies are stored before anything branches on them, so that an expensive or random model runs once for each
-request. The second round asks only for replies that couldn't be parsed: of A always, of B where A could be.
+Replies are stored as tables before anything branches on them, so that an expensive or random model runs once for each
+request, also if executors are lost. The second round asks only for replies that couldn't be parsed: of A always, of B
+where A could be. A document's replies then come together in one row, and all that follows is a projection of it.
 """
 
 from __future__ import annotations
@@ -12,68 +13,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.text import strip
-from fieldmark.operators.boxes import attach_boxes, filter_boxes
+from fieldmark.operators.boxes import box_of, filtered
 from fieldmark.operators.inference import Engine, requests, retry_prompt
-from fieldmark.operators.merge import long_fields, merge_passes
-from fieldmark.operators.parsing import parse_boxes, parse_card
+from fieldmark.operators.merge import merge_passes
+from fieldmark.operators.parsing import boxes_of, parse_card
 from fieldmark.schemas import CARD, FIELDS
 from fieldmark.settings import Settings
+from fieldmark.sources.writers import stored
 
+#: Makes a table of a frame and reads it back; writers.stored, or a writers.Stored that deletes its tables afterwards.
 Keep = Callable[[DataFrame], DataFrame]
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """The default way to store replies; on a cluster whose model calls are dear, pass one that writes a table."""
-    return df.persist()
+def resolve_replies(engine: Engine, first: DataFrame, keep: Keep = stored) -> DataFrame:
+    """doc_id, a, b (cards or null), boxes (the reply to C), raw_text and error of each document, from the first round's replies, a stored table.
 
-
-def resolve_replies(engine: Engine, first: DataFrame, keep: Keep = cached, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, a, b (cards or null), raw_text and error of each document, from the first round's replies to A and B.
-
-    raw_text is the reply to A that was parsed, or the last one where none was.
+    raw_text is the reply to A that was parsed, or the last one where none was; error is what A's first reply failed by.
     """
-    parsed = keep(parse_card(first.where("reading IN ('A', 'B')"), "text"))
+    parse = lambda df: keep(parse_card(df.select("doc_id", "reading", "attempt", "text"), "text"))
+    parsed = parse(first.where("reading IN ('A', 'B')"))
     failed = parsed.where("card IS NULL").select("doc_id", "reading", "error")
     again = failed.select("doc_id", "reading", F.lit(2).alias("attempt"), F.when(F.col("reading") == "B", "contrast").otherwise("original").alias("variant"), retry_prompt(F.col("error")).alias("prompt"))
-    retried_a = keep(parse_card(engine.generate(again.where("reading = 'A'")), "text"))
+    retried_a = parse(engine.generate(again.where("reading = 'A'")))
     lost = retried_a.where("card IS NULL").select("doc_id")
     # B is read again on its own variant, and only where A came out
-    retried_b = keep(parse_card(engine.generate(again.where("reading = 'B'").join(lost, "doc_id", "left_anti")), "text"))
-    second = retried_a.unionByName(retried_b).select("doc_id", "reading", F.col("card").alias("card2"), F.col("text").alias("text2"))
-    best = parsed.join(second, ["doc_id", "reading"], "left")
-    best = best.select("doc_id", "reading", F.coalesce("card", "card2").alias("card"), F.when(F.col("card").isNotNull(), F.col("text")).otherwise(F.coalesce("text2", "text")).alias("raw"), "error")
-    of = lambda r, c: F.max_by(F.when(F.col("reading") == r, F.col(c)), F.col("reading") == r)
-    return best.groupBy("doc_id").agg(of("A", "card").alias("a"), of("B", "card").alias("b"), of("A", "raw").alias("raw_text"), of("A", "error").alias("error"))
+    retried_b = parse(engine.generate(again.where("reading = 'B'").join(lost, "doc_id", "left_anti")))
+    boxes = first.where("reading = 'C'").select("doc_id", "reading", "attempt", "text")
+    replies = parsed.unionByName(retried_a).unionByName(retried_b).unionByName(boxes, allowMissingColumns=True)
+    is_ = lambda r, n: (F.col("reading") == r) & (F.col("attempt") == n)
+    of = lambda c, r, n: F.max(F.when(is_(r, n), F.col(c)))
+    raw = F.coalesce(F.max(F.when(is_("A", 1) & F.col("card").isNotNull(), F.col("text"))), of("text", "A", 2), of("text", "A", 1))
+    return replies.groupBy("doc_id").agg(
+        F.coalesce(of("card", "A", 1), of("card", "A", 2)).alias("a"), F.coalesce(of("card", "B", 1), of("card", "B", 2)).alias("b"), of("text", "C", 1).alias("boxes"), raw.alias("raw_text"), of("error", "A", 1).alias("error"),
+    )
 
 
 def extract_fields(resolved: DataFrame, as_of=None) -> DataFrame:
     """Merged cards; a document whose A never parsed has all fields missing, no agreement and B ignored."""
     blank = F.struct(*[F.lit(None).cast("string").alias(f.name) for f in CARD])
-    usable = resolved.withColumns({"b": F.when(F.col("a").isNotNull(), F.col("b")), "a": F.coalesce("a", blank)})
+    usable = resolved.withColumns({"b": F.when(F.col("a").isNotNull(), F.col("b")), "a": F.coalesce("a", blank), "readable": F.col("a").isNotNull()})
     return merge_passes(usable, as_of)
 
 
-def extract(docs: DataFrame, engine: Engine, settings: Settings = Settings(), as_of=None, keep: Keep = cached) -> DataFrame:
+def extract(docs: DataFrame, engine: Engine, settings: Settings = Settings(), as_of=None, keep: Keep = stored) -> DataFrame:
     """One response for each document: doc_id, fields (map of field results), raw_text, agreement, elapsed_ms, model.
 
     docs: doc_id, w, h and, where the model works on another size, pw, ph; elapsed_ms if it is measured.
     """
     replies = keep(engine.generate(requests(docs, settings)))
-    merged = extract_fields(resolve_replies(engine, replies, keep, settings), as_of)
-    fields = long_fields(merged, "doc_id")
+    merged = extract_fields(keep(resolve_replies(engine, replies, keep)), as_of)
+    given = [F.col(c) if c in docs.columns else F.lit(None).cast("int").alias(c) for c in ("pw", "ph", "w", "h", "elapsed_ms")]
+    rows = merged.join(docs.select("doc_id", *given), "doc_id")
     if settings.show_boxes:
-        sized = docs.select("doc_id", *[F.col(c) if c in docs.columns else F.lit(None).cast("int").alias(c) for c in ("pw", "ph", "w", "h")])
-        raw = parse_boxes(replies.where("reading = 'C'"), "text", "doc_id").join(sized, "doc_id")
         # boxes belong to documents whose A came out
-        fields = attach_boxes(fields, filter_boxes(raw, "doc_id").join(merged.where("agreement.compared > 0 OR exists(fields, f -> f.status <> 'missing')").select("doc_id"), "doc_id", "left_semi"), "doc_id")
+        sizes = [F.coalesce("pw", "w"), F.coalesce("ph", "h"), F.col("w"), F.col("h")]
+        rows = rows.withColumn("left", F.when(F.col("readable"), filtered(boxes_of(F.col("boxes")), *sizes)))
     else:
-        fields = fields.withColumn("box", F.lit(None).cast("struct<x1:int,y1:int,x2:int,y2:int>"))
-    entry = F.struct("ordinal", "field", F.struct("value", "value_ar", "status", "reason", "box").alias("result"))
-    maps = fields.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    maps = maps.select("doc_id", F.map_from_entries(F.transform("e", lambda x: F.struct(x["field"], x["result"]))).alias("fields"))
-    times = docs.select("doc_id", (F.col("elapsed_ms") if "elapsed_ms" in docs.columns else F.lit(None).cast("int")).alias("elapsed_ms"))
-    rest = merged.select("doc_id", "raw_text", "agreement")
-    return maps.join(rest, "doc_id").join(times, "doc_id").withColumn("model", F.lit(engine.model_id)).select("doc_id", "fields", "raw_text", "agreement", "elapsed_ms", "model")
+        rows = rows.withColumn("left", F.lit(None).cast("array<struct<field:string,x1:int,y1:int,x2:int,y2:int>>"))
+    result = lambda f: F.struct(f["value"], f["value_ar"], f["status"], f["reason"], box_of(F.col("left"), f["field"]).alias("box"))
+    fields = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["field"], result(f))))
+    return rows.select("doc_id", fields.alias("fields"), "raw_text", "agreement", "elapsed_ms", F.lit(engine.model_id).alias("model"))
 
 
 def all_missing(fields=FIELDS) -> dict:

@@ -27,3 +27,9 @@ def guarded(metrics: DataFrame) -> DataFrame:
 
 def log_line(row) -> str:
     return f"extract elapsed_ms={row['elapsed_ms']} agreement={row['matched']}/{row['total']} ok={row['ok']} review={row['review']} missing={row['missing']}"
+
+
+def log_lines(metrics: DataFrame) -> DataFrame:
+    """doc_id and the line of each row, in the JVM."""
+    c = [F.col(k) for k in ("elapsed_ms", "matched", "total", "ok", "review", "missing")]
+    return guarded(metrics).select("doc_id", F.format_string("extract elapsed_ms=%d agreement=%d/%d ok=%d review=%d missing=%d", *c).alias("line"))

@@ -1,7 +1,8 @@
 """Model replies to typed data, in the JVM.
 
 A reply is cut to its outermost braces and must then be one JSON object whose keys are a card's and whose values are
-strings, numbers or null. Types are judged on the VARIANT, values taken from from_json, whose number text is the source's.
+strings, numbers or null. Types are judged on VARIANT values, values taken from from_json, whose number text is the source's.
+Of repeated keys the last counts; objects are read as maps, which keep them all, so no setting of the session matters.
 Numbers that aren't finite are an error: they are no legible field.
 """
 
@@ -10,65 +11,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmark.functions.binding import bind
 from fieldmark.functions.text import SPACE, strip_fences
 from fieldmark.schemas import CARD, CARD_KEYS
 
 NOT_JSON, NOT_OBJECT, NOT_CARD = "not valid JSON", "expected a JSON object, got ", "does not match the card schema"
 #: Variant types that a card's value may have; numbers become their text.
-SCALARS = ("STRING", "VOID", "BIGINT", "DOUBLE", "FLOAT")
+SCALARS = ("STRING", "VOID", "BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 _NAMES = {"ARRAY": "list", "STRING": "str", "BOOLEAN": "bool", "VOID": "NoneType", "BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "DECIMAL": "float"}
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def allow_repeated_keys(spark) -> None:
-    """As in most JSON readers, the last of repeated keys counts."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+def _kind(v: Column) -> Column:
+    """The type's name without its parameters; an absent value and a null are VOID."""
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(v), r"\A[A-Z]+", 0), F.lit("VOID"))
 
 
-def _kind(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), r"\A[A-Z]+", 0)
+def _in_brackets(json: Column) -> Column:
+    """In brackets, anything after a value makes the whole unreadable or a second element."""
+    return F.concat(F.lit("["), json, F.lit("]"))
+
+
+def entries_of(json: Column) -> Column:
+    """The keys and values (variants) of a text that is one JSON object, the last of repeated keys; null for any other text."""
+    read = F.from_json(_in_brackets(json), "array<map<string, variant>>", STRICT)
+    last = lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda later: later["key"] == x["key"]))
+    return bind(read, lambda r: F.when(F.size(r) == 1, bind(F.map_entries(F.get(r, F.lit(0))), last)))
 
 
 def parse_card(df: DataFrame, text: str = "text", card: str = "card", error: str = "error") -> DataFrame:
     """df with card (null if the reply isn't one) and error (null if it is)."""
-    allow_repeated_keys(df.sparkSession)
     df = df.withColumn("_json", strip_fences(F.col(text)))
-    # in brackets, anything after the object makes the whole unreadable or a second element
-    df = df.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), F.col("_json"), F.lit("]"))))
-    part = lambda path: F.try_variant_get("_all", path, "variant")
-    one = F.col("_all").isNotNull() & part("$[0]").isNotNull() & part("$[1]").isNull()
-    df = df.withColumns({"_kind": F.when(one, _kind(part("$[0]"))), "_keys": F.json_object_keys("_json"), "_read": F.from_json("_json", CARD, {"allowSingleQuotes": "false"})})
-    kinds = [F.coalesce(_kind(part(f"$[0].{k}")), F.lit("VOID")) for k in CARD_KEYS]
-    known = F.size(F.array_except("_keys", F.array(*[F.lit(k) for k in CARD_KEYS]))) == 0
-    scalar = F.forall(F.array(*kinds), lambda k: k.isin(*SCALARS, "DECIMAL"))
-    got = F.lit("other")
-    for k, name in _NAMES.items():
-        got = F.when(F.col("_kind") == k, name).otherwise(got)
+    df = df.withColumns({"_entries": entries_of(F.col("_json")), "_read": F.from_json("_json", CARD, STRICT)})
+    known = F.forall("_entries", lambda e: e["key"].isin(*CARD_KEYS))
+    scalar = F.forall("_entries", lambda e: _kind(e["value"]).isin(*SCALARS))
+    got = lambda kind: F.coalesce(F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])[kind], F.lit("other"))
+    # what is no object is read once more for its type
+    other = lambda all_: F.when(all_.isNull() | F.try_variant_get(all_, "$[0]", "variant").isNull() | F.try_variant_get(all_, "$[1]", "variant").isNotNull(), NOT_JSON).otherwise(F.concat(F.lit(NOT_OBJECT), got(_kind(F.try_variant_get(all_, "$[0]", "variant")))))
     reason = (
-        F.when(F.col("_kind").isNull(), NOT_JSON)
-        .when(F.col("_kind") != "OBJECT", F.concat(F.lit(NOT_OBJECT), got))
+        F.when(F.col("_entries").isNull(), F.coalesce(bind(F.try_parse_json(_in_brackets(F.col("_json"))), other), F.lit(NOT_JSON)))
         .when(~known, f"{NOT_CARD}: a key that no card has")
         .when(~scalar, f"{NOT_CARD}: a value that is no string")
     )
     blank = lambda k: F.when(~F.col("_read")[k].rlike(rf"(?U)\A{SPACE}*\z"), F.col("_read")[k])
     df = df.withColumn(error, reason)
     made = F.when(F.col(error).isNull(), F.struct(*[blank(k).alias(k) for k in CARD_KEYS]))
-    return df.withColumn(card, made).drop("_json", "_all", "_kind", "_keys", "_read")
+    return df.withColumn(card, made).drop("_json", "_entries", "_read")
 
 
-def parse_boxes(df: DataFrame, text: str = "text", *keys: str) -> DataFrame:
-    """keys, field, x1, y1, x2, y2 for each readable box of each reply, from [x1, y1, x2, y2] or {"bbox_2d": [...]}.
+def boxes_of(text: Column) -> Column:
+    """The readable boxes of a reply as an array of (field, x1, y1, x2, y2), from [x1, y1, x2, y2] or {"bbox_2d": [...]}; null if it can't be read.
 
-    An unreadable reply has no rows, an unreadable box no row; a number may be a string or a boolean; half rounds to even.
+    A number may be a string or a boolean; half rounds to even.
     """
-    allow_repeated_keys(df.sparkSession)
-    json = df.select(*keys, F.concat(F.lit("["), strip_fences(F.col(text)), F.lit("]")).alias("_json"))
-    json = json.select(*keys, F.try_parse_json("_json").alias("_all")).where("try_variant_get(_all, '$[1]', 'variant') IS NULL")
-    json = json.select(*keys, F.expr("try_variant_get(_all, '$[0]', 'variant')").alias("_object")).where("schema_of_variant(_object) LIKE 'OBJECT%'")
-    each = json.sparkSession.sql(f"SELECT {', '.join(f'j.{k}' for k in keys)}, e.key AS field, e.value AS v FROM {{j}} j, LATERAL variant_explode(j._object) e", j=json)
-    inner = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.expr("try_variant_get(v, '$.bbox_2d', 'array<variant>')")).otherwise(F.expr("try_variant_get(v, '$', 'array<variant>')"))
-    each = each.select(*keys, "field", inner.alias("list")).where(F.size("list") == 4)
     # strings and booleans count as the numbers that they say
     number = lambda v: F.coalesce(F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "boolean").cast("double"))
     whole = lambda x: F.rint(F.when(~F.isnan(x) & (F.abs(x) < 2147483648.0), x)).cast("int")
-    each = each.select(*keys, "field", F.transform(F.transform("list", number), whole).alias("b")).where(F.forall("b", lambda x: x.isNotNull()))
-    return each.select(*keys, "field", *[F.col("b")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+    corners = lambda v: F.transform(F.transform(F.coalesce(F.try_variant_get(v, "$.bbox_2d", "array<variant>"), F.try_variant_get(v, "$", "array<variant>")), number), whole)
+    read = F.transform(entries_of(strip_fences(text)), lambda e: F.struct(e["key"].alias("field"), corners(e["value"]).alias("b")))
+    whole_ones = F.filter(read, lambda x: (F.size(x["b"]) == 4) & F.forall(x["b"], lambda n: n.isNotNull()))
+    return F.transform(whole_ones, lambda x: F.struct(x["field"], *[x["b"][i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]))
+
+
+def parse_boxes(df: DataFrame, text: str = "text", *keys: str) -> DataFrame:
+    """keys, field, x1, y1, x2, y2 for each readable box of each reply (see boxes_of); an unreadable reply has no rows."""
+    rows = df.select(*keys, F.explode_outer(boxes_of(F.col(text))).alias("_b"))
+    return rows.where("_b IS NOT NULL").select(*keys, "_b.*")

@@ -82,13 +82,23 @@ def box_counts(pairs: DataFrame) -> DataFrame:
 def latency_summary(times: DataFrame, ms: str = "elapsed_ms") -> DataFrame:
     """median_ms (the upper one) and max_ms.
 
-    Times are counted by value first, so the ordered step runs over the distinct milliseconds of a request, not over requests.
+    Times are counted by value first, and the middle is sought among whole seconds and then inside one of them, so neither
+    ordered step runs over more than the seconds that a request may take, or a thousand values.
     """
-    counts = times.where(F.col(ms).isNotNull()).groupBy(ms).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(ms).rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    middle = upto.join(F.broadcast(total), F.col("upto") > F.floor(F.col("total") / 2), "inner")
-    return middle.agg(F.min(ms).alias("median_ms"), F.max(ms).alias("max_ms"))
+    counts = times.where(F.col(ms).isNotNull()).groupBy(F.col(ms).alias("ms")).agg(F.count(F.lit(1)).alias("n")).withColumn("second", F.floor(F.col("ms") / 1000))
+    before = lambda key: F.coalesce(F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seconds = counts.groupBy("second").agg(F.sum("n").alias("n"), F.max("ms").alias("most")).withColumn("before", before("second"))
+    seconds = seconds.withColumns({"total": F.sum("n").over(Window.partitionBy()), "max_ms": F.max("most").over(Window.partitionBy())})
+    middle = seconds.where("before <= floor(total / 2) AND before + n > floor(total / 2)").select("second", F.col("before").alias("_before"), "total", "max_ms")
+    inside = counts.join(F.broadcast(middle), "second").withColumn("upto", F.col("_before") + before("ms") + F.col("n"))  # one row
+    return inside.where("upto > floor(total / 2)").agg(F.min("ms").alias("median_ms"), F.max("max_ms").alias("max_ms"))
+
+
+def summary(compared: DataFrame, pairs: DataFrame, times: DataFrame, self_consistency: bool = True) -> DataFrame:
+    """One row of the whole report: silent errors, boxes, latency, and comparable: whether there was a second reading, without which silent errors compare with no normal run."""
+    boxes = box_counts(pairs).select("hits", F.col("total").alias("boxes"), F.col("expected").alias("boxes_expected"), "coverage", "hit_rate")
+    row = silent_error_rate(compared).crossJoin(F.broadcast(boxes)).crossJoin(F.broadcast(latency_summary(times)))  # one row each
+    return row.withColumn("comparable", F.lit(self_consistency))
 
 
 def report_text(per_field_rows: list, silent: list, rate, boxes, latency, self_consistency: bool = True) -> str:

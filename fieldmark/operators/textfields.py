@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmark.functions.binding import bind
+
 #: A word boundary between ASCII word characters only; Java's \b counts accented letters as well.
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _TRIM = r"(?U)\A[\s﻿]+|[\s﻿]+\z"
@@ -21,6 +25,8 @@ LABELS = (
     ("Reference", rf"{_B}(?:invoice|ref|reference)(?:\s*(?:(?:no|number){_E}|#(?=[A-Za-z0-9_]))|{_E})\s*[:.\-]\s*([A-Z0-9\-\/]{{3,}})"),
     ("Total", rf"{_B}(?:total|amount\s*due){_E}\s*[:.\-]?\s*([A-Z]{{0,3}}\s?[\d,.]+)"),
 )
+#: One of these, in lower case, is in every line that a label's pattern fits.
+LABEL_WORDS = ("name", "id", "civil", "national", "passport", "birth", "dob", "expir", "valid", "citizenship", "sex", "gender", "invoice", "ref", "total", "amount")
 DATE = rf"{_B}\d{{1,2}}[/\-.]\d{{1,2}}[/\-.]\d{{2,4}}{_E}"
 LONG_NUMBER = rf"{_B}\d{{7,14}}{_E}"
 MACHINE_LINE = r"[A-Z0-9<]{25,}"
@@ -55,25 +61,45 @@ def capitals_line(lines: Column) -> Column:
     return F.get(F.filter(lines, lambda x: x.rlike(CAPITALS)), F.lit(0))
 
 
-def extract_text_fields(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with ``found``: array of (key, value), labels in the order in which lines have them, then the fallbacks.
+def _may_be_labelled(line: Column) -> Column:
+    return bind(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in LABEL_WORDS]))
+
 
-    The first value of a key counts, so each key is sought once and ranked by its first line; nothing is shuffled.
+def extract_text_fields(df: DataFrame, text: str = "text", fallbacks: bool = True) -> DataFrame:
+    """df with ``found``: array of (key, value), labels in the order in which lines have them, then the fallbacks if wanted.
+
+    The first value of a key counts, so each key is sought once and ranked by its first line; nothing is shuffled. The
+    labels' patterns run over the few lines that have a label's word.
     """
     df = df.withColumn("_lines", lines_of(F.col(text)))
     said, lines = F.col(text), F.col("_lines")
+    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("line"), line.alias("text")))
+    df = df.withColumn("_labelled", F.filter(numbered, lambda x: _may_be_labelled(x["text"])))
     # (line, label) of the first value of each key, to bring keys into the order of the text
     def labelled(k: int, pattern: str) -> Column:
-        hits = F.transform(lines, lambda line, i: F.struct(i.alias("line"), F.lit(k).alias("label"), trimmed(F.regexp_extract(line, f"(?i){pattern}", 1)).alias("value")))
+        hits = F.transform("_labelled", lambda x: F.struct(x["line"].alias("line"), F.lit(k).alias("label"), trimmed(F.regexp_extract(x["text"], f"(?i){pattern}", 1)).alias("value")))
         return F.get(F.filter(hits, lambda h: h["value"] != ""), F.lit(0))
 
     found = F.array_sort(F.array_compact(F.array(*[labelled(k, p) for k, (_, p) in enumerate(LABELS)])))
     names = F.array(*[F.lit(n) for n, _ in LABELS])
     by_label = F.transform(found, lambda h: F.struct(names[h["label"]].alias("key"), h["value"].alias("value")))
-    dates = dates_of(said)
-    rest = [("Date found", F.get(dates, F.lit(0))), ("Date found (2)", F.get(dates, F.lit(1))), ("Number", first_of(said, LONG_NUMBER)), ("Machine-readable line", first_of(said, MACHINE_LINE)), ("Name (uncertain)", capitals_line(lines)), ("Email", first_of(said, EMAIL))]
-    fallbacks = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in rest]))
-    return df.withColumn("found", F.concat(by_label, fallbacks)).drop("_lines")
+    if not fallbacks:
+        return df.withColumn("found", by_label).drop("_lines", "_labelled")
+    dates = F.col("_dates")
+    df = df.withColumn("_dates", dates_of(said))
+    rest = [("Date found", F.get(dates, F.lit(0))), ("Date found (2)", F.get(dates, F.lit(1))), ("Number", first_of(said, LONG_NUMBER)), ("Machine-readable line", first_of(said, MACHINE_LINE)), ("Name (uncertain)", capitals_line(lines)), ("Email", first_of(F.when(said.contains("@"), said), EMAIL))]
+    given = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in rest])
+    return df.withColumn("found", F.concat(by_label, F.filter(given, lambda f: f["value"].isNotNull()))).drop("_lines", "_labelled", "_dates")
+
+
+def label_rows(found: DataFrame, *keys: str) -> DataFrame:
+    """keys, ordinal, key and value of everything found, in its order.
+
+    The outer form, then a test: the plain one would test the size of the array first, and the optimiser would copy
+    all of the patterns into that test.
+    """
+    rows = found.select(*keys, F.posexplode_outer("found").alias("ordinal", "f")).where("f IS NOT NULL")
+    return rows.select(*keys, "ordinal", "f.key", "f.value")
 
 
 def value_tokens(value: Column) -> Column:
@@ -84,18 +110,19 @@ def word_token(word: Column) -> Column:
     return F.regexp_replace(F.upper(word), r"[^\w<@.\-/]", "")
 
 
+def _mean(words: Column) -> Column:
+    return F.try_divide(F.aggregate(words, F.lit(0.0), lambda s, w: s + w["confidence"]), F.size(words))
+
+
 def value_confidence(value: Column, words: Column) -> Column:
     """The mean confidence of the words (array of text, confidence) that occur in the value; null without any."""
-    tokens = value_tokens(value)
-    hits = F.filter(words, lambda w: F.array_contains(tokens, word_token(w["text"])))
-    total = F.aggregate(hits, F.lit(0.0), lambda s, w: s + w["confidence"])
-    return F.try_divide(total, F.size(hits))
+    hits = lambda tokens: F.filter(words, lambda w: F.array_contains(tokens, word_token(w["text"])))
+    return bind(value_tokens(value), lambda tokens: bind(hits(tokens), _mean))
 
 
 def mean_confidence(words: Column) -> Column:
     """The rounded mean over all words; null without any."""
-    total = F.aggregate(words, F.lit(0.0), lambda s, w: s + w["confidence"])
-    return F.floor(F.try_divide(total, F.size(words)) + 0.5).cast("int")
+    return F.floor(_mean(words) + 0.5).cast("int")
 
 
 def export_json(found: Column, words: Column, elapsed_ms: Column) -> Column:

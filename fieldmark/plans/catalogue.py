@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import display, rules, text
 from fieldmark.functions import geometry as g
-from fieldmark.operators import boxes, extract, imaging, inference, merge, parsing, scoring, textfields
+from fieldmark.operators import boxes, extract, imaging, inference, merge, metrics, parsing, scoring, textfields
 from fieldmark.plans import fixtures
 from fieldmark.plans.oracle import ORACLE
 from fieldmark.schemas import ARABIC, FIELDS
@@ -54,7 +54,8 @@ def found_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reasons(spark, sf_dir, reasons: dict) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(f).alias("field"), r.cast("string").alias("reason")) for f, r in reasons.items()])
-    return card_pairs(spark, sf_dir).select("doc_id", F.explode(F.filter(rows, lambda x: x["reason"].isNotNull())).alias("r")).select("doc_id", "r.*")
+    # all rows and then a test, which the optimiser doesn't copy into the array as it does what it infers of a plain explode
+    return card_pairs(spark, sf_dir).select("doc_id", F.explode_outer(rows).alias("r")).select("doc_id", "r.*").where("reason IS NOT NULL")
 
 
 @query
@@ -120,14 +121,18 @@ def box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.filter_boxes(_boxes(spark, sf_dir), "doc_id")
 
 
-@query
-def iou_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _boxes(spark, sf_dir)
     shift = F.col("doc_id") % 40
     edge = {"x1": F.col("x1") + shift, "y1": F.col("y1"), "x2": F.col("x2") + shift, "y2": F.col("y2")}
     true = F.struct(*[(2 * v).cast("int").alias(k) for k, v in edge.items()])
     truth = raw.where(F.col("field").isin(*FIELDS) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).select("doc_id", "field", true.alias("true_box"))
-    return scoring.box_counts(boxes.attach_boxes(truth, boxes.filter_boxes(raw, "doc_id"), "doc_id"))
+    return boxes.attach_boxes(truth, boxes.filter_boxes(raw, "doc_id"), "doc_id")
+
+
+@query
+def iou_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.box_counts(_box_pairs(spark, sf_dir))
 
 
 @query
@@ -141,9 +146,14 @@ def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = textfields.extract_text_fields(_text(spark, sf_dir))
-    keys = [k for k, _ in textfields.LABELS]
-    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*").where(F.col("key").isin(*keys))
+    """The labelled values of each document, without the fallbacks."""
+    return textfields.label_rows(textfields.extract_text_fields(_text(spark, sf_dir), fallbacks=False), "doc_id").select("doc_id", "key", "value")
+
+
+@query
+def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything found in each document, with its place in the order."""
+    return textfields.label_rows(textfields.extract_text_fields(_text(spark, sf_dir)), "doc_id")
 
 
 @query
@@ -298,9 +308,8 @@ def display_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate_cards(spark, sf_dir).select("doc_id", "field", display.field_label(F.col("field")).alias("label"), display.status_class(F.col("status")).alias("class"))
 
 
-@query
-def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole extraction over scripted replies, as JSON responses: what the pipeline gives for every document."""
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole extraction over scripted replies: what the pipeline gives for every document."""
     pairs = card_structs(card_pairs(spark, sf_dir))
     keep_nulls = {"ignoreNullFields": "false"}
     said = lambda r, c: F.struct(F.lit(r).alias("reading"), c.alias("text"))
@@ -310,5 +319,95 @@ def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = replies.where("reading = 'B' AND text = 'nothing'")
     script = replies.withColumn("attempt", F.lit(1)).unionByName(again.withColumn("attempt", F.lit(2)))
     docs = pairs.select("doc_id", F.lit(1000).alias("pw"), F.lit(600).alias("ph"), F.lit(2000).alias("w"), F.lit(1200).alias("h"))
-    responses = extract.extract(docs, inference.ScriptedEngine(script), Settings(), fixtures.AS_OF)
-    return writers.response_json(responses)
+    return extract.extract(docs, inference.ScriptedEngine(script), Settings(), fixtures.AS_OF)
+
+
+@query
+def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.response_json(_responses(spark, sf_dir))
+
+
+@query
+def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON responses read back: a row for each field, beside its document's agreement."""
+    field = "struct<value:string,value_ar:string,status:string,reason:string,box:array<int>>"
+    read = F.from_json("json", f"fields map<string,{field}>, agreement struct<matched:int,compared:int,total:int>, model string")
+    rows = response_json(spark, sf_dir).select("doc_id", read.alias("r")).select("doc_id", "r.agreement.*", "r.model", F.explode_outer("r.fields").alias("field", "f"))
+    corners = [F.get("f.box", F.lit(i)).alias(c) for i, c in enumerate(boxes.CORNERS)]
+    return rows.select("doc_id", "field", "f.value", "f.value_ar", "f.status", "f.reason", *corners, "matched", "compared", "total", "model")
+
+
+@query
+def export_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported JSON read back: a row for each key, beside its document's confidence and number of words."""
+    read = F.from_json("json", "fields map<string,string>, meanConfidence int, wordCount int, elapsedMs int")
+    rows = text_export(spark, sf_dir).select("doc_id", read.alias("r"))
+    return rows.select("doc_id", F.explode_outer("r.fields").alias("key", "value"), F.col("r.meanConfidence").alias("mean_confidence"), F.col("r.wordCount").alias("word_count"), F.col("r.elapsedMs").alias("elapsed_ms"))
+
+
+@query
+def contrast_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small grey images made of digests: their least and most grey, and whether the contrast variant spans all of the range."""
+    pixels = F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary")))
+    image = F.struct(F.lit(4).alias("height"), F.lit(4).alias("width"), F.lit(1).alias("nChannels"), pixels.alias("data"))
+    images = imaging.contrast_normalise(table(spark, sf_dir, "documents").select("doc_id", image.alias("image")))
+    at = lambda c, i: F.conv(F.substring(F.hex(c), i + 1, 2), 16, 10).cast("int")
+    grey = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: at(F.col("image.data"), 2 * i))
+    made = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: at(F.col("contrast"), 6 * i))
+    seen = images.select("doc_id", grey.alias("g"), made.alias("m"), F.octet_length("contrast").alias("bytes"))
+    low, high = F.array_min("g"), F.array_max("g")
+    exact = F.zip_with("g", "m", lambda g, m: F.abs((g - low) * 255.0 / F.greatest(F.lit(1), high - low) - m))
+    return seen.select("doc_id", low.alias("low"), high.alias("high"), "bytes", F.array_min("m").alias("least"), (F.array_max("m") >= 254).alias("full_range"), F.forall(exact, lambda d: d <= 1).alias("linear"))
+
+
+@query
+def manifest_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The synthetic cards written as a manifest, one JSON object, and read back as truth by field."""
+    out = f"{writers.scratch(spark)}/manifest-{uuid.uuid4().hex}"
+    writers.write_manifest(readers.synthetic_cards(spark), out)
+    truth = readers.manifest_truth(readers.read_manifest(spark, out))
+    return truth.select("image", "field", "want", "want_ar", "true_box.*")
+
+
+@query
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = merge.status_counts(_merged(spark, sf_dir).withColumn("elapsed_ms", (F.col("doc_id") * 37 % 9000).cast("int")), "doc_id", "elapsed_ms", "agreement")
+    return metrics.log_lines(counted.select("doc_id", "elapsed_ms", "agreement.*", "ok", "review", "missing"))
+
+
+@query
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.summary(_compared(spark, sf_dir), _box_pairs(spark, sf_dir), derived(spark, sf_dir, fixtures.LATENCY, "events"), Settings().self_consistency)
+
+
+@query
+def missing_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were read but that the truth doesn't know."""
+    read = card_pairs(spark, sf_dir).select("doc_id")
+    return scoring.missing_truth(read, truth_cards(spark, sf_dir).where("doc_id % 10 <> 3").select("doc_id"), "doc_id")
+
+
+@query
+def processed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes where every other document doesn't know the size that its model worked on, which then is the image's."""
+    known = F.col("doc_id") % 2 == 1
+    raw = _boxes(spark, sf_dir).withColumns({"pw": F.when(known, F.col("pw")), "ph": F.when(known, F.col("ph"))})
+    return boxes.filter_boxes(raw, "doc_id")
+
+
+@query
+def boxes_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests where boxes and the second reading are switched off: one a document."""
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return inference.requests(docs, Settings(self_consistency=False, show_boxes=False)).select("doc_id", "reading", "attempt", "variant")
+
+
+@query
+def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds, model names, addresses and colours for display."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    ms = F.when(F.col("id") * 7 % 100 != 50, F.col("id") * 7 % 5000)
+    address = display.api_base(F.when(F.col("id") % 3 == 0, F.concat(F.lit("http://a"), F.col("id").cast("string"), F.lit("//"))).otherwise(""), F.when(F.col("id") % 3 == 1, F.lit("http://b/")))
+    status = F.element_at(F.array(*[F.lit(s) for s in ("ok", "review", "missing")]), (F.col("id") % 3 + 1).cast("int"))
+    sure = F.when(F.col("id") % 10 != 0, (F.col("id") % 101).cast("double"))
+    return c.select("id", display.seconds_label(ms).alias("seconds"), display.short_model(F.concat(F.lit("maker/"), "name")).alias("model"), address.alias("address"), display.status_colour(status).alias("status_colour"), display.confidence_colour(sure).alias("confidence_colour"))

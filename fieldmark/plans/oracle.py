@@ -5,6 +5,7 @@ from __future__ import annotations
 from fieldmark.functions import rules as r
 from fieldmark.plans import fixtures as f
 from fieldmark.schemas import ARABIC, FIELDS, NATIONALITIES
+from fieldmark.sources.readers import RECORDS
 
 CARDS = f"WITH {f.CARDS}"
 DAY = f"DATE '{f.AS_OF}'"
@@ -117,6 +118,38 @@ def first_match(pattern: str, name: str) -> str:
 
 WORDS = f"WITH d AS ({f.TEXT}), w AS (SELECT doc_id, i, word, 50.0 + (doc_id * 7 + i * 13) % 50 AS confidence FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM d) q)"
 
+HITS = "count(*) FILTER (x1 IS NOT NULL AND iou >= 0.5) AS hits, count(*) FILTER (x1 IS NOT NULL) AS {total}, count(*) AS {expected}, count(*) FILTER (x1 IS NOT NULL) * 100.0::DOUBLE / count(*) AS coverage, count(*) FILTER (x1 IS NOT NULL AND iou >= 0.5) * 100.0::DOUBLE / count(*) FILTER (x1 IS NOT NULL) AS hit_rate FROM v"
+LATENCY = f"e AS ({f.LATENCY}), n AS (SELECT elapsed_ms, row_number() OVER (ORDER BY elapsed_ms) AS rn, count(*) OVER () AS n FROM e WHERE elapsed_ms IS NOT NULL)"
+MEDIAN = "min(elapsed_ms) FILTER (rn = n // 2 + 1) AS median_ms, max(elapsed_ms) AS max_ms FROM n"
+
+FALLBACKS = (
+    ("Date found", r"regexp_extract_all(text, '\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b', 0)[1]"),
+    ("Date found (2)", r"regexp_extract_all(text, '\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b', 0)[2]"),
+    ("Number", r"nullif(regexp_extract(text, '\b\d{7,14}\b', 0), '')"),
+    ("Machine-readable line", "nullif(regexp_extract(text, '[A-Z0-9<]{25,}', 0), '')"),
+    ("Name (uncertain)", "(SELECT arg_min(l.line, l.i) FROM l WHERE l.doc_id = d.doc_id AND regexp_full_match(l.line, '[A-Z][A-Z\\s''\\-]{7,}'))"),
+    ("Email", r"nullif(regexp_extract(text, '[\w.+\-]+@[\w\-]+\.[\w.]{2,}', 0), '')"),
+)
+FOUND = (
+    TEXT + ", y AS (SELECT doc_id, k, key, min(i) AS i, arg_min(value, i) AS value FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, i, {k} AS k, '{name}' AS key, trim(regexp_extract(line, '(?i){p}', 1)) AS value FROM l" for k, (name, p) in enumerate(LABELS))
+    + ") q WHERE value <> '' GROUP BY doc_id, k, key UNION ALL SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{name}' AS key, 1000000000 AS i, {x} AS value FROM d" for k, (name, x) in enumerate(FALLBACKS))
+    + ") z WHERE value IS NOT NULL), found AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INT) AS ordinal, key, value FROM y)"
+)
+
+
+def _manifest() -> str:
+    """The truth of the synthetic cards, from their records."""
+    rows = []
+    for n, (name, name_ar, number, born, ends, nation, nation_ar, sex, sex_ar) in enumerate(RECORDS, 1):
+        values = {"full_name": (name, name_ar), "id_number": (number, None), "date_of_birth": (born, None), "expiry_date": (ends, None), "nationality": (nation, nation_ar), "sex": (sex, sex_ar)}
+        for k, field in enumerate(FIELDS):
+            want, arabic = values[field]
+            rows.append(f"('synthetic_{n:02d}.jpg', '{field}', '{want}', {f"'{arabic}'" if arabic else 'NULL'}, {k})")
+    return f"SELECT image, field, want, want_ar, 296 AS x1, CAST(108 + 78 * k AS INT) AS y1, CAST(304 + 16 * length(want) AS INT) AS x2, CAST(142 + 78 * k AS INT) AS y2 FROM (VALUES {', '.join(rows)}) q(image, field, want, want_ar, k)"
+
+
 ORACLE = {
     "validate_cards": f"{MERGED} SELECT doc_id, ordinal, field, value, value_ar, status, reason FROM m",
     "agreement_counts": f"{MERGED} SELECT doc_id, CAST(sum(matched) AS INT) AS matched, CAST(sum(compared) AS INT) AS compared, 6 AS total, CASE WHEN sum(compared) = 0 THEN '—' ELSE CAST(CAST(sum(matched) AS INT) AS STRING) || '/' || CAST(CAST(sum(compared) AS INT) AS STRING) END AS label FROM m GROUP BY doc_id",
@@ -132,8 +165,8 @@ ORACLE = {
     "box_shared_claims": f"{CLAIMS} SELECT doc_id, field, claims FROM k",
     "box_rescale": f"{RAW}, {SCALED.format(src='raw')} SELECT doc_id, field, x1, y1, x2, y2 FROM s",
     "box_filter": f"{FILTERED} SELECT doc_id, field, x1, y1, x2, y2 FROM kept",
-    "iou_hits": f"{PAIRS} SELECT count(*) FILTER (x1 IS NOT NULL AND iou >= 0.5) AS hits, count(*) FILTER (x1 IS NOT NULL) AS total, count(*) AS expected, count(*) FILTER (x1 IS NOT NULL) * 100.0::DOUBLE / count(*) AS coverage, count(*) FILTER (x1 IS NOT NULL AND iou >= 0.5) * 100.0::DOUBLE / count(*) FILTER (x1 IS NOT NULL) AS hit_rate FROM v",
-    "latency_summary": f"WITH e AS ({f.LATENCY}), n AS (SELECT elapsed_ms, row_number() OVER (ORDER BY elapsed_ms) AS rn, count(*) OVER () AS n FROM e WHERE elapsed_ms IS NOT NULL) SELECT min(elapsed_ms) FILTER (rn = n // 2 + 1) AS median_ms, max(elapsed_ms) AS max_ms FROM n",
+    "iou_hits": PAIRS + " SELECT " + HITS.format(total="total", expected="expected"),
+    "latency_summary": f"WITH {LATENCY} SELECT {MEDIAN}",
     "text_labels": LABEL_SQL,
     "text_dates": rf"WITH d AS ({f.TEXT}), x AS (SELECT doc_id, regexp_extract_all(text, '\b\d{{1,2}}[/\-.]\d{{1,2}}[/\-.]\d{{2,4}}\b', 0) AS dates FROM d) SELECT doc_id, dates[1] AS first_date, dates[2] AS second_date FROM x WHERE len(dates) > 0",
     "text_long_numbers": first_match(r"\b\d{7,14}\b", "number"),
@@ -154,5 +187,16 @@ ORACLE = {
     "confidence_classes": "WITH e AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(floor(value) AS BIGINT) % 101 END AS c FROM events) SELECT event_id, CASE WHEN c IS NULL THEN 'mid' WHEN c >= 85 THEN 'ok' WHEN c >= 65 THEN 'mid' ELSE 'low' END AS class, CASE WHEN c IS NULL THEN 'n/a' ELSE CAST(c AS STRING) || '%' END AS label FROM e",
     "stream_transcripts": "SELECT conv_id, turn, trim(text) AS text FROM conversations WHERE role = 'assistant'",
     "page_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages",
+    "text_fields": FOUND + " SELECT doc_id, ordinal, key, value FROM found",
+    "export_fields": FOUND + WORDS.replace("WITH d AS", ", dd AS").replace("FROM d)", "FROM dd)") + ", m AS (SELECT doc_id, CAST(floor(avg(confidence) + 0.5) AS INT) AS mean_confidence, CAST(count(*) AS INT) AS word_count FROM w GROUP BY doc_id) SELECT m.doc_id, found.key, found.value, mean_confidence, word_count, 0 AS elapsed_ms FROM m LEFT JOIN found ON found.doc_id = m.doc_id",
+    "response_fields": f"{MERGED} SELECT doc_id, field, value, value_ar, status, reason, CASE field WHEN 'full_name' THEN 200 END AS x1, CASE field WHEN 'full_name' THEN 100 END AS y1, CASE field WHEN 'full_name' THEN 800 END AS x2, CASE field WHEN 'full_name' THEN CAST(160 + 2 * (doc_id % 20) AS INT) END AS y2, CAST(sum(matched) OVER (PARTITION BY doc_id) AS INT) AS matched, CAST(sum(compared) OVER (PARTITION BY doc_id) AS INT) AS compared, 6 AS total, 'scripted' AS model FROM m",
+    "contrast_pixels": "WITH h AS (SELECT doc_id, md5(CAST(doc_id AS STRING)) AS x FROM documents), g AS (SELECT doc_id, list_transform(range(0, 16), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS INT)) AS v FROM h) SELECT doc_id, list_min(v) AS low, list_max(v) AS high, 48 AS bytes, 0 AS least, true AS full_range, true AS linear FROM g",
+    "manifest_truth": _manifest(),
+    "log_lines": f"{MERGED} SELECT doc_id, 'extract elapsed_ms=' || CAST(doc_id * 37 % 9000 AS STRING) || ' agreement=' || CAST(CAST(sum(matched) AS INT) AS STRING) || '/6 ok=' || CAST(count(*) FILTER (status = 'ok') AS STRING) || ' review=' || CAST(count(*) FILTER (status = 'review') AS STRING) || ' missing=' || CAST(count(*) FILTER (status = 'missing') AS STRING) AS line FROM m GROUP BY doc_id",
+    "score_summary": f"{SCORED}, se AS ({SILENT}), {PAIRS.removeprefix('WITH ')}, bx AS (SELECT {HITS.format(total='boxes', expected='boxes_expected')}), {LATENCY}, t2 AS (SELECT {MEDIAN}) SELECT (SELECT count(*) FROM se) AS n_silent, count(*) AS total, (SELECT count(*) FROM se) * 100.0::DOUBLE / count(*) AS percent, any_value(b2.hits) AS hits, any_value(b2.boxes) AS boxes, any_value(b2.boxes_expected) AS boxes_expected, any_value(b2.coverage) AS coverage, any_value(b2.hit_rate) AS hit_rate, any_value(t2.median_ms) AS median_ms, any_value(t2.max_ms) AS max_ms, true AS comparable FROM c, bx b2, t2",
+    "missing_truth": "SELECT c_custkey AS doc_id FROM customer WHERE c_custkey % 10 = 3",
+    "processed_sizes": FILTERED.replace("x1 * 2.0", "x1 * k").replace("y1 * 2.0", "y1 * k").replace("x2 * 2.0", "x2 * k").replace("y2 * 2.0", "y2 * k").replace("FROM u)", "FROM (SELECT *, CASE WHEN doc_id % 2 = 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS k FROM u) z)") + " SELECT doc_id, field, x1, y1, x2, y2 FROM kept",
+    "boxes_off": "SELECT c_custkey AS doc_id, 'A' AS reading, 1 AS attempt, 'original' AS variant FROM customer",
+    "display_labels": "WITH c AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey * 7 % 100 <> 50 THEN c_custkey * 7 % 5000 END AS ms, CASE WHEN c_custkey % 10 <> 0 THEN c_custkey % 101 END AS sure FROM customer) SELECT id, CASE WHEN ms IS NOT NULL THEN printf('%.1fs', ms / 1000.0::DOUBLE) END AS seconds, name AS model, CASE id % 3 WHEN 0 THEN 'http://a' || CAST(id AS STRING) WHEN 1 THEN 'http://b' ELSE '' END AS address, CASE id % 3 WHEN 0 THEN '#00B3A4' WHEN 1 THEN '#E0952C' ELSE '#D2544B' END AS status_colour, CASE WHEN sure >= 85 THEN '#00B3A4' WHEN sure >= 65 THEN '#E0952C' ELSE '#D2544B' END AS confidence_colour FROM c",
     "display_classes": f"{MERGED} SELECT doc_id, field, CASE field WHEN 'full_name' THEN 'Name' WHEN 'id_number' THEN 'ID number' WHEN 'date_of_birth' THEN 'Date of birth' WHEN 'expiry_date' THEN 'Expiry' WHEN 'nationality' THEN 'Nationality' ELSE 'Sex' END AS label, CASE status WHEN 'ok' THEN 'ok' WHEN 'review' THEN 'mid' ELSE 'low' END AS class FROM m",
 }

@@ -72,12 +72,12 @@ def unknown_values(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
     return df.where(F.col(column).isNotNull()).join(known, F.upper(strip(F.col(column))) == F.col("value"), "left_anti")
 
 
-# Synthetic cards, as rows of the card's keys.
+#: Invented cards, as rows of the card's keys.
 RECORDS = (
-    ("AHMED SAID AL HARTHY", "أحمد سعيد الحارثي", "10293847", "1988-03-21", "2031-03-20", "OMANI", "عماني", "M", "ذكر"),
-    ("FATIMA ALI AL BALUSHI", "فاطمة علي البلوشي", "20394857", "1995-11-02", "2029-11-01", "OMANI", "عماني", "F", "أنثى"),
-    ("RAJESH KUMAR NAIR", "راجيش كومار نائير", "30485712", "1979-07-14", "2028-07-13", "INDIAN", "هندي", "M", "ذكر"),
-    ("MARIA SANTOS CRUZ", "ماريا سانتوس كروز", "40576123", "1992-01-30", "2030-01-29", "FILIPINO", "فلبيني", "F", "أنثى"),
+    ("YUSUF HAMAD AL KINDI", "يوسف حمد الكندي", "55120934", "1984-09-17", "2032-02-08", "OMANI", "عماني", "M", "ذكر"),
+    ("LAYLA NASSER HADDAD", "ليلى ناصر حداد", "61877203", "2001-05-30", "2030-07-19", "JORDANIAN", "أردني", "F", "أنثى"),
+    ("TOM WALKER", "توم ووكر", "70045518", "1969-12-01", "2027-10-25", "BRITISH", "بريطاني", "M", "ذكر"),
+    ("SUNITA RANI THAPA", "سونيتا راني ثابا", "48290167", "1990-03-14", "2033-06-02", "NEPALI", "نيبالي", "F", "أنثى"),
 )
 
 

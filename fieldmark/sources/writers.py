@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +24,38 @@ def scratch(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _stand_in:
-        _stand_in.append(f"file://{tempfile.mkdtemp(prefix='fieldmark-')}")
+        made = tempfile.mkdtemp(prefix="fieldmark-")
+        atexit.register(shutil.rmtree, made, True)
+        _stand_in.append(f"file://{made}")
     return _stand_in[0]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: computed once, also if executors are lost."""
+    path = f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Stored:
+    """stored() for a while: its tables lie in one folder, which is deleted at the end of the with block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{scratch(spark)}/stored-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Stored:
+        return self
+
+    def __exit__(self, *error) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def response_json(responses: DataFrame) -> DataFrame:
     """doc_id and json; boxes are lists of four numbers there, and nulls are kept."""
     def edge(f):
@@ -40,10 +71,22 @@ def write_responses(responses: DataFrame, path: str) -> None:
     response_json(responses).select("json").withColumnRenamed("json", "value").write.text(path)
 
 
+def manifest_json(manifest: DataFrame, indent: int = 2) -> DataFrame:
+    """One row, json: an object of all images in the order of their names, over several lines, in UTF-8.
+
+    One text of all rows, as the format is one object; a manifest is a small table that people write.
+    """
+    pad, inner = " " * indent, {"pretty": "true"}
+    # Spark's pretty JSON has two spaces a level; what lies inside an image moves by one level
+    body = F.regexp_replace(F.to_json(F.struct("fields", "boxes"), inner), r"\n", "\n" + pad)
+    one = F.struct("image", F.concat(F.lit(pad), F.to_json(F.array("image")).substr(F.lit(2), F.char_length(F.to_json(F.array("image"))) - 2), F.lit(": "), body).alias("text"))
+    each = manifest.select(one.alias("e")).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return each.select(F.concat(F.lit("{\n"), F.array_join(F.transform("e", lambda x: x["text"]), ",\n"), F.lit("\n}")).alias("json"))
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """The manifest as a JSON object for each line, image by image, in UTF-8; read_manifest reads the lines' union."""
-    row = F.to_json(F.create_map("image", F.struct("fields", "boxes")))
-    manifest.select(row.alias("value")).write.text(path)
+    """The manifest as one JSON object in one file of a folder."""
+    manifest_json(manifest).coalesce(1).select(F.col("json").alias("value")).write.text(path)
 
 
 def write_debug_images(images: DataFrame, path: str, settings: Settings) -> None:

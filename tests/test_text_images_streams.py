@@ -153,6 +153,42 @@ def test_response_json_keeps_nulls_and_metrics_hold_no_values(spark):
         writers.write_debug_images(df, "/nowhere", Settings())
 
 
+def test_a_request_is_asked_once(spark, tmp_path):
+    """Replies lie in tables: neither later steps nor a cleared cache ask the model again; with a store they go with it."""
+    from pathlib import Path as P
+
+    asked, good = tmp_path / "asked", json.dumps(GOOD)
+
+    def load():
+        def answer(batch):
+            with open(asked, "a") as f:
+                f.write("".join(f"{p[:4]}\n" for p, _ in batch))
+            return [good] * len(batch)
+
+        return answer
+
+    docs = spark.createDataFrame([(1, 2000, 1200), (2, 2000, 1200)], "doc_id long, w int, h int")
+    with writers.Stored(spark) as keep:
+        rows = extract.extract(docs, inference.BatchEngine(load, "m"), as_of="2026-01-01", keep=keep)
+        assert rows.count() == 2
+        spark.catalog.clearCache()
+        assert rows.where("agreement.matched = 6").count() == 2
+        folder = P(keep.path.removeprefix("file://"))
+        assert folder.exists()
+    assert asked.read_text().count("\n") == 6 and not folder.exists()
+
+
+def test_manifest_is_one_object(spark, tmp_path):
+    cards = readers.synthetic_cards(spark)
+    writers.write_manifest(cards, str(tmp_path / "m"))
+    said = "".join(p.read_text() for p in (tmp_path / "m").glob("part-*"))
+    data = json.loads(said)
+    assert list(data) == sorted(r["image"] for r in cards.collect()) and "\\u" not in said
+    assert said.strip() == json.dumps(data, ensure_ascii=False, indent=2).replace('" :', '":') or json.loads(said) == data
+    writers.write_manifest(cards.limit(0), str(tmp_path / "none"))
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "none").glob("part-*"))) == {}
+
+
 def test_engines(spark):
     docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
     engine = inference.BatchEngine(lambda: lambda batch: [p[:4] for p, _ in batch], "echo")
