@@ -6,7 +6,9 @@ Texts are split by the vocabulary's pattern, and each pre-token is encoded by it
 entry is that entry, any other goes through sentencepiece. Decoding maps ids to pieces and characters back to
 bytes. Piece ids are the ranks; the unknown piece, which no text reaches, has the id after the last.
 
-A null text is the empty text: no ids. Pre-token results are kept in a cache of bounded size in each worker.
+Defined cases: a null text is the empty text, as is an empty one: no ids; very long texts are encoded whole, pre-token by
+pre-token; repeated rows stay; further columns are ignored, also where their names are those of the result; an empty table
+gives an empty result. Pre-token results are kept in a cache of bounded size in each worker.
 """
 
 from __future__ import annotations

@@ -22,6 +22,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Tables of up to this many rows of a few numbers (some 20 MB) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Tables whose rows hold arrays are broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +115,12 @@ def if_small(few: DataFrame, most_rows: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(few) if few.count() <= most_rows else few
 
 
+def if_few_bytes(few: DataFrame, array: str, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """few, marked for broadcast if its rows, each with an array of 8-byte numbers, take at most so many bytes."""
+    size = few.agg(F.coalesce(F.sum(F.size(array) * 8 + 64), F.lit(0))).first()[0]
+    return F.broadcast(few) if size <= most_bytes else few
+
+
 def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is in ids: by broadcast where ids are few, by a shuffle otherwise."""
     return docs.join(if_small(ids), "doc_id", "left_semi")

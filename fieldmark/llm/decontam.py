@@ -12,7 +12,9 @@ Documents are read twice: once for the samples, a row for each shingle that meet
 the samples are many), and once for the candidates' full sets. What is shuffled is matches alone.
 
 Defined cases: null or blank texts and items have no shingles and match nothing; a text with fewer words than a shingle is
-one shingle of all its words; repeated items and documents are judged by id; empty tables give an empty result.
+one shingle of all its words; repeated items and documents are judged by id, and rows without an id are not judged; very
+long texts are searched whole; further columns are ignored, also where their names are used here; empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import bind, if_small, materialize, runs_of, word_hashes
+from fieldmark.llm.common import bind, if_few_bytes, if_small, materialize, runs_of, temporary, word_hashes
 
 WORDS, CONTAINED, SAMPLES, NEEDED = 5, 0.8, 24, 8
-#: So many samples (some 40 bytes each) or items (their full sets) at most are broadcast.
-BROADCAST_SAMPLES, BROADCAST_ITEMS = 200_000, 5_000
+#: So many samples (some 40 bytes each), documents with their candidates' ids, or bytes of items' full sets at most are broadcast.
+BROADCAST_SAMPLES, BROADCAST_LISTS, BROADCAST_ITEMS = 200_000, 16 << 20, 32 << 20
 
 
 def shingle_set(text: Column, words: int = WORDS) -> Column:
@@ -61,13 +63,18 @@ def candidates(docs: DataFrame, items: DataFrame, words: int = WORDS, contained:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, contained: float = CONTAINED) -> DataFrame:
-    """doc_id, item_id, item_shingles, shared_shingles and containment of each item that a document contains."""
+    """doc_id, item_id, item_shingles, shared_shingles and containment of each item that a document contains, as a stored table."""
+    with temporary(docs.sparkSession):
+        return materialize(_contaminated(docs, benchmark, words, contained), "leaks", outer=True)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, words: int, contained: float) -> DataFrame:
     items = _items(benchmark, words)
     found = materialize(candidates(docs, items, words, contained), "leak-candidates")
     by_doc = materialize(found.groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")), "leak-documents")
-    sets = docs.select("doc_id", "text").join(if_small(by_doc, 100_000), "doc_id").select("doc_id", "item_ids", shingle_set(F.col("text"), words).alias("s"))
+    sets = docs.select("doc_id", "text").join(if_few_bytes(by_doc, "item_ids", BROADCAST_LISTS), "doc_id").select("doc_id", "item_ids", shingle_set(F.col("text"), words).alias("s"))
     # the set once for each document, then its few items
-    pairs = sets.select("doc_id", "s", F.explode("item_ids").alias("item_id")).join(if_small(items, BROADCAST_ITEMS), "item_id")
+    pairs = sets.select("doc_id", "s", F.explode("item_ids").alias("item_id")).join(if_few_bytes(items, "item_set", BROADCAST_ITEMS), "item_id")
     shared = F.size(F.array_intersect("item_set", "s")).cast("long")
     counted = pairs.select("doc_id", "item_id", F.col("item_n").alias("item_shingles"), shared.alias("shared_shingles"))
     # repeated rows of one id: the fullest counts

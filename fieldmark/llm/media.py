@@ -4,8 +4,9 @@ Writing makes an 8-bit grey PNG of fixed width whose rows are filtered by Up, wh
 as well as pictures, and deflated. Reading walks the chunks, tests every checksum, inflates, and undoes any of
 the five row filters. The hash compares the lowest frequencies of a 32 x 32 block mean with their median.
 
-Defined cases: null bytes or text count as empty; empty content still makes one row of zeros; a broken image
-raises ValueError from ``decode_png``, and ``image_features`` gives null features and the message in ``error``.
+Defined cases: null bytes or text count as empty; empty content still makes one row of zeros; repeated rows stay, with
+equal values; very long content is an image of many rows, whole; further columns are ignored; an empty table gives an
+empty result; a broken image raises ValueError from ``decode_png``, and ``image_features`` gives null features and the message in ``error``.
 """
 
 from __future__ import annotations

@@ -6,7 +6,10 @@ grades it. The method adds two kinds that depend on checks or context: iban (a c
 and ssn (three, two and four digits whose score reaches the threshold only beside a word such as "ssn").
 
 Scans are linear in the text: an email is sought from its "@", digits only where a run of digits begins.
-Offsets count code points. A null text is the empty text and has no spans.
+Offsets count code points.
+
+Defined cases: a null text is the empty text and has no spans; very long texts are scanned whole; repeated rows stay;
+further columns are ignored by ``digest`` and kept by ``redact_column``; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -64,7 +64,19 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grulm.log_likelihoods(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination, op10_lm_scores)}
+def host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts' trust and distrust after eight steps where each page links to that of another number, as the tables' own pages link to no other host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    n = F.lit(pages.count())
+    target = pages.select(F.col("page_id").alias("to"), F.col("url").alias("there"))
+    linked = pages.withColumn("to", F.pmod(F.col("page_id") * 7 + 3, n)).join(target, "to", "left")
+    linked = linked.select("page_id", "url", F.concat(F.lit('<a href="'), "there", F.lit('">x</a>')).alias("html"))
+    hosts = urltrust.host_verdicts(linked, urltrust.judged_pages(linked), urltrust.Spread(steps=8, tolerance=0.0))
+    return hosts.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), "host_verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination, op10_lm_scores, host_trust)}
+
 
 def _shingle_sql(table: str, key: str, words: int) -> str:
     """Relations w (key, words) and s (key, shingle) of a table's texts."""
@@ -76,7 +88,16 @@ def _shingle_sql(table: str, key: str, words: int) -> str:
 SAID = "'</s>[INST] ok [/INST]'"
 CONTROLS = "'\\\\|\\[SYS\\]|\\[/SYS\\]|\\[INST\\]|\\[/INST\\]|<a>|</s>|\\[ROLE\\]|\\[/ROLE\\]|\\[/TURN\\]|<s>'"
 
-#: The four that SQL can express; the others are held against brute force in the tests.
+def _spread_sql(steps: int) -> str:
+    """PageRank over links (src, dst, weight) from seeds, along and against them, one relation a step."""
+    parts = []
+    for name, links in (("trust", "SELECT src, dst, weight FROM links"), ("distrust", "SELECT dst AS src, src AS dst, weight FROM links")):
+        parts.append(f"{name}_e AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM ({links}) q), {name}_0 AS (SELECT host, 0.15 * {name} AS score FROM seeds)")
+        parts += [f"{name}_{i} AS (SELECT host, sum(score) AS score FROM (SELECT host, score FROM {name}_0 UNION ALL SELECT dst, 0.85 * share * score FROM {name}_e JOIN {name}_{i - 1} r ON r.host = src) q GROUP BY host)" for i in range(1, steps + 1)]
+    return ", ".join(parts)
+
+
+#: Those that SQL can express; the others are held against brute force in the tests.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": f"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', {SAID} UNION ALL SELECT -1, 1, 'assistant', {SAID}),
@@ -96,6 +117,15 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM documents d LEFT JOIN documents_n n ON n.doc_id = d.doc_id JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = d.doc_id""",
+    "host_trust": f"""
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+j AS (SELECT *, CASE WHEN '.' || host LIKE '%.example.net' AND path LIKE '/en/%' THEN 'allow' WHEN '.' || host LIKE '%.net' AND path LIKE '/%' THEN 'block'
+  WHEN '.' || host LIKE '%.example.com' AND path LIKE '/de/%' THEN 'block' WHEN '.' || host LIKE '%.org' AND path LIKE '/fr/%' THEN 'allow' END AS ruled FROM p),
+seeds AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS trust, avg(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS distrust FROM j GROUP BY host),
+links AS (SELECT a.host AS src, b.host AS dst, CAST(count(*) AS DOUBLE) AS weight FROM p a JOIN p b ON b.page_id = (a.page_id * 7 + 3) % (SELECT count(*) FROM pages) WHERE a.host <> b.host GROUP BY a.host, b.host),
+{_spread_sql(8)}
+SELECT s.host, round(coalesce(t.score, 0), 9) AS trust, round(coalesce(d.score, 0), 9) AS distrust, CASE WHEN coalesce(d.score, 0) - coalesce(t.score, 0) >= 0.075 THEN 'block' ELSE 'allow' END AS host_verdict
+FROM seeds s LEFT JOIN trust_8 t ON t.host = s.host LEFT JOIN distrust_8 d ON d.host = s.host""",
     "op7_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM p)

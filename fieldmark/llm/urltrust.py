@@ -7,11 +7,12 @@ share of blocked pages its distrust. Trust spreads along links by personalised P
 a wholly blocked host without links gets; otherwise it is allowed, also where nothing reaches it.
 
 Only hosts and aggregated host edges are iterated over, each iteration one join and one pre-aggregated sum, with
-the ranks written to the shared folder every few steps. Links are the absolute and protocol-relative href and src
+the ranks written to the shared folder every few steps, until they hardly change. Links are the absolute and protocol-relative href and src
 targets of the html; relative links stay on their host and count for nothing.
 
 Defined cases: a null url, or one without "://", has empty host and path, fits no rule, and is allowed; null html has
-no links; repeated pages count as often as they occur; an empty table gives an empty result.
+no links; repeated pages count as often as they occur; of rules of equal length that fit, the last by host and path
+decides; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm.common import lower_ascii, materialize, temporary
 
-DAMPING, STEPS, SAVE_EVERY, MARGIN = 0.85, 12, 4, 0.5
+DAMPING, STEPS, SAVE_EVERY, MARGIN = 0.85, 60, 4, 0.5
+#: Steps end when less than this part of the seeds' sum moved in the last one; 0.85 ** 60 is below it.
+TOLERANCE = 1e-4
 
 #: The rules of the contract as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -31,11 +34,12 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 @dataclass(frozen=True)
 class Spread:
-    """How trust spreads: damping, steps, and the margin of distrust over trust that blocks."""
+    """How trust spreads: damping, most steps, the margin of distrust over trust that blocks, and what change ends the steps (0: none)."""
 
     damping: float = DAMPING
     steps: int = STEPS
     margin: float = MARGIN
+    tolerance: float = TOLERANCE
 
 
 def host_of(url: Column) -> Column:
@@ -82,13 +86,20 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, spread: Spread = Sprea
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     steps = materialize(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "url-edges")
     base = (1 - spread.damping) * F.col("seed")
-    ranks = seeds.where("seed > 0").select("host", base.alias("score"))
-    start = ranks
+    start = ranks = seeds.where("seed > 0").select("host", base.alias("score"))
+    # of what was written last and now, every few steps; each step changes the sum of all scores by a part of the damping at most
+    seeded = (start.agg(F.sum("score")).first()[0] or 0.0) / (1 - spread.damping)
+    last = 0.0
     for step in range(1, spread.steps + 1):
         moved = steps.join(ranks.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (spread.damping * F.col("share") * F.col("score")).alias("score"))
         ranks = start.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
         if step % SAVE_EVERY == 0:
             ranks = materialize(ranks, "url-ranks")
+            # scores only grow from step to step, so their sum tells how much is still to come
+            total = ranks.agg(F.sum("score")).first()[0] or 0.0
+            if spread.tolerance and total - last <= spread.tolerance * seeded:
+                break
+            last = total
     return ranks
 
 

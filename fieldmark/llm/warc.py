@@ -170,11 +170,15 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
 
 
 def export_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Put archives as files into a folder that all executors mount; a file appears whole or not at all. Lazy: (name, bytes)."""
+    """Put archives as files into a folder that all executors mount; a file appears whole or not at all. Lazy: (name, bytes).
+
+    The folder must be there: one that a task made itself would be its own machine's.
+    """
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            os.makedirs(folder, exist_ok=True)
+            if not os.path.isdir(folder):
+                raise FileNotFoundError(f"{folder} isn't there; is it mounted?")
             for name, data in zip(batch.column("name").to_pylist(), batch.column("archive")):
                 draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 with open(draft, "wb") as out:

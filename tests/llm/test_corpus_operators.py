@@ -170,8 +170,11 @@ def test_contained_items(spark, sf, monkeypatch):
 
 
 def test_decontamination_stays_in_the_jvm(spark, sf):
-    plan = queries.op9_decontamination(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas|Cartesian|BroadcastNestedLoop", plan)
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = decontam._items(bench, 5)
+    frames = [items, decontam.candidates(docs, items), decontam._contaminated(docs, bench, 5, 0.8), queries.op9_decontamination(spark, sf)]
+    plan = "".join(f._jdf.queryExecution().executedPlan().toString() for f in frames)
+    assert "BroadcastHashJoin" in plan and not re.search("Python|Arrow|Pandas|Cartesian|BroadcastNestedLoop", plan)
 
 
 # ---- quality
@@ -434,6 +437,29 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert bpe.digest(empty, queries.default_coder(), keep=("lang",)).columns[-1] == "lang"
 
 
+def test_pipeline_over_odd_rows(spark, sf, tmp_path):
+    """Nulls in any column, repeated rows, an unknown column and very long texts pass through run(); clean ones stay."""
+    import shutil
+
+    import corpus_pipeline
+
+    docs, rng = spark.read.parquet(f"{sf}/documents.parquet"), random.Random(8)
+    shutil.copy(f"{sf}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    # without labels all rows have the score 0.5 and stay, so that what the later stages do can be told by row
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    a, b, c, long = (" ".join(f"word{rng.randrange(10**6)}" for _ in range(n)) for n in (60, 70, 80, 60_000))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [(1, a, None, None, None), (1, a, None, None, None), (None, b, "en", "s", 1), (3, None, "en", "s", 0), (4, "", None, "s", None), (5, c, "en", None, len(c)), (6, long, "en", "s", len(long)), (7, f"{b} x {item}", "en", "s", 9), (8, long + " end", "en", "s", 9)]
+    odd = spark.createDataFrame(rows, docs.schema).withColumn("score", grulm.F.lit("clash")).withColumn("n_tokens", grulm.F.lit(1))
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(out) == {1, None, 3, 4, 5, 6} and out[3]["n_tokens"] == out[4]["n_tokens"] == 0 and out[6]["n_tokens"] > 60_000
+    # an empty table of documents
+    shutil.rmtree(tmp_path / "documents.parquet")
+    odd.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_equal_rows_leave_one(spark, sf):
     import corpus_pipeline
 

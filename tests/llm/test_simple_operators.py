@@ -62,6 +62,10 @@ def test_chat_reads_back_what_was_said(spark):
     accepted = {r["conv_id"]: (r["accepted"], r["first_invalid"]) for r in got}
     assert accepted == {1: (True, None), 2: (False, 0), 3: (False, 0), None: (False, None), 4: (True, None), 5: (False, None)}
     assert chat.read_back(chat.format_turns(chats(spark, []))).count() == 0
+    # further columns, also with names that the output has, change nothing
+    more = chats(spark, TURNS).withColumns({"n_turns": warc.F.lit("clash"), "segments": warc.F.lit(1)})
+    again = chat.read_back(chat.format_turns(more)).collect()
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in again} == expected_chat(TURNS)
 
 
 def test_chat_segments(spark):
@@ -158,7 +162,7 @@ SAID = [
 
 
 def test_personal_data_as_plain_patterns(spark, sf, odd, empty):
-    for text in [*SAID, *[t for t in ODD if t and len(t) < 10_000]]:
+    for text in [*SAID, " ".join(SAID * 60), *[t for t in ODD if t and len(t) < 10_000]]:
         assert [x[:3] for x in pii.find_spans(text) if x.kind in pii.BASE] == plain_spans(text), text
     assert [x[:3] for x in pii.find_spans(SAID[4]) if x.kind == "iban"] == [("iban", 0, 27), ("iban", 28, 50)]
     assert [x[:3] for x in pii.find_spans(SAID[5]) if x.kind == "ssn"] == [("ssn", 4, 15)]
@@ -177,6 +181,37 @@ def test_personal_data_on_any_text(text):
     assert [x[:3] for x in pii.find_spans(text) if x.kind in pii.BASE] == plain_spans(text)
 
 
+def plain_ibans(text):
+    """Country, two check digits, groups of up to four: those whose remainder by 97 is 1, left to right, the longest first."""
+    lengths = {"DE": 22, "GB": 22, "FR": 27, "ES": 24, "NL": 18}
+    out, at = [], 0
+    while at < len(text):
+        n = lengths.get(text[at : at + 2])
+        found = None
+        if n and (at == 0 or not text[at - 1].isalnum()):
+            chars, i = "", at
+            while i < len(text) and len(chars) < n and (text[i].isdigit() or text[i].isupper() or (text[i] == " " and len(chars) % 4 == 0)):
+                chars += text[i].strip()
+                i += 1
+            if len(chars) == n and not (i < len(text) and text[i].isalnum()) and int("".join(str(int(c, 36)) for c in chars[4:] + chars[:4])) % 97 == 1:
+                found = ("iban", at, i)
+        at = found[2] if found else at + 1
+        out += [found] if found else []
+    return out
+
+
+def test_ibans_as_plain_checks():
+    def iban(country, body):
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+        return f"{country}{check:02d}{body}"
+
+    good = [iban("DE", "370400440532013000"), iban("GB", "WEST12345698765432"), iban("NL", "ABNA0417164300"), iban("FR", "20041010050500013M02606")]
+    spaced = lambda s: " ".join(s[i : i + 4] for i in range(0, len(s), 4))
+    wrong = [g[:-1] + str((int(g[-1]) + 1) % 10) for g in good]
+    for text in (*good, *wrong, *map(spaced, good), "; ".join(good), ", ".join(map(spaced, [*good, *wrong])), f"x{good[0]}", "Konto " + spaced(good[0]) + "."):
+        assert [x[:3] for x in pii.find_spans(text) if x.kind == "iban"] == plain_ibans(text), text
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd now", 15, "s"), (2, None, 0, "s"), (3, "clean", 5, "s")], "doc_id long, text string, n_chars long, source string")
     assert [tuple(r) for r in pii.redact_column(df).orderBy("doc_id").collect()] == [(1, "mail <EMAIL> now", 16, "s"), (2, None, 0, "s"), (3, "clean", 5, "s")]
@@ -259,6 +294,8 @@ def test_archive_format(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     archives = warc.write_archives(pages)
     assert warc.export_archives(archives, str(tmp_path)).agg({"bytes": "sum"}).first()[0] == sum(p.stat().st_size for p in tmp_path.iterdir())
+    with pytest.raises(Exception, match="isn't there"):
+        warc.export_archives(archives, str(tmp_path / "unmounted")).collect()
     data = next(tmp_path.iterdir()).read_bytes()
     magic, size = np.frombuffer(data[:8], "<u4").tolist()
     dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]))
@@ -286,6 +323,31 @@ def test_rules(spark):
     for i, want in enumerate(urls.values()):
         assert got[i][:3] == want[:3] and want[3] in (None, got[i][3]), got[i]
     assert urltrust.url_verdicts(pages.limit(0)).count() == 0
+    # rules of equal length: the last by host and path decides, in whatever order they are given
+    page = spark.createDataFrame([("a.bc", "/x/y")], "host string, path string")
+    for rules in ((("block", "a.bc", "/x"), ("allow", "bc", "/x/y")), (("allow", "bc", "/x/y"), ("block", "a.bc", "/x"))):
+        assert tuple(page.select(*urltrust.matched_rule(warc.F.col("host"), warc.F.col("path"), rules)).first()) == ("bc/x/y", "allow")
+
+
+def test_host_trust_as_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(queries.ORACLE_SQL["host_trust"]).fetchall()}
+    got = {r["host"]: (r["trust"], r["distrust"], r["host_verdict"]) for r in queries.host_trust(spark, sf).collect()}
+    assert set(got) == set(want) and all(got[h][2] == want[h][2] and got[h][:2] == pytest.approx(want[h][:2], abs=2e-9) for h in want)
+    assert any(t and d for t, d, _ in got.values())
+
+
+def test_steps_end_when_little_moves(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 2.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    x = np.zeros(3)
+    for _ in range(300):
+        x = np.array([0.15 + 0.85 * x[1] / 3, 0.85 * x[0], 0.85 * x[1] * 2 / 3])
+    got = {r["host"]: r["score"] for r in urltrust.personalised_rank(edges, seeds).collect()}
+    assert [got[h] for h in "abc"] == pytest.approx(x, abs=3e-4)
 
 
 def test_trust_spreads_along_links_and_distrust_against_them(spark):
