@@ -5,6 +5,7 @@ Readings: A on the image, B on its contrast variant, C for boxes, T for a transc
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -81,17 +82,29 @@ class BatchEngine:
     """Replies by a Python model that is loaded once in each task and called with batches.
 
     load: returns a function from a list of (prompt, image bytes or None) to a list of replies. It runs on executors, so
-    heavy imports belong inside it; check: runs on the driver first, to fail before any work where a device is lacking.
+    heavy imports belong inside it; check: runs on the driver first, to fail before any work where a device is lacking;
+    warm_up: a batch that each task asks its model first, unanswered, so that no document waits for what only first calls do.
     Requests of one document stay together in a batch, because a batch reads a model's weights once for all of them.
     """
 
-    def __init__(self, load: Callable[[], Callable], model_id: str, device: str = "auto", check: Callable[[], None] | None = None, batch: int = 24):
-        self.load, self.model_id, self.device, self.check, self.batch = load, model_id, device, check, batch
+    def __init__(self, load: Callable[[], Callable], model_id: str, device: str = "auto", check: Callable[[], None] | None = None, batch: int = 24, warm_up: list[tuple] = ()):
+        self.load, self.model_id, self.device, self.check, self.batch, self.warm_up = load, model_id, device, check, batch, list(warm_up)
+
+    def _loader(self) -> Callable[[], Callable]:
+        load, first = self.load, self.warm_up
+
+        def loaded() -> Callable:
+            model = load()
+            if first:
+                model(first)
+            return model
+
+        return loaded
 
     def generate(self, requests: DataFrame) -> DataFrame:
         if self.check:
             self.check()
-        load, size = self.load, self.batch
+        load, size = self._loader(), self.batch
         has_image = "image" in requests.columns
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +121,25 @@ class BatchEngine:
         near = requests.repartition("doc_id").sortWithinPartitions(*REQUEST_KEYS)
         return near.mapInPandas(run, "doc_id long, reading string, attempt int, text string")
 
+    def ready(self, spark) -> tuple[bool, int | None]:
+        """Whether an executor can load the model and answer the warm-up, and in how many milliseconds."""
+        load = self._loader()
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                start = time.perf_counter()
+                try:
+                    load()
+                    yield pd.DataFrame({"loaded": [True] * len(frame), "ms": [int(1000 * (time.perf_counter() - start))] * len(frame)})
+                except Exception:  # noqa: BLE001  a model's own error, which health tells as not loaded
+                    yield pd.DataFrame({"loaded": [False] * len(frame), "ms": [-1] * len(frame)})
+
+        loaded, ms = spark.range(1).coalesce(1).mapInPandas(run, "loaded boolean, ms long").first()
+        return loaded, ms if loaded else None
+
 
-def engine_info(spark, engine: Engine, settings: Settings = Settings(), loaded: bool = True, warmup_ms: int | None = None, vram_mb: int | None = None) -> DataFrame:
+def engine_info(spark, engine: Engine, settings: Settings = Settings(), vram_mb: int | None = None) -> DataFrame:
+    """One row of health. An engine that has a model to load is asked to; the others are always ready."""
+    loaded, warmup_ms = engine.ready(spark) if hasattr(engine, "ready") else (True, None)
     row = (engine.model_id, engine.device, loaded, settings.self_consistency, warmup_ms, vram_mb)
     return spark.createDataFrame([row], "model string, device string, loaded boolean, self_consistency boolean, warmup_ms int, vram_mb int")

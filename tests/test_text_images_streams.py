@@ -153,6 +153,40 @@ def test_response_json_keeps_nulls_and_metrics_hold_no_values(spark):
         writers.write_debug_images(df, "/nowhere", Settings())
 
 
+def test_models_warm_up_and_tell_whether_they_loaded(spark):
+    def broken():
+        raise RuntimeError("no device")
+
+    info = inference.engine_info(spark, inference.BatchEngine(lambda: lambda batch: [p for p, _ in batch], "m", warm_up=[("hello", None)])).first()
+    assert info["loaded"] and info["warmup_ms"] >= 0
+    info = inference.engine_info(spark, inference.BatchEngine(broken, "m")).first()
+    assert (info["loaded"], info["warmup_ms"]) == (False, None)
+    picky = inference.BatchEngine(lambda: lambda batch: [str(1 // len(p)) for p, _ in batch], "m", warm_up=[("", None)])
+    assert not inference.engine_info(spark, picky).first()["loaded"]
+
+
+def test_workers_get_the_library_from_any_folder(tmp_path):
+    """A session in another folder, whose workers don't find the package by themselves."""
+    import os
+    import subprocess
+    import sys
+
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(text.__file__).parents[2])!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from fieldmark.functions.text import normalised
+from fieldmark.shipping import ship
+ship(spark)
+df = spark.createDataFrame([("STRASSE \u00c9",)], "s string")
+print(df.select(normalised([F.col("s")])[0]).first()[0])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("strasse \u00e9"), done.stderr[-2000:]
+
+
 def test_a_request_is_asked_once(spark, tmp_path):
     """Replies lie in tables: neither later steps nor a cleared cache ask the model again; with a store they go with it."""
     from pathlib import Path as P
