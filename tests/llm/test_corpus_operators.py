@@ -388,7 +388,7 @@ def test_scores_of_a_sequential_version_and_of_any_partitions(spark):
 
 def test_codes_and_chunks(monkeypatch):
     v = small_vocabulary()
-    c = grulm.coded(["w1 W2 other", None, ""], v)
+    c = grulm.coded(["w0 W1 other", None, ""], v)
     assert c.codes.tolist() == [1, 2, grulm.RARE + grulm.class_of(b"other"), 0, 0, 0] and c.lengths.tolist() == [4, 1, 1] and c.rare == [[b"other"], [], []]
     t = grulm.tokens_from(c.codes, c.lengths, v)
     assert t.index.tolist() == [1, 2, -1, 0, 0, 0] and t.classes[2] == grulm.class_of(b"other") and t.units[2] == v.sizes[t.classes[2]] - 1
