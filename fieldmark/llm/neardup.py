@@ -14,7 +14,9 @@ that are left; the same counts bound the overlap of a pair. A passage that many
 A bucket never gives all its pairs. Its members meet a leader first, the one with the fewest shingles of its own, links
 become components, and after that only members of different components are compared, those outside the bucket's largest
 component with all others, by the bitmaps and bounds inside the join. No pair is left out by a cap. Where these
-comparisons would be many for each member, rounds with more leaders come before.
+comparisons would be many for each member, rounds with more leaders come before. Where many pairs for each document
+are left to confirm, as in a group whose members are mostly just below the similarity sought, bitmaps of ``WIDE_BITS``
+refute most of them, again for certain, before their texts are joined.
 
 Two sets with similarity 0.8 share no band with a probability of (1 - 0.8 ** ROWS) ** (SAMPLES / ROWS) = 4e-7.
 
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import drop_table, if_small, map_rows, materialize, of_ids, temporary
+from fieldmark.llm.common import drop_table, if_few_bytes, if_small, map_rows, materialize, of_ids, temporary
 from fieldmark.llm.components import components
 
 SAMPLES, ROWS, BITS, SKETCH_CUT, WHOLE_BITS = 112, 4, 256, 0.5, 1024
@@ -42,6 +44,8 @@ SAMPLES, ROWS, BITS, SKETCH_CUT, WHOLE_BITS = 112, 4, 256, 0.5, 1024
 OWN, SURE = 32, 6
 LEADER_ROUNDS, COMPARED_PER_MEMBER = 4, 1000
 CACHE_ENTRIES, CACHE_BYTES = 150_000, 40
+#: Pairs for each document beyond which wide bitmaps are built; bytes of sets and texts that a task of confirm() keeps.
+PAIRS_PER_DOCUMENT, WIDE_BITS, CONFIRM_BYTES = 20, 4096, 32 << 20
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2**63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,9 +106,9 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """WHOLE_BITS bits as 64-bit integers: each shingle flips one."""
-    odd = np.bincount((mixed(shingles + _STEP) % np.uint64(WHOLE_BITS)).astype(np.int64), minlength=WHOLE_BITS) & 1
+def parity_sketch(shingles: np.ndarray, bits: int = WHOLE_BITS) -> np.ndarray:
+    """So many bits as 64-bit integers: each shingle flips one."""
+    odd = np.bincount((mixed(shingles + _STEP) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -175,22 +179,58 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return bound & whole & (_flips(c(x, "odd"), c(y, "odd"), BITS) <= most_flips(min(SKETCH_CUT, percent / 100 - 0.3)))
 
 
+def refuted_out(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) without those that wide bitmaps refute, where there are many for each document.
+
+    Ids with several texts have no wide bitmap, and their pairs stay.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = materialize(ids, "pair-ids")
+    if pairs.count() <= PAIRS_PER_DOCUMENT * ids.count():
+        return pairs
+
+    def make():
+        shingle = Shingler(words)
+
+        def work(batch: pa.RecordBatch) -> dict:
+            sets = [shingle(t.as_py()) for t in batch.column("text")]
+            return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "wide": [parity_sketch(s, WIDE_BITS) for s in sets]}
+
+        return work
+
+    single = of_ids(texts.where("NOT several").select("doc_id", "text"), ids)
+    wide = map_rows(single, ["doc_id", "text"], "doc_id long, n int, wide array<long>", make, "text", 1000)
+    wide = materialize(wide.groupBy("doc_id").agg(F.any_value("n").alias("n"), F.any_value("wide").alias("wide")), "wide-bitmaps")
+    side = lambda k: if_few_bytes(wide.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")), f"wide_{k}")
+    flips = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, n: sum_ + n)
+    admitted = flips * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return materialize(both.where(F.coalesce(admitted, F.lit(True))).select("a", "b"), "pairs")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of documents whose full sets have that similarity."""
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def make():
-        shingle, last = Shingler(words), (object(), None)  # equal to no text, null neither
+        shingle, sets, held = Shingler(words), {}, 0
+
+        def set_of(text: str | None) -> np.ndarray:
+            nonlocal held
+            found = sets.get(text)
+            if found is None:
+                if held > CONFIRM_BYTES:
+                    sets.clear()
+                    held = 0
+                sets[text] = found = shingle(text)
+                held += found.nbytes + 4 * len(text or "")
+            return found
 
         def work(batch: pa.RecordBatch) -> dict:
-            nonlocal last
             a, b, out = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
             for i, (ta, tb) in enumerate(zip(batch.column("text_a"), batch.column("text_b"))):
-                said = ta.as_py()
-                if last[0] != said:
-                    last = (said, shingle(said))  # pairs of a leader follow one another
-                x, y = last[1], shingle(tb.as_py())
+                x, y = set_of(ta.as_py()), set_of(tb.as_py())
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 if same and 100 * same >= percent * (len(x) + len(y) - same):
                     out.append(i)
@@ -283,7 +323,7 @@ def link_classes(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -
         final = turn > 1 and (compared <= COMPARED_PER_MEMBER * total or turn > LEADER_ROUNDS)
         pairs = _rest(members, main.select("bucket", "main"), percent) if final else _led(members, 4 ** (turn - 1), percent)
         pairs = materialize(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
-        found = confirm(pairs, texts, words, percent)
+        found = confirm(refuted_out(pairs, texts, words, percent), texts, words, percent)
         links = found if links is None else links.unionByName(found)
         labels = materialize(components(links), "labels")
         if final:

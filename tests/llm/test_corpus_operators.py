@@ -106,6 +106,28 @@ def test_leader_rounds_give_the_same(spark, monkeypatch):
     assert sorted(tuple(r) for r in neardup.near_duplicates(frame(spark, texts), words=4).collect()) == brute_groups(texts, 4, 80)
 
 
+def test_wide_bitmaps_refute_no_link(spark, monkeypatch):
+    """A group around 80 percent, ids with several texts among it: the same groups where every round builds wide bitmaps."""
+    monkeypatch.setattr(neardup, "PAIRS_PER_DOCUMENT", 0)
+    monkeypatch.setattr(neardup, "CONFIRM_BYTES", 5000)  # sets are forgotten meanwhile
+    rng = random.Random(3)
+    base, texts = [f"w{i}" for i in range(400)], []
+    for _ in range(40):
+        words = list(base)
+        for at in rng.sample(range(400), 7):
+            words[at] = f"p{at}x{rng.randrange(3)}"
+        texts.append(" ".join(words))
+    ids = [*range(38), 5, 9]
+    want = sorted((i, len(shingles(t, 4)), c, kept) for (i, _, c, kept), t in zip(brute_groups(texts, 4, 80, ids), texts))
+    assert sorted(tuple(r) for r in neardup.near_duplicates(frame(spark, texts, ids), words=4).collect()) == want
+    assert 1 < len({c for _, _, c, _ in want}) < 38
+    rows = spark.createDataFrame([(i, t, False) for i, t in zip(ids[:38], texts)], "doc_id long, text string, several boolean")
+    pairs = spark.createDataFrame([(a, b) for a in range(38) for b in range(a + 1, 38)], "a long, b long")
+    left = {tuple(r) for r in neardup.refuted_out(pairs, rows, 4, 80).collect()}
+    linked = {tuple(r) for r in neardup.confirm(pairs, rows, 4, 80).collect()}
+    assert linked <= left and len(left) < pairs.count() / 2
+
+
 def test_odd_sketch_estimates_high_similarity():
     rng = np.random.default_rng(1)
     for j in (0.95, 0.9, 0.8):
