@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, chat, decontam, grulm, media, neardup, pii, quality, urltrust, warc
+from fieldmark.llm import bpe, chat, decontam, grulm, media, neardup, pii, quality, repair, urltrust, warc
 from fieldmark.llm.common import LOWER, UPPER, table
 
 #: The place of the tokenizer's ranks and its pattern are parameters; the defaults are those of the contract.
@@ -64,6 +64,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grulm.log_likelihoods(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), copies="copies"))
+
+
 def host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts' trust and distrust after eight steps where each page links to that of another number, as the tables' own pages link to no other host."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -75,7 +79,7 @@ def host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), "host_verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination, op10_lm_scores, host_trust)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination, op10_lm_scores, op11_structure_repair, host_trust)}
 
 
 def _shingle_sql(table: str, key: str, words: int) -> str:
@@ -97,6 +101,45 @@ def _spread_sql(steps: int) -> str:
     return ", ".join(parts)
 
 
+#: CRC-32 of a text of ASCII characters, x.
+CRC32_SQL = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(x, ''), lambda s: ord(s)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """The least edits of each conversation, row after row: c0 to c3 hold the best way into each state of the grammar, insertions included."""
+
+    def then(v: str, cost: str, label: str, out: str) -> str:
+        return f"CASE WHEN {v} IS NOT NULL THEN {{'c': {v}.c + {cost}, 'l': {v}.l || '{label}', 'o': {v}.o || {out}}} END"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    user, assistant = (lambda v: then(v, "3", "I", "'user:' || chr(10)")), (lambda v: then(v, "3", "I", "'assistant:' || chr(10)"))
+    gone = lambda v: then(v, "4", "D", "''")
+    kept = lambda v, x: f"CASE WHEN NOT must AND initial = '{x}' THEN {then(v, 'more', 'K', 'line')} END"
+    given = lambda v, role: f"CASE WHEN NOT must THEN {then(v, '3 + more', 'R', f"'{role}:' || text || chr(10)")} END"
+    to_user = [f(v) for v in ("c0", "c1", "c3") for f in (lambda v: kept(v, "u"), lambda v: given(v, "user"))]
+    step = f"{gone('c0')} AS s0, {least(gone('c1'), kept('c0', 's'))} AS s1, {least(gone('c2'), *to_user)} AS s2, {least(gone('c3'), kept('c2', 'a'), given('c2', 'assistant'))} AS s3"
+    closed = f"s0 AS c0, s1 AS c1, {least('s2', user('s0'), user('s1'), user('s3'))} AS c2, {least('s3', assistant('m'))} AS c3"
+    middle = f"*, {least('s2', user('s0'), user('s1'))} AS m"
+    kind = "STRUCT(c BIGINT, l VARCHAR, o VARCHAR)"
+    blank = "trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    return f"""
+WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS x FROM conversations),
+k AS (SELECT *, {CRC32_SQL} % 20 AS kind FROM x),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM k, range(CASE kind WHEN 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS initial, {blank} AS bare FROM d),
+f AS (SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, NOT right(bare, 1) IN ('.', '!', '?') AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM p),
+r AS (SELECT *, blank OR again AS must, CASE WHEN cut THEN 3 ELSE 0 END AS more, role || ':' || text || chr(10) AS line FROM f),
+w AS (SELECT DISTINCT conv_id, 0::BIGINT AS pos, {{'c': 0, 'l': '', 'o': ''}}::{kind} AS c0, NULL::{kind} AS c1, {{'c': 3, 'l': 'I', 'o': 'user:' || chr(10)}}::{kind} AS c2, {{'c': 6, 'l': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)}}::{kind} AS c3 FROM conversations
+UNION ALL SELECT conv_id, pos, {closed} FROM (SELECT {middle} FROM (SELECT r.conv_id, r.pos, {step} FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1) q) q),
+b AS (SELECT conv_id, arg_max({least('c0', 'c3')}, pos) AS best FROM w GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT must) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.l AS audit,
+  length(replace(best.l, 'D', '')) AS n_turns, sha256(substr(best.o, 1, length(best.o) - 1)) AS repaired_sha256
+FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+
 #: Those that SQL can express; the others are held against brute force in the tests.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": f"""
@@ -130,6 +173,7 @@ FROM seeds s LEFT JOIN trust_8 t ON t.host = s.host LEFT JOIN distrust_8 d ON d.
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM m""",
+    "op11_structure_repair": _repair_sql(),
     "op9_decontamination": f"""
 WITH {_shingle_sql('documents', 'doc_id', 5)}, {_shingle_sql('benchmark', 'item_id', 5)},
 p AS (SELECT d.doc_id, b.item_id, count(*) AS c FROM benchmark_s b JOIN documents_s d ON d.sh = b.sh GROUP BY ALL)
