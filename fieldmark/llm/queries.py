@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, chat, decontam, grulm, media, neardup, pii, quality, repair, urltrust, warc
+from fieldmark.llm import bpe, chat, decontam, grulm, heaplloyd, media, neardup, pii, quality, repair, urltrust, warc
 from fieldmark.llm.common import LOWER, UPPER, table
 
 #: The place of the tokenizer's ranks and its pattern are parameters; the defaults are those of the contract.
@@ -68,6 +68,10 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), copies="copies"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heaplloyd.digest(table(spark, sf_dir, "embeddings"))
+
+
 def host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts' trust and distrust after eight steps where each page links to that of another number, as the tables' own pages link to no other host."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -79,7 +83,7 @@ def host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), "host_verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination, op10_lm_scores, op11_structure_repair, host_trust)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination, op10_lm_scores, op11_structure_repair, op12_vector_codes, host_trust)}
 
 
 def _shingle_sql(table: str, key: str, words: int) -> str:
@@ -140,6 +144,26 @@ SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id"""
 
 
+def _codes_sql(rounds: int = 2) -> str:
+    """Codebooks from the first 64 rows, so many rounds, and a last assignment."""
+    far = "list_sum(list_transform(list_zip(x, y), lambda q: (q[1] - q[2]) * (q[1] - q[2])))"
+    parts = [f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT rid, p, z[p * (len(z) // 16) + 1 : (p + 1) * (len(z) // 16)] AS x FROM v, range(16) t(p)),
+c0 AS (SELECT p, rid - 1 AS e, x AS y FROM x WHERE rid <= 64)"""]
+    for k in range(rounds + 1):
+        parts.append(f"a{k} AS (SELECT rid, p, min(struct_pack(far := {far}, e := e)) AS best, any_value(x) AS x FROM x JOIN c{k} USING (p) GROUP BY rid, p)")
+        if k < rounds:
+            parts.append(f"s{k} AS (SELECT p, best.e AS e, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, range(1, len(x) + 1) t(i) GROUP BY ALL)")
+            parts.append(f"m{k} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS y FROM s{k} GROUP BY p, e)")
+            parts.append(f"c{k + 1} AS (SELECT c{k}.p, c{k}.e, coalesce(m{k}.y, c{k}.y) AS y FROM c{k} LEFT JOIN m{k} ON m{k}.p = c{k}.p AND m{k}.e = c{k}.e)")
+    parts.append(f"r AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)")
+    return ", ".join(parts) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM r JOIN v USING (rid)"""
+
+
 #: Those that SQL can express; the others are held against brute force in the tests.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": f"""
@@ -174,6 +198,7 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coa
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM m""",
     "op11_structure_repair": _repair_sql(),
+    "op12_vector_codes": _codes_sql(),
     "op9_decontamination": f"""
 WITH {_shingle_sql('documents', 'doc_id', 5)}, {_shingle_sql('benchmark', 'item_id', 5)},
 p AS (SELECT d.doc_id, b.item_id, count(*) AS c FROM benchmark_s b JOIN documents_s d ON d.sh = b.sh GROUP BY ALL)
