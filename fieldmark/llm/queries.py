@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, chat, decontam, grulm, heaplloyd, media, neardup, pii, quality, repair, urltrust, warc
+from fieldmark.llm import bpe, chat, decontam, grulm, heaplloyd, ledger, media, neardup, pii, quality, repair, urltrust, warc
 from fieldmark.llm.common import LOWER, UPPER, table
 
 #: The place of the tokenizer's ranks and its pattern are parameters; the defaults are those of the contract.
@@ -72,6 +72,15 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heaplloyd.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.digest(table(spark, sf_dir, "documents"))
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each version of the policy keeps of all documents, and would keep without each of its rules."""
+    return ledger.ablations(ledger.ledger(table(spark, sf_dir, "documents")))
+
+
 def host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts' trust and distrust after eight steps where each page links to that of another number, as the tables' own pages link to no other host."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -83,7 +92,7 @@ def host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), "host_verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination, op10_lm_scores, op11_structure_repair, op12_vector_codes, host_trust)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_pii, op4_near_duplicates, op5_quality, op6_url_filters, op7_warc, op8_media_columns, op9_decontamination, op10_lm_scores, op11_structure_repair, op12_vector_codes, op13_quality_rules, rule_ablations, host_trust)}
 
 
 def _shingle_sql(table: str, key: str, words: int) -> str:
@@ -164,6 +173,23 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM r JOIN v USING (rid)"""
 
 
+#: The ledger: measurements by document (one row each, number rid) and the bits of the rules that fail.
+LEDGER_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
+o AS (SELECT rid, i, array_to_string(w[i : i + 7], ' ') AS run FROM w, range(1, len(w) - 6) r(i)),
+g AS (SELECT rid, i FROM o QUALIFY count(*) OVER (PARTITION BY rid, run) > 1),
+c AS (SELECT rid, count(DISTINCT i + k) AS n FROM g, range(8) r(k) GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  coalesce(c.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words, len(regexp_extract_all(text, '\p{L}')) AS n_letters, len(regexp_extract_all(text, '\p{Lu}')) AS n_capitals,
+  coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest_word FROM w LEFT JOIN c USING (rid)),
+b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (100 * n_symbols > 20 * n_words)::INT + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (100 * n_letter_words < 75 * n_words)::INT + 32 * (100 * n_capitals > 30 * n_letters)::INT
+  + 64 * (word_chars < 3 * n_words)::INT + 128 * (word_chars > 12 * n_words)::INT + 256 * (longest_word > 200)::INT AS BIGINT) AS bits FROM m)"""
+#: version, masks of rules that reject and that are counted, and how many of the latter may fail.
+POLICIES_SQL = "(VALUES ('base', 3, 0, 0), ('lines', 15, 0, 0), ('full', 63, 448, 1)) p(version, rejects, counted, allowed)"
+RULES_SQL = "(VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('letterless', 16), ('capitals', 32), ('short_words', 64), ('long_words', 128), ('endless_word', 256)) r(rule, bit)"
+
+
 #: Those that SQL can express; the others are held against brute force in the tests.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": f"""
@@ -199,6 +225,12 @@ m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITIO
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM m""",
     "op11_structure_repair": _repair_sql(),
     "op12_vector_codes": _codes_sql(),
+    "op13_quality_rules": f"""{LEDGER_SQL}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits & 63 = 0 AND bit_count(bits & 448) <= 1 AS kept, bits FROM b""",
+    "rule_ablations": f"""{LEDGER_SQL}
+SELECT version, rule, count(*) AS n_rows, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits & rejects = 0 AND bit_count(bits & counted) <= allowed) AS n_kept,
+  count(*) FILTER (bits & rejects & ~bit = 0 AND bit_count(bits & counted & ~bit) <= allowed) AS n_kept_without
+FROM b, {POLICIES_SQL}, {RULES_SQL} WHERE (rejects | counted) & bit <> 0 GROUP BY version, rule""",
     "op9_decontamination": f"""
 WITH {_shingle_sql('documents', 'doc_id', 5)}, {_shingle_sql('benchmark', 'item_id', 5)},
 p AS (SELECT d.doc_id, b.item_id, count(*) AS c FROM benchmark_s b JOIN documents_s d ON d.sh = b.sh GROUP BY ALL)
