@@ -25,9 +25,11 @@ def contrast_pixels(data: bytes, height: int, width: int, channels: int) -> byte
     raw = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float32)
     if channels == 1:
         raw = np.repeat(raw, 3, axis=2)
-    grey = raw[:, :, :3] @ np.array(LUMA[::-1], np.float32)
+    red, green, blue = np.array(LUMA, np.float32)
+    grey = raw[:, :, 2] * red + raw[:, :, 1] * green + raw[:, :, 0] * blue
     low, high = float(grey.min()), float(grey.max())
-    stretched = np.clip((grey - low) * (255.0 / max(1.0, high - low)), 0, 255).astype(np.uint8)
+    # divided first, so that the brightest is exactly 1 and becomes 255
+    stretched = np.clip((grey - low) / max(1.0, high - low) * 255.0, 0, 255).astype(np.uint8)
     return np.repeat(stretched[:, :, None], 3, axis=2).tobytes()
 
 

@@ -347,17 +347,26 @@ def export_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def contrast_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small grey images made of digests: their least and most grey, and whether the contrast variant spans all of the range."""
+    """Small grey images made of digests: their least and most grey, and the bytes of the contrast variant."""
     pixels = F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary")))
     image = F.struct(F.lit(4).alias("height"), F.lit(4).alias("width"), F.lit(1).alias("nChannels"), pixels.alias("data"))
     images = imaging.contrast_normalise(table(spark, sf_dir, "documents").select("doc_id", image.alias("image")))
     at = lambda c, i: F.conv(F.substring(F.hex(c), i + 1, 2), 16, 10).cast("int")
     grey = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: at(F.col("image.data"), 2 * i))
-    made = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: at(F.col("contrast"), 6 * i))
-    seen = images.select("doc_id", grey.alias("g"), made.alias("m"), F.octet_length("contrast").alias("bytes"))
-    low, high = F.array_min("g"), F.array_max("g")
-    exact = F.zip_with("g", "m", lambda g, m: F.abs((g - low) * 255.0 / F.greatest(F.lit(1), high - low) - m))
-    return seen.select("doc_id", low.alias("low"), high.alias("high"), "bytes", F.array_min("m").alias("least"), (F.array_max("m") >= 254).alias("full_range"), F.forall(exact, lambda d: d <= 1).alias("linear"))
+    return images.select("doc_id", F.array_min(grey).alias("low"), F.array_max(grey).alias("high"), F.octet_length("contrast").alias("bytes"), F.lower(F.hex("contrast")).alias("pixels"))
+
+
+@query
+def odd_box_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes whose corners are strings: numbers of the table with what may stand around or behind a number."""
+    return parsing.parse_boxes(derived(spark, sf_dir, fixtures.ODD_BOXES, "customer"), "text", "doc_id")
+
+
+@query
+def odd_card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards with numbers for strings, some of them too large for a number: their values and errors."""
+    parsed = parsing.parse_card(derived(spark, sf_dir, fixtures.ODD_CARDS, "customer"))
+    return parsed.select("doc_id", "card.full_name", "card.id_number", F.col("error").isNotNull().alias("failed"))
 
 
 @query

@@ -96,3 +96,10 @@ LATENCY = "SELECT CAST(floor(value * 100) AS INT) AS elapsed_ms FROM events"
 
 #: The relations that cards need, as a WITH list.
 CARDS = f"t AS ({TRUTH}), a AS ({FIRST}), b AS ({SECOND})"
+#: Tails of numbers, by row: some make a number, some none.
+TAILS = ("", "d", "f", "_0", ".5", "e1", " ", "L", "__1", "_", ".", "e", "e400", "x1")
+_TAIL = "CASE CAST({n} AS INT) " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TAILS)) + " END"
+_ODD = f"SELECT c_custkey AS doc_id, CONCAT(CASE c_custkey % 5 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN ' ' ELSE '' END, CAST(c_custkey AS STRING), {_TAIL.format(n=f'c_custkey % {len(TAILS)}')}) AS a, CONCAT(CAST(c_nationkey AS STRING), {_TAIL.format(n=f'c_nationkey % {len(TAILS)}')}) AS b FROM customer"
+ODD_NUMBERS = _ODD
+ODD_BOXES = f"""SELECT doc_id, CONCAT('{{"sex": ["', a, '", 1, "', b, '", true], "full_name": [1, 2, 3, "', CASE doc_id % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN '1d' WHEN 2 THEN '4' ELSE 'inf' END, '"]}}') AS text FROM ({_ODD}) odd"""
+ODD_CARDS = """SELECT c_custkey AS doc_id, CONCAT('{"full_name": ', CASE c_custkey % 4 WHEN 0 THEN '1e400' WHEN 1 THEN '-2E999' WHEN 2 THEN '"1e400"' ELSE CAST(c_custkey AS STRING) END, ', "id_number": "', CAST(c_custkey AS STRING), '"}') AS text FROM customer"""

@@ -15,6 +15,13 @@ def norm(x: str) -> str:
     return f"lower(regexp_replace(trim(nfc_normalize({x})), '\\s+', ' ', 'g'))"
 
 
+def number(x: str) -> str:
+    """A string's number by the grammar of floating point numbers, without words; null for others."""
+    digits = "[0-9](_?[0-9])*"
+    fits = f"regexp_full_match(trim({x}), '[+-]?({digits}([.]({digits})?)?|[.]{digits})([eE][+-]?{digits})?')"
+    return f"CASE WHEN {fits} THEN TRY_CAST(replace(trim({x}), '_', '') AS DOUBLE) END"
+
+
 def day(x: str) -> str:
     return f"CASE WHEN regexp_full_match({x}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST({x} AS DATE) END"
 
@@ -190,7 +197,13 @@ ORACLE = {
     "text_fields": FOUND + " SELECT doc_id, ordinal, key, value FROM found",
     "export_fields": FOUND + WORDS.replace("WITH d AS", ", dd AS").replace("FROM d)", "FROM dd)") + ", m AS (SELECT doc_id, CAST(floor(avg(confidence) + 0.5) AS INT) AS mean_confidence, CAST(count(*) AS INT) AS word_count FROM w GROUP BY doc_id) SELECT m.doc_id, found.key, found.value, mean_confidence, word_count, 0 AS elapsed_ms FROM m LEFT JOIN found ON found.doc_id = m.doc_id",
     "response_fields": f"{MERGED} SELECT doc_id, field, value, value_ar, status, reason, CASE field WHEN 'full_name' THEN 200 END AS x1, CASE field WHEN 'full_name' THEN 100 END AS y1, CASE field WHEN 'full_name' THEN 800 END AS x2, CASE field WHEN 'full_name' THEN CAST(160 + 2 * (doc_id % 20) AS INT) END AS y2, CAST(sum(matched) OVER (PARTITION BY doc_id) AS INT) AS matched, CAST(sum(compared) OVER (PARTITION BY doc_id) AS INT) AS compared, 6 AS total, 'scripted' AS model FROM m",
-    "contrast_pixels": "WITH h AS (SELECT doc_id, md5(CAST(doc_id AS STRING)) AS x FROM documents), g AS (SELECT doc_id, list_transform(range(0, 16), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS INT)) AS v FROM h) SELECT doc_id, list_min(v) AS low, list_max(v) AS high, 48 AS bytes, 0 AS least, true AS full_range, true AS linear FROM g",
+    "contrast_pixels": "WITH h AS (SELECT doc_id, md5(CAST(doc_id AS STRING)) AS x FROM documents), g AS (SELECT doc_id, list_transform(range(0, 16), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS INT)) AS g FROM h), "
+    "y AS (SELECT *, list_transform(g, lambda v: v::FLOAT * 0.299::FLOAT + v::FLOAT * 0.587::FLOAT + v::FLOAT * 0.114::FLOAT) AS y FROM g) "
+    "SELECT doc_id, list_min(g) AS low, list_max(g) AS high, 48 AS bytes, array_to_string(list_transform(y, lambda v: repeat(printf('%02x', CAST(trunc((v - list_min(y)) / greatest(1::FLOAT, list_max(y) - list_min(y)) * 255::FLOAT) AS INT)), 3)), '') AS pixels FROM y",
+    "odd_box_numbers": f"WITH o AS ({f.ODD_NUMBERS}), n AS (SELECT doc_id, {number('a')} AS x1, {number('b')} AS x2 FROM o), "
+    "w AS (SELECT doc_id, CASE WHEN abs(x1) < 2147483648 THEN CAST(round_even(x1, 0) AS INT) END AS x1, CASE WHEN abs(x2) < 2147483648 THEN CAST(round_even(x2, 0) AS INT) END AS x2 FROM n) "
+    "SELECT doc_id, 'sex' AS field, x1, 1 AS y1, x2, 1 AS y2 FROM w WHERE x1 IS NOT NULL AND x2 IS NOT NULL UNION ALL SELECT doc_id, 'full_name', 1, 2, 3, 4 FROM w WHERE doc_id % 4 = 2",
+    "odd_card_numbers": "SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 2 THEN '1e400' WHEN 3 THEN CAST(c_custkey AS VARCHAR) END AS full_name, CASE WHEN c_custkey % 4 > 1 THEN CAST(c_custkey AS VARCHAR) END AS id_number, c_custkey % 4 < 2 AS failed FROM customer",
     "manifest_truth": _manifest(),
     "log_lines": f"{MERGED} SELECT doc_id, 'extract elapsed_ms=' || CAST(doc_id * 37 % 9000 AS STRING) || ' agreement=' || CAST(CAST(sum(matched) AS INT) AS STRING) || '/6 ok=' || CAST(count(*) FILTER (status = 'ok') AS STRING) || ' review=' || CAST(count(*) FILTER (status = 'review') AS STRING) || ' missing=' || CAST(count(*) FILTER (status = 'missing') AS STRING) AS line FROM m GROUP BY doc_id",
     "score_summary": f"{SCORED}, se AS ({SILENT}), {PAIRS.removeprefix('WITH ')}, bx AS (SELECT {HITS.format(total='boxes', expected='boxes_expected')}), {LATENCY}, t2 AS (SELECT {MEDIAN}) SELECT (SELECT count(*) FROM se) AS n_silent, count(*) AS total, (SELECT count(*) FROM se) * 100.0::DOUBLE / count(*) AS percent, any_value(b2.hits) AS hits, any_value(b2.boxes) AS boxes, any_value(b2.boxes_expected) AS boxes_expected, any_value(b2.coverage) AS coverage, any_value(b2.hit_rate) AS hit_rate, any_value(t2.median_ms) AS median_ms, any_value(t2.max_ms) AS max_ms, true AS comparable FROM c, bx b2, t2",

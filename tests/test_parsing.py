@@ -1,13 +1,16 @@
 """Replies to cards and boxes, against a plain reading with Python's json."""
 
 import json
+import math
 
 import pytest
 
 from fieldmark.operators import parsing
 from fieldmark.schemas import CARD_KEYS
 
+NOT_FINITE = ['{"full_name": 1e400}', '{"id_number": -1e999}', '{"sex": "M", "full_name": 1E+309}']
 PAYLOADS = [
+    '{"id_number": "1e400"}', *NOT_FINITE,
     '{"full_name": "JOHN"}', '{"id_number": 12345678}', '{"id_number": 1.0}', '{"full_name": true}', '{"full_name": "", "id_number": "   "}', '{"full_name": null}', '{"eye_colour": "brown"}',
     '{"full_name": ["A"]}', '{"full_name": {"a": 1}}', "[1]", '"text"', "3", '{"full_name": "JOHN', "I cannot read this card.", "", '{"full_name": "A"} and {"sex": "M"}', '[{"sex": "M"}]', "{'sex': 'M'}",
     '{"sex": "M", "sex": "F"}', '{"full_name": "جون", "sex_ar": "ذكر"}', "{}", "{", "}", "}{", '{"Full_Name": "A"}', '{"id_number": 123456789012345678901234567890123456789012}', '{"id_number": 01}', '{"sex": "M",}',
@@ -31,7 +34,7 @@ def plain(text):
         return None, parsing.NOT_JSON
     if not isinstance(data, dict):
         return None, parsing.NOT_OBJECT
-    if not set(data) <= set(CARD_KEYS) or any(isinstance(v, (bool, list, dict)) for v in data.values()):
+    if not set(data) <= set(CARD_KEYS) or any(isinstance(v, (bool, list, dict)) or isinstance(v, float) and math.isinf(v) for v in data.values()):
         return None, parsing.NOT_CARD
     said = {k: None if v is None else str(v) for k, v in data.items()}
     return {k: said.get(k) if (said.get(k) or "").strip() else None for k in CARD_KEYS}, None
@@ -48,6 +51,11 @@ def test_cards_as_json_reads_them(spark):
     assert spark.createDataFrame([], "text string").transform(parsing.parse_card).count() == 0
 
 
+def test_large_finite_numbers_are_values(spark):
+    row = parsing.parse_card(spark.createDataFrame([('{"full_name": 1e300}',)], "text string")).first()
+    assert row["error"] is None and float(row["card"]["full_name"]) == 1e300
+
+
 def test_null_reply_is_an_error(spark):
     row = parsing.parse_card(spark.createDataFrame([(None,)], "text string")).first()
     assert row["card"] is None and row["error"] == parsing.NOT_JSON
@@ -67,3 +75,24 @@ def test_null_reply_is_an_error(spark):
 def test_boxes(spark, text, want):
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
     assert {r["field"]: tuple(r[c] for c in ("x1", "y1", "x2", "y2")) for r in parsing.parse_boxes(df, "text", "doc_id").collect()} == want
+
+
+ODD = [
+    "1", " 4 ", "+5", "-6", "6.", ".5", "1_0", "1__0", "_1", "1_", "1.5_0", "1_.5", "1e1", "1E+0_1", "1e", "e1", "1d", "2f", "1D", "2F", "1L", "0x10", "nan", "NaN", "inf", "-Infinity", "infinity", "true", "True", "",
+    " ", "+", "1 2", "1,5", "1e400", "\t7\n", "٣", "۴٫۵", "１２", "0b1", "1j", "--1", "2147483648", "2.5", "3.5", "\u00a08\u2003", "null", "1e-400",
+]
+
+
+def test_numbers_in_strings_as_float_reads_them(spark):
+    """float() reads more digits than those of Arabic and full-width text; these and what isn't finite aside, all agree."""
+    def plain(s):
+        try:
+            x = float(s)
+        except ValueError:
+            return None
+        return round(x) if math.isfinite(x) and abs(round(x)) < 2**31 else None
+
+    rows = [(i, json.dumps({"sex": [s, 1, 2, 3]})) for i, s in enumerate(ODD)]
+    got = {r["doc_id"]: r["x1"] for r in parsing.parse_boxes(spark.createDataFrame(rows, "doc_id int, text string"), "text", "doc_id").collect()}
+    for i, s in enumerate(ODD):
+        assert got.get(i) == plain(s), s

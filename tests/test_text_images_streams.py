@@ -276,3 +276,11 @@ def test_nothing_imports_models_or_the_corpus_operators():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any(n.split(".")[0] in ("torch", "transformers", "accelerate") or n.startswith("fieldmark.llm") for n in names), path
+
+
+def test_the_brightest_pixel_becomes_white():
+    dice = np.random.default_rng(4)
+    for shape in [(4, 4)] * 300 + [(40, 30)] * 20:
+        raw = dice.integers(0, 256, (*shape, 3), dtype=np.uint8)
+        made = np.frombuffer(imaging.contrast_pixels(raw.tobytes(), *shape, 3), np.uint8)
+        assert made.min() == 0 and made.max() == 255
