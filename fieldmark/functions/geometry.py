@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,36 @@ def scale_factor(w: Column, h: Column) -> Column:
 def resized(x: Column, factor: Column) -> Column:
     """Half rounds up, as pixels of a canvas do."""
     return F.floor(x * factor + 0.5).cast("int")
+
+
+@dataclass(frozen=True)
+class Grid:
+    """The size that a vision model works on: sides of whole cells, with an area between the least and the most pixels.
+
+    A cell is a patch's side times the patches that are merged; the size is the grid of patches times the patch's side.
+    """
+
+    patch: int = 14
+    merged: int = 2
+    least: int = 256 * 28 * 28
+    most: int = 1280 * 28 * 28
+    #: Images that are longer than so many times their other side aren't worked on.
+    longest: int = 200
+
+    def cells(self, w: Column, h: Column) -> tuple[Column, Column]:
+        """Patches across and down; null where an image has no size or is too long."""
+        cell = self.patch * self.merged
+        w, h = w.cast("double"), h.cast("double")
+        near = [F.greatest(F.lit(float(cell)), F.rint(x / cell) * cell) for x in (w, h)]
+        small, large = F.sqrt(w * h / self.most), F.sqrt(F.lit(float(self.least)) / (w * h))
+        down = [F.greatest(F.lit(float(cell)), F.floor(x / small / cell) * cell) for x in (w, h)]
+        up = [F.ceil(x * large / cell) * cell for x in (w, h)]
+        area = near[0] * near[1]
+        fits = (w > 0) & (h > 0) & (F.greatest(w, h) / F.least(w, h) <= self.longest)
+        side = lambda i: F.when(fits, F.when(area > self.most, down[i]).when(area < self.least, up[i]).otherwise(near[i]))
+        return tuple((side(i) / self.patch).cast("int") for i in (0, 1))
+
+    def processed(self, w: Column, h: Column) -> tuple[Column, Column]:
+        """The processed width and height: the grid times the patch's side, or the image's own size where there is no grid."""
+        across, down = self.cells(w, h)
+        return F.coalesce(across * self.patch, w.cast("int")), F.coalesce(down * self.patch, h.cast("int"))

@@ -1,8 +1,8 @@
 """The whole extraction: requests, replies, one retry, merge, boxes, response.
 
 Replies are stored as tables before anything branches on them, so that an expensive or random model runs once for each
-request, also if executors are lost. The second round asks only for replies that couldn't be parsed: of A always, of B
-where A could be. A document's replies then come together in one row, and all that follows is a projection of it.
+request, also if executors are lost. Only replies that couldn't be parsed are asked for again: of A always, of B where A
+could be. A document's replies then come together in one row, and all that follows is a projection of it.
 """
 
 from __future__ import annotations
@@ -25,21 +25,32 @@ from fieldmark.sources.writers import stored
 Keep = Callable[[DataFrame], DataFrame]
 
 
+def _parsed(replies: DataFrame) -> DataFrame:
+    """Replies with card and error; those to C are kept for their boxes and have neither."""
+    asked = replies.select("doc_id", "reading", "attempt", "text", F.when(F.col("reading") != "C", F.col("text")).alias("_said"))
+    is_card = F.col("reading") != "C"
+    return parse_card(asked, "_said").withColumn("error", F.when(is_card, F.col("error"))).drop("_said")
+
+
+def _again(failed: DataFrame) -> DataFrame:
+    variant = F.when(F.col("reading") == "B", "contrast").otherwise("original")
+    return failed.select("doc_id", "reading", F.lit(2).alias("attempt"), variant.alias("variant"), retry_prompt(F.col("error")).alias("prompt"))
+
+
 def resolve_replies(engine: Engine, first: DataFrame, keep: Keep = stored) -> DataFrame:
-    """doc_id, a, b (cards or null), boxes (the reply to C), raw_text and error of each document, from the first round's replies, a stored table.
+    """doc_id, a, b (cards or null), boxes (the reply to C), raw_text and error of each document, from the first round's replies.
 
     raw_text is the reply to A that was parsed, or the last one where none was; error is what A's first reply failed by.
+    Replies are stored with what they were parsed to. The second round asks for A again, and for B where A came out at once;
+    B of the documents whose A came out in the second round is asked last, on its own variant as before.
     """
-    parse = lambda df: keep(parse_card(df.select("doc_id", "reading", "attempt", "text"), "text"))
-    parsed = parse(first.where("reading IN ('A', 'B')"))
-    failed = parsed.where("card IS NULL").select("doc_id", "reading", "error")
-    again = failed.select("doc_id", "reading", F.lit(2).alias("attempt"), F.when(F.col("reading") == "B", "contrast").otherwise("original").alias("variant"), retry_prompt(F.col("error")).alias("prompt"))
-    retried_a = parse(engine.generate(again.where("reading = 'A'")))
-    lost = retried_a.where("card IS NULL").select("doc_id")
-    # B is read again on its own variant, and only where A came out
-    retried_b = parse(engine.generate(again.where("reading = 'B'").join(lost, "doc_id", "left_anti")))
-    boxes = first.where("reading = 'C'").select("doc_id", "reading", "attempt", "text")
-    replies = parsed.unionByName(retried_a).unionByName(retried_b).unionByName(boxes, allowMissingColumns=True)
+    parsed = keep(_parsed(first))
+    failed = parsed.where("error IS NOT NULL")
+    lost_a, lost_b = failed.where("reading = 'A'"), failed.where("reading = 'B'")
+    second = keep(_parsed(engine.generate(_again(lost_a.unionByName(lost_b.join(lost_a, "doc_id", "left_anti"))))))
+    saved = second.where("reading = 'A' AND card IS NOT NULL").select("doc_id")
+    third = _parsed(engine.generate(_again(lost_b.join(saved, "doc_id", "left_semi"))))
+    replies = parsed.unionByName(second).unionByName(third)
     is_ = lambda r, n: (F.col("reading") == r) & (F.col("attempt") == n)
     of = lambda c, r, n: F.max(F.when(is_(r, n), F.col(c)))
     raw = F.coalesce(F.max(F.when(is_("A", 1) & F.col("card").isNotNull(), F.col("text"))), of("text", "A", 2), of("text", "A", 1))
@@ -58,10 +69,12 @@ def extract_fields(resolved: DataFrame, as_of=None) -> DataFrame:
 def extract(docs: DataFrame, engine: Engine, settings: Settings = Settings(), as_of=None, keep: Keep = stored) -> DataFrame:
     """One response for each document: doc_id, fields (map of field results), raw_text, agreement, elapsed_ms, model.
 
-    docs: doc_id, w, h and, where the model works on another size, pw, ph; elapsed_ms if it is measured.
+    docs: doc_id, w, h and, where the model works on another size, pw, ph; elapsed_ms if it is measured. Without pw and ph,
+    an engine with a grid works on the size that its grid gives.
     """
-    replies = keep(engine.generate(requests(docs, settings)))
-    merged = extract_fields(keep(resolve_replies(engine, replies, keep)), as_of)
+    merged = extract_fields(resolve_replies(engine, engine.generate(requests(docs, settings)), keep), as_of)
+    if (grid := getattr(engine, "grid", None)) and {"w", "h"} <= {*docs.columns} and not {"pw", "ph"} & {*docs.columns}:
+        docs = docs.withColumns(dict(zip(("pw", "ph"), grid.processed(F.col("w"), F.col("h")))))
     given = [F.col(c) if c in docs.columns else F.lit(None).cast("int").alias(c) for c in ("pw", "ph", "w", "h", "elapsed_ms")]
     rows = merged.join(docs.select("doc_id", *given), "doc_id")
     if settings.show_boxes:

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.functions import display, rules, text
 from fieldmark.functions import geometry as g
-from fieldmark.operators import boxes, extract, imaging, inference, merge, metrics, parsing, scoring, textfields
+from fieldmark.operators import boxes, devices, extract, imaging, inference, merge, metrics, parsing, scoring, textfields
 from fieldmark.plans import fixtures
 from fieldmark.plans.oracle import ORACLE
 from fieldmark.schemas import ARABIC, FIELDS
 from fieldmark.settings import Settings
 from fieldmark.sources import readers, writers
-from fieldmark.sources.tables import card_pairs, card_structs, derived, table, truth_cards
+from fieldmark.sources.tables import card_pairs, card_pairs_of, card_structs, derived, table, truth_cards
 from fieldmark.streaming import watch
 
 QUERIES: dict = {}
@@ -292,7 +290,7 @@ def stream_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table's files as a stream of replies, each micro-batch stripped and stored, until no file is left."""
     schema = table(spark, sf_dir, "conversations").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/conversations.parquet*")
-    out = f"{writers.scratch(spark)}/stream-{uuid.uuid4().hex}"
+    out = writers.passing(spark, "stream")
     handle = lambda df: df.where("role = 'assistant'").select("conv_id", "turn", text.strip(F.col("text")).alias("text"))
     watch.each_batch(files, handle, f"{out}/rows", f"{out}/state", None).awaitTermination()
     return spark.read.schema("conv_id long, turn long, text string").parquet(f"{out}/rows").select("conv_id", "turn", "text")
@@ -308,9 +306,9 @@ def display_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate_cards(spark, sf_dir).select("doc_id", "field", display.field_label(F.col("field")).alias("label"), display.status_class(F.col("status")).alias("class"))
 
 
-def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole extraction over scripted replies: what the pipeline gives for every document."""
-    pairs = card_structs(card_pairs(spark, sf_dir))
+def _scripted(pairs: DataFrame) -> tuple[DataFrame, inference.ScriptedEngine]:
+    """Documents of card pairs and an engine that knows all replies for them."""
+    pairs = card_structs(pairs)
     keep_nulls = {"ignoreNullFields": "false"}
     said = lambda r, c: F.struct(F.lit(r).alias("reading"), c.alias("text"))
     box = F.concat(F.lit('{"full_name": [100, 50, 400, '), (F.lit(80) + F.col("doc_id") % 20).cast("string"), F.lit("]}"))
@@ -319,7 +317,13 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = replies.where("reading = 'B' AND text = 'nothing'")
     script = replies.withColumn("attempt", F.lit(1)).unionByName(again.withColumn("attempt", F.lit(2)))
     docs = pairs.select("doc_id", F.lit(1000).alias("pw"), F.lit(600).alias("ph"), F.lit(2000).alias("w"), F.lit(1200).alias("h"))
-    return extract.extract(docs, inference.ScriptedEngine(script), Settings(), fixtures.AS_OF)
+    return docs, inference.ScriptedEngine(script)
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole extraction over scripted replies: what the pipeline gives for every document."""
+    docs, engine = _scripted(card_pairs(spark, sf_dir))
+    return extract.extract(docs, engine, Settings(), fixtures.AS_OF)
 
 
 @query
@@ -330,11 +334,55 @@ def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON responses read back: a row for each field, beside its document's agreement."""
+    return _response_rows(response_json(spark, sf_dir).select("doc_id", "json"), "doc_id")
+
+
+def _response_rows(json: DataFrame, *keys: str) -> DataFrame:
     field = "struct<value:string,value_ar:string,status:string,reason:string,box:array<int>>"
     read = F.from_json("json", f"fields map<string,{field}>, agreement struct<matched:int,compared:int,total:int>, model string")
-    rows = response_json(spark, sf_dir).select("doc_id", read.alias("r")).select("doc_id", "r.agreement.*", "r.model", F.explode_outer("r.fields").alias("field", "f"))
+    rows = json.select(*keys, read.alias("r")).select(*keys, "r.agreement.*", "r.model", F.explode_outer("r.fields").alias("field", "f"))
     corners = [F.get("f.box", F.lit(i)).alias(c) for i, c in enumerate(boxes.CORNERS)]
-    return rows.select("doc_id", "field", "f.value", "f.value_ar", "f.status", "f.reason", *corners, "matched", "compared", "total", "model")
+    return rows.select(*keys, "field", "f.value", "f.value_ar", "f.status", "f.reason", *corners, "matched", "compared", "total", "model")
+
+
+@query
+def stream_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' files as a stream of documents, each micro-batch extracted with its retries and written; what the written JSON says, counted."""
+    source = table(spark, sf_dir, "customer")
+    files = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/customer.parquet*")
+    out = writers.passing(spark, "stream")
+    script = lambda batch: _scripted(card_pairs_of(batch))
+    engine = lambda docs: script(docs.select(*source.columns))[1]
+    docs = lambda batch: batch.join(script(batch)[0], F.col("c_custkey") == F.col("doc_id"))
+    watch.extract_each(files, engine, f"{out}/rows", f"{out}/state", Settings(), fixtures.AS_OF, None, docs).awaitTermination()
+    written = spark.read.schema("value string").option("pathGlobFilter", "part-*").text(f"{out}/rows").select(F.col("value").alias("json"))
+    return _response_rows(written).groupBy("field", "status", "reason").agg(F.count(F.lit(1)).alias("n"), F.count("x1").alias("boxes"), F.sum(F.coalesce(F.char_length("value"), F.lit(0))).alias("chars"), F.sum("matched").alias("matched"), F.sum("compared").alias("compared"))
+
+
+@query
+def observed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the job that writes the responses counts of them on the way."""
+    counts = writers.write_responses(_responses(spark, sf_dir), writers.passing(spark, "responses"), "overwrite")
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts)).drop("elapsed_ms")
+
+
+@query
+def batched_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of very different lengths as prompts of a model that is called with bounded batches."""
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.lit("T").alias("reading"), F.lit(1).alias("attempt"), F.coalesce("text", F.lit("")).alias("prompt"))
+    engine = inference.BatchEngine(lambda: lambda batch, cap: [f"{len(p)}:{p[:cap]}" for p, _ in batch], "first letters", devices.Device("cpu"), most_new_tokens=12)
+    return engine.generate(asked).select("doc_id", "reading", "text")
+
+
+@query
+def grid_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes that a model works on, by its grid of patches: of documents' images, some without a size, some too long."""
+    w, h = F.col("w") * (1 + 30 * (F.col("doc_id") % 5 == 1).cast("int")), F.col("h") * (F.col("doc_id") % 7 != 0).cast("int")
+    sizes = derived(spark, sf_dir, fixtures.SIZES, "documents").select("doc_id", w.alias("w"), h.alias("h"))
+    grid = g.Grid()
+    across, down = grid.cells(F.col("w"), F.col("h"))
+    pw, ph = grid.processed(F.col("w"), F.col("h"))
+    return sizes.select("doc_id", across.alias("across"), down.alias("down"), pw.alias("pw"), ph.alias("ph"))
 
 
 @query
@@ -372,7 +420,7 @@ def odd_card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def manifest_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The synthetic cards written as a manifest, one JSON object, and read back as truth by field."""
-    out = f"{writers.scratch(spark)}/manifest-{uuid.uuid4().hex}"
+    out = writers.passing(spark, "manifest")
     writers.write_manifest(readers.synthetic_cards(spark), out)
     truth = readers.manifest_truth(readers.read_manifest(spark, out))
     return truth.select("image", "field", "want", "want_ar", "true_box.*")

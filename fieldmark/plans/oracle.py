@@ -205,6 +205,12 @@ ORACLE = {
     "SELECT doc_id, 'sex' AS field, x1, 1 AS y1, x2, 1 AS y2 FROM w WHERE x1 IS NOT NULL AND x2 IS NOT NULL UNION ALL SELECT doc_id, 'full_name', 1, 2, 3, 4 FROM w WHERE doc_id % 4 = 2",
     "odd_card_numbers": "SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 2 THEN '1e400' WHEN 3 THEN CAST(c_custkey AS VARCHAR) END AS full_name, CASE WHEN c_custkey % 4 > 1 THEN CAST(c_custkey AS VARCHAR) END AS id_number, c_custkey % 4 < 2 AS failed FROM customer",
     "manifest_truth": _manifest(),
+    "observed_metrics": f"SELECT count(DISTINCT doc_id) AS rows, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'missing') AS missing, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(compared) AS BIGINT) AS compared FROM ({MERGED} SELECT * FROM m) m",
+    "batched_replies": "SELECT doc_id, 'T' AS reading, CAST(length(coalesce(text, '')) AS VARCHAR) || ':' || left(coalesce(text, ''), 12) AS text FROM documents",
+    "grid_sizes": f"WITH z AS ({f.SIZES}), y AS (SELECT doc_id, w * CASE WHEN doc_id % 5 = 1 THEN 31 ELSE 1 END AS w, h * CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END AS h FROM z), "
+    "x AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN greatest(w, h) <= 200 * least(w, h) ELSE false END AS fits, greatest(28, round_even(w / 28.0::DOUBLE, 0) * 28) AS nw, greatest(28, round_even(h / 28.0::DOUBLE, 0) * 28) AS nh, sqrt(w * h / 1003520.0::DOUBLE) AS small, CASE WHEN w * h > 0 THEN sqrt(200704.0::DOUBLE / (w * h)) END AS large FROM y), "
+    "s AS (SELECT *, CASE WHEN NOT fits THEN NULL WHEN nw * nh > 1003520 THEN greatest(28, floor(w / small / 28) * 28) WHEN nw * nh < 200704 THEN ceil(w * large / 28) * 28 ELSE nw END AS sw, CASE WHEN NOT fits THEN NULL WHEN nw * nh > 1003520 THEN greatest(28, floor(h / small / 28) * 28) WHEN nw * nh < 200704 THEN ceil(h * large / 28) * 28 ELSE nh END AS sh FROM x) "
+    "SELECT doc_id, CAST(sw / 14 AS INT) AS across, CAST(sh / 14 AS INT) AS down, CAST(coalesce(sw, w) AS INT) AS pw, CAST(coalesce(sh, h) AS INT) AS ph FROM s",
     "log_lines": f"{MERGED} SELECT doc_id, 'extract elapsed_ms=' || CAST(doc_id * 37 % 9000 AS STRING) || ' agreement=' || CAST(CAST(sum(matched) AS INT) AS STRING) || '/6 ok=' || CAST(count(*) FILTER (status = 'ok') AS STRING) || ' review=' || CAST(count(*) FILTER (status = 'review') AS STRING) || ' missing=' || CAST(count(*) FILTER (status = 'missing') AS STRING) AS line FROM m GROUP BY doc_id",
     "score_summary": f"{SCORED}, se AS ({SILENT}), {PAIRS.removeprefix('WITH ')}, bx AS (SELECT {HITS.format(total='boxes', expected='boxes_expected')}), {LATENCY}, t2 AS (SELECT {MEDIAN}) SELECT (SELECT count(*) FROM se) AS n_silent, count(*) AS total, (SELECT count(*) FROM se) * 100.0::DOUBLE / count(*) AS percent, any_value(b2.hits) AS hits, any_value(b2.boxes) AS boxes, any_value(b2.boxes_expected) AS boxes_expected, any_value(b2.coverage) AS coverage, any_value(b2.hit_rate) AS hit_rate, any_value(t2.median_ms) AS median_ms, any_value(t2.max_ms) AS max_ms, true AS comparable FROM c, bx b2, t2",
     "missing_truth": "SELECT c_custkey AS doc_id FROM customer WHERE c_custkey % 10 = 3",
@@ -213,3 +219,4 @@ ORACLE = {
     "display_labels": "WITH c AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey * 7 % 100 <> 50 THEN c_custkey * 7 % 5000 END AS ms, CASE WHEN c_custkey % 10 <> 0 THEN c_custkey % 101 END AS sure FROM customer) SELECT id, CASE WHEN ms IS NOT NULL THEN printf('%.1fs', ms / 1000.0::DOUBLE) END AS seconds, name AS model, CASE id % 3 WHEN 0 THEN 'http://a' || CAST(id AS STRING) WHEN 1 THEN 'http://b' ELSE '' END AS address, CASE id % 3 WHEN 0 THEN '#00B3A4' WHEN 1 THEN '#E0952C' ELSE '#D2544B' END AS status_colour, CASE WHEN sure >= 85 THEN '#00B3A4' WHEN sure >= 65 THEN '#E0952C' ELSE '#D2544B' END AS confidence_colour FROM c",
     "display_classes": f"{MERGED} SELECT doc_id, field, CASE field WHEN 'full_name' THEN 'Name' WHEN 'id_number' THEN 'ID number' WHEN 'date_of_birth' THEN 'Date of birth' WHEN 'expiry_date' THEN 'Expiry' WHEN 'nationality' THEN 'Nationality' ELSE 'Sex' END AS label, CASE status WHEN 'ok' THEN 'ok' WHEN 'review' THEN 'mid' ELSE 'low' END AS class FROM m",
 }
+ORACLE["stream_extraction"] = f"SELECT field, status, reason, count(*) AS n, count(x1) AS boxes, CAST(sum(coalesce(length(value), 0)) AS BIGINT) AS chars, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(compared) AS BIGINT) AS compared FROM ({ORACLE['response_fields']}) r GROUP BY field, status, reason"

@@ -28,7 +28,13 @@ def truth_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def card_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, a_<key>, b_<key>, b_present: both readings of a document beside each other, from one row, without a join."""
-    first = derived(spark, sf_dir, fixtures.FIRST, t=truth_cards(spark, sf_dir))
+    return card_pairs_of(table(spark, sf_dir, "customer"))
+
+
+def card_pairs_of(customer: DataFrame) -> DataFrame:
+    """card_pairs of given customers."""
+    spark, sf_dir = customer.sparkSession, ""
+    first = derived(spark, sf_dir, fixtures.FIRST, t=derived(spark, sf_dir, fixtures.TRUTH, customer=customer))
     kept = ", ".join(f"{k} AS a_{k}" for k in CARD_KEYS)
     all_rows = fixtures.SECOND.replace(" WHERE doc_id % 73 <> 5", "").replace("SELECT doc_id,", f"SELECT doc_id, {kept},")
     second = derived(spark, sf_dir, all_rows, a=first)

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmark.operators.metrics import observed
 from fieldmark.settings import Settings
 
 _stand_in: list[str] = []
@@ -30,10 +31,23 @@ def scratch(spark: SparkSession) -> str:
     return _stand_in[0]
 
 
+def passing(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for what the session needs no longer than it lasts: deleted when its application ends.
+
+    A frame may be read for as long as its session lives, so nothing shorter is safe; ``Stored`` deletes where an owner knows.
+    """
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(at)  # what isn't there can't be marked
+    system.deleteOnExit(at)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read back: computed once, also if executors are lost."""
-    path = f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """df as a table in the shared folder, read back: computed once, also if executors are lost. It goes with the session."""
+    path = passing(df.sparkSession, "stored")
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,8 +81,11 @@ def response_json(responses: DataFrame) -> DataFrame:
     return responses.select("doc_id", F.to_json(row, KEEP_NULLS).alias("json"))
 
 
-def write_responses(responses: DataFrame, path: str) -> None:
-    response_json(responses).select("json").withColumnRenamed("json", "value").write.text(path)
+def write_responses(responses: DataFrame, path: str, mode: str = "errorifexists") -> dict[str, int]:
+    """Write the responses as JSON, a line each; what may be logged of them is counted by the same job and returned."""
+    counted, seen = observed(responses)
+    response_json(counted).select(F.col("json").alias("value")).write.mode(mode).text(path)
+    return seen.get
 
 
 def manifest_json(manifest: DataFrame, indent: int = 2) -> DataFrame:
