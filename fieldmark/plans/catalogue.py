@@ -10,9 +10,9 @@ from fieldmark.functions import geometry as g
 from fieldmark.operators import boxes, devices, extract, imaging, inference, merge, metrics, parsing, scoring, textfields
 from fieldmark.plans import fixtures
 from fieldmark.plans.oracle import ORACLE
-from fieldmark.schemas import ARABIC, FIELDS
+from fieldmark.schemas import ARABIC, CARD_KEYS, FIELDS
 from fieldmark.settings import Settings
-from fieldmark.sources import readers, writers
+from fieldmark.sources import cards, readers, writers
 from fieldmark.sources.tables import card_pairs, card_pairs_of, card_structs, derived, table, truth_cards
 from fieldmark.streaming import watch
 
@@ -417,15 +417,51 @@ def odd_card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "card.full_name", "card.id_number", F.col("error").isNotNull().alias("failed"))
 
 
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' cards as images: image (a name), content, fields and boxes."""
+    truth = truth_cards(spark, sf_dir)
+    fields = F.create_map(*[x for k in CARD_KEYS for x in (F.lit(k), F.col(k))])
+    return cards.draw_cards(truth).select("doc_id", F.concat(F.lit("card_"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image"), fields.alias("fields"), "boxes", "content")
+
+
 @query
 def manifest_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The synthetic cards written as a manifest, one JSON object, and read back as truth by field."""
+    """Customers' cards and the boxes of their values written as a manifest, and read back as truth by field."""
     out = writers.passing(spark, "manifest")
-    writers.write_manifest(readers.synthetic_cards(spark), out)
-    truth = readers.manifest_truth(readers.read_manifest(spark, out))
+    writers.write_manifest_lines(_drawn(spark, sf_dir), f"{out}/lines")
+    truth = readers.manifest_truth(readers.read_manifest(spark, f"{out}/lines", lines=True))
     return truth.select("image", "field", "want", "want_ar", "true_box.*")
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of customers' cards as image files, each seventeenth cut off, and their manifest."""
+    out = writers.passing(spark, "cards")
+    drawn = writers.stored(_drawn(spark, sf_dir))
+    cut = F.when(F.col("doc_id") % 17 == 3, F.substring("content", 1, 20)).otherwise(F.col("content"))
+    writers.write_files(drawn.select(F.col("image").alias("name"), cut.alias("content")), f"{out}/images")
+    writers.write_manifest_lines(drawn, f"{out}/manifest")
+    return out
+
+
+@query
+def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files that a manifest names, each of which must be there: their sizes, whether they can be read, and how many fields' pixels lie where the manifest says."""
+    out = _landed(spark, sf_dir)
+    manifest = readers.read_manifest(spark, f"{out}/manifest", lines=True)
+    scanned = readers.manifest_images(manifest.select("image"), readers.read_written_images(spark, f"{out}/images")).withColumnRenamed("image", "name")
+    seen = cards.found_boxes(scanned, image="pixels").select("name", F.col("pixels.width").alias("width"), F.col("pixels.height").alias("height"), "found")
+    # a map has no equality, its entries in the order of their keys have
+    same = lambda a, b: F.size(F.array_intersect(F.map_entries(a), F.map_entries(b)))
+    met = seen.join(manifest, seen.name == manifest.image)
+    return met.select("image", "width", "height", (F.col("width") > 0).alias("readable"), F.when(F.col("width") > 0, same(F.col("found"), F.col("boxes"))).alias("exact_boxes"), F.size("boxes").alias("stated_boxes"))
+
+
+@query
+def image_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image files that can't be decoded."""
+    return readers.rejects(readers.read_written_images(spark, f"{_landed(spark, sf_dir)}/images"))
+
+
 @query
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = merge.status_counts(_merged(spark, sf_dir).withColumn("elapsed_ms", (F.col("doc_id") * 37 % 9000).cast("int")), "doc_id", "elapsed_ms", "agreement")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from fieldmark.functions import rules as r
 from fieldmark.plans import fixtures as f
 from fieldmark.schemas import ARABIC, FIELDS, NATIONALITIES
-from fieldmark.sources.readers import RECORDS
+from fieldmark.sources import cards
 
 CARDS = f"WITH {f.CARDS}"
 DAY = f"DATE '{f.AS_OF}'"
@@ -147,14 +147,12 @@ FOUND = (
 
 
 def _manifest() -> str:
-    """The truth of the synthetic cards, from their records."""
-    rows = []
-    for n, (name, name_ar, number, born, ends, nation, nation_ar, sex, sex_ar) in enumerate(RECORDS, 1):
-        values = {"full_name": (name, name_ar), "id_number": (number, None), "date_of_birth": (born, None), "expiry_date": (ends, None), "nationality": (nation, nation_ar), "sex": (sex, sex_ar)}
-        for k, field in enumerate(FIELDS):
-            want, arabic = values[field]
-            rows.append(f"('synthetic_{n:02d}.jpg', '{field}', '{want}', {f"'{arabic}'" if arabic else 'NULL'}, {k})")
-    return f"SELECT image, field, want, want_ar, 296 AS x1, CAST(108 + 78 * k AS INT) AS y1, CAST(304 + 16 * length(want) AS INT) AS x2, CAST(142 + 78 * k AS INT) AS y2 FROM (VALUES {', '.join(rows)}) q(image, field, want, want_ar, k)"
+    """The fields of customers' cards with the boxes that the table of widths gives their values."""
+    wide = f"list_sum(list_transform(string_split(want, ''), lambda c: CASE WHEN contains('{cards.NARROW.replace(chr(39), chr(39) * 2)}', c) THEN {cards.NARROW_WIDTH} WHEN contains('{cards.WIDE}', c) THEN {cards.WIDE_WIDTH} ELSE {cards.PLAIN_WIDTH} END + {cards.GAP})) - {cards.GAP}"
+    at, m = cards.Layout(), cards.MARGIN
+    each = " UNION ALL ".join(f"SELECT doc_id, '{field}' AS field, {field} AS want, {f'{field}_ar' if field in ARABIC else 'NULL'} AS want_ar, {at.rows()[field]} AS y FROM t" for field in FIELDS)
+    return f"""WITH t AS ({f.TRUTH}), e AS ({each}) SELECT 'card_' || CAST(doc_id AS STRING) || '.png' AS image, field, want, want_ar,
+{at.left - m} AS x1, y - {m} AS y1, CAST(least({at.left} + {wide}, {at.width}) + {m} AS INT) AS x2, y + {at.glyph + m} AS y2 FROM e"""
 
 
 ORACLE = {
@@ -205,6 +203,8 @@ ORACLE = {
     "SELECT doc_id, 'sex' AS field, x1, 1 AS y1, x2, 1 AS y2 FROM w WHERE x1 IS NOT NULL AND x2 IS NOT NULL UNION ALL SELECT doc_id, 'full_name', 1, 2, 3, 4 FROM w WHERE doc_id % 4 = 2",
     "odd_card_numbers": "SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 2 THEN '1e400' WHEN 3 THEN CAST(c_custkey AS VARCHAR) END AS full_name, CASE WHEN c_custkey % 4 > 1 THEN CAST(c_custkey AS VARCHAR) END AS id_number, c_custkey % 4 < 2 AS failed FROM customer",
     "manifest_truth": _manifest(),
+    "image_scan": "SELECT 'card_' || CAST(c_custkey AS STRING) || '.png' AS image, CASE WHEN c_custkey % 17 = 3 THEN -1 ELSE 640 END AS width, CASE WHEN c_custkey % 17 = 3 THEN -1 ELSE 330 END AS height, c_custkey % 17 <> 3 AS readable, CASE WHEN c_custkey % 17 <> 3 THEN 6 END AS exact_boxes, 6 AS stated_boxes FROM customer",
+    "image_rejects": "SELECT 'card_' || CAST(c_custkey AS STRING) || '.png' AS name, 'not an image that can be read' AS error FROM customer WHERE c_custkey % 17 = 3",
     "observed_metrics": f"SELECT count(DISTINCT doc_id) AS rows, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'missing') AS missing, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(compared) AS BIGINT) AS compared FROM ({MERGED} SELECT * FROM m) m",
     "batched_replies": "SELECT doc_id, 'T' AS reading, CAST(length(coalesce(text, '')) AS VARCHAR) || ':' || left(coalesce(text, ''), 12) AS text FROM documents",
     "grid_sizes": f"WITH z AS ({f.SIZES}), y AS (SELECT doc_id, w * CASE WHEN doc_id % 5 = 1 THEN 31 ELSE 1 END AS w, h * CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END AS h FROM z), "

@@ -18,6 +18,12 @@ def read_images(spark: SparkSession, path: str, glob: str = IMAGE_GLOB) -> DataF
     return images.select(F.substring_index("image.origin", "/", -1).alias("name"), "image")
 
 
+def read_written_images(spark: SparkSession, path: str) -> DataFrame:
+    """name, image of the files that writers.write_files wrote; if all names are numbers, they lose leading zeros."""
+    folders = spark.read.format("image").option("pathGlobFilter", "part-*").load(path)
+    return folders.select(F.col("name").cast("string").alias("name"), "image")
+
+
 def readable(images: DataFrame) -> DataFrame:
     return images.where("image.width > 0")
 
@@ -33,8 +39,13 @@ def require_content(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.when(F.col(column).isNull(), lost.cast("boolean")).otherwise(True))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """image, fields, boxes from JSON objects of images, in UTF-8: one over any number of lines, or several below each other."""
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """image, fields, boxes from JSON objects of images, in UTF-8: one over any number of lines, or several below each other.
+
+    lines: each object is a line, so that a file of any size is read in parts.
+    """
+    if lines:
+        return spark.read.text(path).select(F.explode(F.from_json("value", MANIFEST)).alias("image", "t")).select("image", "t.fields", "t.boxes")
     text = spark.read.text(path, wholetext=True)
     # inside an object, a comma stands between "}" and "{"
     objects = text.select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))

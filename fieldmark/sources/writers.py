@@ -106,6 +106,25 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest_json(manifest).coalesce(1).select(F.col("json").alias("value")).write.text(path)
 
 
+def write_manifest_lines(manifest: DataFrame, path: str) -> None:
+    """The manifest as JSON objects of one image each, a line each, written by as many tasks as it has partitions."""
+    one = F.map_from_arrays(F.array("image"), F.array(F.struct("fields", "boxes")))
+    manifest.select(F.to_json(one).alias("value")).write.text(path)
+
+
+def write_files(files: DataFrame, path: str, tasks: int | None = None) -> None:
+    """name, content: each row as a file part-* in the folder name=<name>, through Spark's committer, so that a task that
+    runs again or a job that fails leaves no half of a file.
+
+    A byte 10 stands behind each content, which readers of images pass over. Rows of one name are several files; a row
+    without content is an empty file. Rows are dealt to so many tasks, as many as the session shuffles to by default,
+    as a file costs more than its bytes say.
+    """
+    tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = files.select("name", F.coalesce("content", F.lit(b"")).cast("string").alias("value"))
+    text.repartition(tasks, "name").write.partitionBy("name").text(path)
+
+
 def write_debug_images(images: DataFrame, path: str, settings: Settings) -> None:
     """Images of cards are never kept by default, and there is no encoder here: this refuses, whatever the settings."""
     if not settings.debug_save_images:
