@@ -25,28 +25,52 @@ LABELS = (
     ("Reference", rf"{_B}(?:invoice|ref|reference)(?:\s*(?:(?:no|number){_E}|#(?=[A-Za-z0-9_]))|{_E})\s*[:.\-]\s*([A-Z0-9\-\/]{{3,}})"),
     ("Total", rf"{_B}(?:total|amount\s*due){_E}\s*[:.\-]?\s*([A-Z]{{0,3}}\s?[\d,.]+)"),
 )
-#: One of these, in lower case, is in every line that a label's pattern fits.
-LABEL_WORDS = ("name", "id", "civil", "national", "passport", "birth", "dob", "expir", "valid", "citizenship", "sex", "gender", "invoice", "ref", "total", "amount")
-DATE = rf"{_B}\d{{1,2}}[/\-.]\d{{1,2}}[/\-.]\d{{2,4}}{_E}"
-LONG_NUMBER = rf"{_B}\d{{7,14}}{_E}"
+#: One of a label's words, in lower case, is in every line that its pattern fits.
+WORDS_OF = {
+    "Name": ("name",), "ID number": ("id", "civil", "national"), "Passport no": ("passport",), "Date of birth": ("birth", "dob"), "Expiry date": ("expir", "valid"),
+    "Nationality": ("nationality", "citizenship"), "Sex": ("sex", "gender"), "Reference": ("invoice", "ref"), "Total": ("total", "amount"),
+}
+LABEL_WORDS = tuple(w for words in WORDS_OF.values() for w in words)
+DATE = rf"(?=\d){_B}\d{{1,2}}[/\-.]\d{{1,2}}[/\-.]\d{{2,4}}{_E}"
+LONG_NUMBER = rf"(?=\d){_B}\d{{7,14}}{_E}"
 MACHINE_LINE = r"[A-Z0-9<]{25,}"
 CAPITALS = r"\A[A-Z][A-Z\s'\-]{7,}\z"
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]{2,}"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, _TRIM, "")
+    """Without white space at both ends; the pattern runs only where an end isn't a visible ASCII character."""
+    visible = lambda x: F.ascii(x).between(33, 126)
+    return F.when(visible(c) & visible(F.right(c, F.lit(1))), c).otherwise(F.regexp_replace(c, _TRIM, ""))
+
+
+def raw_lines(text: Column) -> Column:
+    return F.split(text, r"\r?\n")
 
 
 def lines_of(text: Column) -> Column:
     """Trimmed lines that aren't empty."""
-    return F.filter(F.transform(F.split(text, r"\r?\n"), trimmed), lambda x: x != "")
+    return F.filter(F.transform(raw_lines(text), trimmed), lambda x: x != "")
+
+
+def _has(low: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
+def _labelled(text: Column, words: tuple[str, ...]) -> Column:
+    """(line, text, low: in lower case) of the lines, trimmed, that have one of the words."""
+    row = lambda line, i: bind(F.lower(line), lambda low: F.when(_has(low, words), F.struct(i.alias("line"), trimmed(line).alias("text"), low.alias("low"))))
+    return F.array_compact(F.transform(raw_lines(text), row))
+
 
+def _value(row: Column, label: str) -> Column:
+    """The value that a labelled line has of a label; empty or null where it has none. The pattern runs over lines with its words only."""
+    return F.when(_has(row["low"], WORDS_OF[label]), trimmed(F.regexp_extract(row["text"], f"(?i){dict(LABELS)[label]}", 1)))
 
-def first_label(lines: Column, pattern: str) -> Column:
-    """The first line's value that isn't empty, or null."""
-    value = lambda line: trimmed(F.regexp_extract(line, f"(?i){pattern}", 1))
-    return F.get(F.filter(F.transform(lines, value), lambda x: x != ""), F.lit(0))
+
+def first_label(text: Column, label: str) -> Column:
+    """The value of a label's first line that has one, or null."""
+    return F.get(F.filter(F.transform(_labelled(text, WORDS_OF[label]), lambda x: _value(x, label)), lambda x: x != ""), F.lit(0))
 
 
 def first_of(text: Column, pattern: str) -> Column:
@@ -58,11 +82,8 @@ def dates_of(text: Column) -> Column:
 
 
 def capitals_line(lines: Column) -> Column:
-    return F.get(F.filter(lines, lambda x: x.rlike(CAPITALS)), F.lit(0))
-
-
-def _may_be_labelled(line: Column) -> Column:
-    return bind(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in LABEL_WORDS]))
+    """The first line of capitals; most lines begin with none or have small letters, and don't meet the pattern."""
+    return F.get(F.filter(lines, lambda x: F.ascii(x).between(65, 90) & (F.upper(x) == x) & x.rlike(CAPITALS)), F.lit(0))
 
 
 def extract_text_fields(df: DataFrame, text: str = "text", fallbacks: bool = True) -> DataFrame:
@@ -71,25 +92,23 @@ def extract_text_fields(df: DataFrame, text: str = "text", fallbacks: bool = Tru
     The first value of a key counts, so each key is sought once and ranked by its first line; nothing is shuffled. The
     labels' patterns run over the few lines that have a label's word.
     """
-    df = df.withColumn("_lines", lines_of(F.col(text)))
-    said, lines = F.col(text), F.col("_lines")
-    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("line"), line.alias("text")))
-    df = df.withColumn("_labelled", F.filter(numbered, lambda x: _may_be_labelled(x["text"])))
+    said = F.col(text)
+    df = df.withColumn("_labelled", _labelled(said, LABEL_WORDS))
     # (line, label) of the first value of each key, to bring keys into the order of the text
-    def labelled(k: int, pattern: str) -> Column:
-        hits = F.transform("_labelled", lambda x: F.struct(x["line"].alias("line"), F.lit(k).alias("label"), trimmed(F.regexp_extract(x["text"], f"(?i){pattern}", 1)).alias("value")))
+    def labelled(k: int, label: str) -> Column:
+        hits = F.transform("_labelled", lambda x: F.struct(x["line"].alias("line"), F.lit(k).alias("label"), _value(x, label).alias("value")))
         return F.get(F.filter(hits, lambda h: h["value"] != ""), F.lit(0))
 
-    found = F.array_sort(F.array_compact(F.array(*[labelled(k, p) for k, (_, p) in enumerate(LABELS)])))
+    found = F.array_sort(F.array_compact(F.array(*[labelled(k, label) for k, (label, _) in enumerate(LABELS)])))
     names = F.array(*[F.lit(n) for n, _ in LABELS])
     by_label = F.transform(found, lambda h: F.struct(names[h["label"]].alias("key"), h["value"].alias("value")))
     if not fallbacks:
-        return df.withColumn("found", by_label).drop("_lines", "_labelled")
+        return df.withColumn("found", by_label).drop("_labelled")
     dates = F.col("_dates")
     df = df.withColumn("_dates", dates_of(said))
-    rest = [("Date found", F.get(dates, F.lit(0))), ("Date found (2)", F.get(dates, F.lit(1))), ("Number", first_of(said, LONG_NUMBER)), ("Machine-readable line", first_of(said, MACHINE_LINE)), ("Name (uncertain)", capitals_line(lines)), ("Email", first_of(F.when(said.contains("@"), said), EMAIL))]
+    rest = [("Date found", F.get(dates, F.lit(0))), ("Date found (2)", F.get(dates, F.lit(1))), ("Number", first_of(said, LONG_NUMBER)), ("Machine-readable line", first_of(said, MACHINE_LINE)), ("Name (uncertain)", capitals_line(lines_of(said))), ("Email", first_of(F.when(said.contains("@"), said), EMAIL))]
     given = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in rest])
-    return df.withColumn("found", F.concat(by_label, F.filter(given, lambda f: f["value"].isNotNull()))).drop("_lines", "_labelled", "_dates")
+    return df.withColumn("found", F.concat(by_label, F.filter(given, lambda f: f["value"].isNotNull()))).drop("_labelled", "_dates")
 
 
 def label_rows(found: DataFrame, *keys: str) -> DataFrame:
@@ -110,14 +129,24 @@ def word_token(word: Column) -> Column:
     return F.regexp_replace(F.upper(word), r"[^\w<@.\-/]", "")
 
 
+#: Stands between words that are cleaned together.
+_BETWEEN = "\x00"
+
+
+def word_tokens(words: Column) -> Column:
+    """word_token of each of an array's texts, by one pass over all of them; one by one where they hold the mark between words or nulls."""
+    at_once = F.split(F.regexp_replace(F.upper(F.array_join(words["text"], _BETWEEN)), rf"[^\w<@.\-/{_BETWEEN}]", ""), _BETWEEN)
+    return bind(at_once, lambda t: F.when(F.size(t) == F.size(words), t).otherwise(F.transform(words["text"], word_token)))
+
+
 def _mean(words: Column) -> Column:
     return F.try_divide(F.aggregate(words, F.lit(0.0), lambda s, w: s + w["confidence"]), F.size(words))
 
 
 def value_confidence(value: Column, words: Column) -> Column:
     """The mean confidence of the words (array of text, confidence) that occur in the value; null without any."""
-    hits = lambda tokens: F.filter(words, lambda w: F.array_contains(tokens, word_token(w["text"])))
-    return bind(value_tokens(value), lambda tokens: bind(hits(tokens), _mean))
+    hits = lambda tokens, mine: F.filter(words, lambda w, i: F.array_contains(tokens, F.get(mine, i)))
+    return F.when(value.isNotNull(), bind(value_tokens(value), lambda tokens: bind(word_tokens(words), lambda mine: bind(hits(tokens, mine), _mean))))
 
 
 def mean_confidence(words: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.functions import display, rules, text
+from fieldmark.functions import arabic, display, rules, text
 from fieldmark.functions import geometry as g
 from fieldmark.operators import boxes, devices, extract, imaging, inference, merge, metrics, parsing, scoring, textfields
 from fieldmark.plans import fixtures
@@ -192,7 +192,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _words(spark, sf_dir).withColumn("value", textfields.first_label(textfields.lines_of(F.col("text")), textfields.LABELS[0][1]))
+    named = _words(spark, sf_dir).withColumn("value", textfields.first_label(F.col("text"), "Name"))
     return named.select("doc_id", "value", F.round(textfields.value_confidence(F.col("value"), F.col("words")), 6).alias("confidence"))
 
 
@@ -462,6 +462,13 @@ def image_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.rejects(readers.read_written_images(spark, f"{_landed(spark, sf_dir)}/images"))
 
 
+@query
+def arabic_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Arabic values of customers' cards as a renderer without joining and directions needs them."""
+    truth = truth_cards(spark, sf_dir)
+    return truth.select("doc_id", *[arabic.shaped(F.col(f"{f}_ar")).alias(f) for f in ARABIC])
+
+
 @query
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = merge.status_counts(_merged(spark, sf_dir).withColumn("elapsed_ms", (F.col("doc_id") * 37 % 9000).cast("int")), "doc_id", "elapsed_ms", "agreement")

@@ -220,3 +220,10 @@ ORACLE = {
     "display_classes": f"{MERGED} SELECT doc_id, field, CASE field WHEN 'full_name' THEN 'Name' WHEN 'id_number' THEN 'ID number' WHEN 'date_of_birth' THEN 'Date of birth' WHEN 'expiry_date' THEN 'Expiry' WHEN 'nationality' THEN 'Nationality' ELSE 'Sex' END AS label, CASE status WHEN 'ok' THEN 'ok' WHEN 'review' THEN 'mid' ELSE 'low' END AS class FROM m",
 }
 ORACLE["stream_extraction"] = f"SELECT field, status, reason, count(*) AS n, count(x1) AS boxes, CAST(sum(coalesce(length(value), 0)) AS BIGINT) AS chars, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(compared) AS BIGINT) AS compared FROM ({ORACLE['response_fields']}) r GROUP BY field, status, reason"
+# Arabic values of the fixture, and the presentation forms that are seen of them from left to right.
+SHAPES = {
+    "جون سميث": "FE9A FEF4 FEE4 FEB3 0020 FEE5 FEEE FE9F", "أحمد سعيد": "FEAA FEF4 FECC FEB3 0020 FEAA FEE4 FEA3 FE83", "فاطمة علي": "FEF2 FEE0 FECB 0020 FE94 FEE4 FEC3 FE8E FED3",
+    "عماني": "FEF2 FEE7 FE8E FEE4 FECB", "هندي": "FEF1 FEAA FEE8 FEEB", "ذكر": "FEAE FEDB FEAB", "أنثى": "FEF0 FE9C FEE7 FE83",
+}
+_SEEN = ", ".join(f"('{word}', '{''.join(chr(int(c, 16)) for c in codes.split())}')" for word, codes in SHAPES.items())
+ORACLE["arabic_shapes"] = f"WITH t AS ({f.TRUTH}), s(word, seen) AS (VALUES {_SEEN}) SELECT doc_id, a.seen AS full_name, b.seen AS nationality, c.seen AS sex FROM t JOIN s a ON a.word = full_name_ar JOIN s b ON b.word = nationality_ar JOIN s c ON c.word = sex_ar"
