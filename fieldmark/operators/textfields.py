@@ -41,7 +41,7 @@ EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]{2,}"
 def trimmed(c: Column) -> Column:
     """Without white space at both ends; the pattern runs only where an end isn't a visible ASCII character."""
     visible = lambda x: F.ascii(x).between(33, 126)
-    return F.when(visible(c) & visible(F.right(c, F.lit(1))), c).otherwise(F.regexp_replace(c, _TRIM, ""))
+    return bind(c, lambda x: F.when(visible(x) & visible(F.right(x, F.lit(1))), x).otherwise(F.regexp_replace(x, _TRIM, "")))
 
 
 def raw_lines(text: Column) -> Column:
