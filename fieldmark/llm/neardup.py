@@ -359,7 +359,12 @@ def _labels(docs: DataFrame, all_docs: DataFrame, several: DataFrame, words: int
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of its group) and kept (it is that document) of every row."""
+    """doc_id, n_shingles, component_id (smallest doc_id of its group) and kept (it is that document) of every row.
+
+    percent: from 80 on, as bands and samples are made for that; a lower one would lose links, so it is refused.
+    """
+    if not 80 <= percent <= 100 or words < 1:
+        raise ValueError("links are found from 80 to 100 percent, of shingles of a word or more")
     docs = docs.select("doc_id", "text")
     all_docs = materialize(sketches(docs, words), "sketches")
     known = all_docs.where("class IS NOT NULL AND doc_id IS NOT NULL")

@@ -9,7 +9,9 @@ lost executors; ``export_archives`` puts them as .warc.zst files into a mounted
 
 Of records with equal payloads of ``REVISIT_BYTES`` or more, that with the largest page id is the response and the
 others revisit it. Defined cases: null html is an empty payload, a null url an empty target; repeated rows with the
-largest page id are all responses; a null page id never is the largest unless all are null; an empty table gives none.
+largest page id are all responses; a null page id never is the largest unless all are null; very large pages are archived
+whole, each in one record, and give the dictionary a piece; further columns are ignored, whatever their names; an empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -105,15 +107,23 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
 
 
 def sample_records(pages: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[bytes]:
-    """At most so many rows and bytes, the first by a hash of the page id; larger pages than 1/256 of the bytes aren't used."""
+    """Records of at most so many pages, the first by a hash of the page id, and of at most about so many bytes in all.
+
+    Of a page beyond its share of the bytes a piece of that length is taken: where it begins, as all records begin without
+    a history, for one page in two, and somewhere within it for the others. Nothing else of the archive is cut.
+    """
+    share = most_bytes // rows
     html = F.coalesce("html", F.lit(""))
-    picked = pages.where(F.octet_length(html) <= most_bytes // 256).select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
-    # so at most rows / 256 times most_bytes are fetched
+    at = F.xxhash64("page_id", "url")
+    inside = 1 + F.pmod(at, F.greatest(F.lit(1), F.char_length(html) - share).cast("long")).cast("int")
+    # characters, of which some take several bytes: the sum below keeps to the bytes
+    piece = F.when(F.octet_length(html) <= share, html).otherwise(F.substring(html, F.when(at % 2 == 0, 1).otherwise(inside), F.lit(share)))
+    picked = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), piece.alias("html"))
     got, total = [], 0
-    for page_id, url, body in first_by_hash(picked, rows, "page_id", "url", "html", of=pages.count()).collect():
+    for page_id, url, body in first_by_hash(picked, rows, "page_id", "url", "html").collect():
         record = make_record(page_id, url, body.encode())
         total += len(record)
-        if total > most_bytes:
+        if total > most_bytes and got:
             break
         got.append(record)
     return got
