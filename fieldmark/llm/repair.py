@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from fieldmark.llm.common import bind, materialize
+from fieldmark.llm.common import bind, drop_table, materialize
 
 SPACES = " \t\n\x0b\x0c\r"
 ENDS = (".", "!", "?")
@@ -336,7 +336,9 @@ def repair(df: DataFrame, machine: Machine | None = None, copies: str | None = N
     conv_id, turn, role, text and, if it is named, a column of copies: how often a row stands there; one without only names its conversation.
     """
     machine = machine or Machine()
-    parts = materialize(_parts(machine, materialize(_faults(df, copies), "faults")), "parts")
+    faults = materialize(_faults(df, copies), "faults")
+    parts = materialize(_parts(machine, faults), "parts")
+    drop_table(faults)
     lines = parts.where("seg IS NULL").select("conv_id", "part", "pos", "role", "text", "n", F.lit(None).cast(f"struct<{FOUND}>").alias("found"))
     heads = _findings(machine, parts).select("conv_id", F.lit(-1).alias("part"), F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n"), "found")
     both = heads.unionByName(lines).repartition("conv_id").sortWithinPartitions("conv_id", "part", "pos")
