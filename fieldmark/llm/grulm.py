@@ -10,7 +10,8 @@ Texts are encoded once, two bytes a token, and stored; training and scoring read
 
 Training is truncated backpropagation through windows of ``STEPS`` tokens in numpy, by Adagrad, with the state carried
 from window to window through whole documents. It covers every training row once, in rounds, each of twice as many
-tokens as the one before. In a round each replica goes on from the common weights over rows of its own; then the replicas' weights and Adagrad sums are averaged by their numbers
+tokens as the one before until a round has ``ROUND_TOKENS`` for each replica; further rounds are of that size. So a
+task, and what a lost executor repeats, is bounded by it at any size of the corpus. In a round each replica goes on from the common weights over rows of its own; then the replicas' weights and Adagrad sums are averaged by their numbers
 of tokens: blocks of them are shuffled and summed in streams, so neither the driver nor a task holds more than one
 replica. Replicas grow in number with the square root of the training tokens, and so do the tokens of each.
 
@@ -24,8 +25,9 @@ Rows whose crc32 of the id modulo 5 is 1 are held out; nothing is learned from t
 
 Defined cases: a null text is the empty text, one end; repeated rows count and are scored as often as they
 occur, and equal rows of one id follow one another in one replica; without training rows every count is 0, the base
-score of a token is log10(1), and the network stays as it starts; an empty table gives an empty result; further columns
-are ignored.
+score of a token is log10(1), and the network stays as it starts; a very long text is encoded in a batch of its own
+and trained and scored whole, window by window; a row without an id isn't held out; an empty table gives an empty
+result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,8 +52,8 @@ FREQUENT, HEAD, CLASSES, HIDDEN, SUFFIX = 60_000, 1024, 32, 16, 3
 #: Steps of a training window, most lanes, tokens of a scoring window, tokens and bytes of text that a task works on at once.
 STEPS, LANES, SCORE_TOKENS, CHUNK_TOKENS, CHUNK_BYTES = 32, 192, 16_000, 2_000_000, 8 << 20
 RATE, CLIP = 0.25, 1.0
-#: There are sqrt(tokens / REPLICA_TOKENS) replicas; the first round has about FIRST_TOKENS for each.
-REPLICA_TOKENS, FIRST_TOKENS = 750_000, 200_000
+#: There are sqrt(tokens / REPLICA_TOKENS) replicas; the first round has about FIRST_TOKENS for each, none about more than ROUND_TOKENS.
+REPLICA_TOKENS, FIRST_TOKENS, ROUND_TOKENS = 750_000, 200_000, 20_000_000
 COUNTER_WORDS, BLOCKS = 300_000, 32
 #: The end and FREQUENT words have the codes below this; from here on, codes are classes of other words.
 RARE = FREQUENT + 1
@@ -453,23 +455,35 @@ def score_tokens(p: Weights, v: Vocabulary, t: Tokens) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Rounds:
-    """How many replicas and rounds so many training tokens have."""
+    """How many replicas so many training tokens have, how many rounds of doubling size, and how many more of the last one's size."""
 
     replicas: int
     rounds: int
+    further: int = 0
 
     @classmethod
     def of(cls, tokens: int) -> Rounds:
         replicas = max(1, math.ceil(math.sqrt(tokens / REPLICA_TOKENS)))
-        return cls(replicas, max(1, math.ceil(math.log2(tokens / replicas / FIRST_TOKENS + 1))))
+        each = tokens / replicas
+        rounds = max(1, math.ceil(math.log2(each / FIRST_TOKENS + 1)))
+        if each * 2 ** (rounds - 1) <= ROUND_TOKENS * (2**rounds - 1):
+            return cls(replicas, rounds)
+        rounds = 1 + int(math.log2(ROUND_TOKENS / FIRST_TOKENS))
+        return cls(replicas, rounds, math.ceil(each / ROUND_TOKENS - (2**rounds - 1) / 2 ** (rounds - 1)))
+
+    @property
+    def last(self) -> int:
+        return self.rounds + self.further - 1
 
     def replica(self, key: Column) -> Column:
         return F.pmod(key, F.lit(self.replicas)).cast("int")
 
     def round(self, key: Column) -> Column:
-        """Shares of 1, 2, 4, ... of all rows."""
-        part = F.shiftrightunsigned(F.xxhash64(key), 11) / 2.0**53
-        return F.least(F.floor(F.log2(part * (2**self.rounds - 1) + 1)), F.lit(self.rounds - 1)).cast("int")
+        """Shares of 1, 2, 4, ... of all rows, then further ones as large as the last of these."""
+        doubling, most = 2**self.rounds - 1, 2 ** (self.rounds - 1)
+        at = F.shiftrightunsigned(F.xxhash64(key), 11) / 2.0**53 * (doubling + self.further * most)
+        number = F.when(at < doubling, F.floor(F.log2(at + 1))).otherwise(self.rounds + F.floor((at - doubling) / most))
+        return F.least(number, F.lit(self.last)).cast("int")
 
 
 def chunks_of(codes: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -507,7 +521,7 @@ def train(tokens: DataFrame, v: Vocabulary, plan: Rounds) -> Weights:
                 kept[b] = [kept[b][0] + n, kept[b][1] + part] if b in kept else [n, part]
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(kept), pa.int32()), "tokens": pa.array([x[0] for x in kept.values()], pa.int64()), "sums": pa.array([x[1].tobytes() for x in kept.values()], pa.binary())})
 
-    for number in range(plan.rounds):
+    for number in range(plan.last + 1):
         shared = spark.sparkContext.broadcast((v, weights, sums))  # bounded by FREQUENT, HEAD and HIDDEN
 
         def replica(batches, shared=shared):

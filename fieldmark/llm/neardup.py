@@ -21,8 +21,9 @@ refute most of them, again for certain, before their texts are joined.
 Two sets with similarity 0.8 share no band with a probability of (1 - 0.8 ** ROWS) ** (SAMPLES / ROWS) = 4e-7.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; a text with fewer words than a
-shingle is one shingle of all its words; rows with the same id count as one document; an empty table gives an
-empty result; further columns are ignored.
+shingle is one shingle of all its words; rows with the same id count as one document; rows without an id take no
+part in links and are kept (where several ids have the very set of theirs, they show the component of those); a very long
+text is read whole, its set within one task; of equal sets and of a group the smallest id stays; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

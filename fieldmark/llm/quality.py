@@ -9,8 +9,11 @@ Rows whose crc32 of the id modulo 3 is 1 are held out: their labels aren't read.
 inputs of a score.
 
 Defined cases: a null text is the empty text, whose statistics are all 0; null labels aren't used; repeated rows
-count as often as they occur; without labels, or with one class only, every score is the smoothed share of label 1;
-an empty table gives an empty result.
+count as often as they occur; a row without an id isn't held out and has no label; a very long text is read whole, only
+the statistics of length stop to grow (``LONG``); of equally good splits the first by statistic and threshold is taken;
+without labels, or with one class only, every score is the smoothed share of label 1; an empty table gives an empty
+result. ``score`` and ``predicted`` take the place of columns of these names in a scored table; ``accepted`` keeps all
+columns as they are. Columns named like a statistic are neither read nor lost.
 """
 
 from __future__ import annotations

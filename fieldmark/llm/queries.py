@@ -114,6 +114,27 @@ def _spread_sql(steps: int) -> str:
     return ", ".join(parts)
 
 
+def _far_sql(steps: int) -> str:
+    """As _spread_sql, but what moves in a step is followed alone and summed in the end: with many steps no relation is written for each."""
+    parts = []
+    for name, links in (("trust", "SELECT src, dst, weight FROM links"), ("distrust", "SELECT dst AS src, src AS dst, weight FROM links")):
+        parts.append(f"""{name}_e AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM ({links}) q),
+{name}_m AS (SELECT 0 AS k, host, (1 - 0.85::DOUBLE) * {name} AS score FROM seeds WHERE {name} > 0 UNION ALL SELECT k + 1, dst, sum(0.85::DOUBLE * share * score) FROM {name}_m JOIN {name}_e ON src = host WHERE k < {steps} GROUP BY k + 1, dst),
+{name}_r AS (SELECT host, sum(score) AS score FROM {name}_m GROUP BY host)""")
+    return ", ".join(parts)
+
+
+#: Pages with their host, path and the longest rule that fits.
+JUDGED_SQL = f"""p AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+j AS (SELECT *, CASE WHEN '.' || host LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/' WHEN '.' || host LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN '.' || host LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN '.' || host LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+r AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM j)"""
+#: Links to other hosts by the html of pages.
+LINKS_SQL = f"""h AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*["'']?((?:https?:)?//[^\\s"''<>]+)', 1)) AS link FROM p),
+l AS (SELECT src, translate(regexp_extract(link, '//([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS dst FROM h),
+links AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)"""
+
+
 #: CRC-32 of a text of ASCII characters, x.
 CRC32_SQL = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(x, ''), lambda s: ord(s)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
 
@@ -219,6 +240,12 @@ links AS (SELECT a.host AS src, b.host AS dst, CAST(count(*) AS DOUBLE) AS weigh
 {_spread_sql(8)}
 SELECT s.host, round(coalesce(t.score, 0), 9) AS trust, round(coalesce(d.score, 0), 9) AS distrust, CASE WHEN coalesce(d.score, 0) - coalesce(t.score, 0) >= 0.075 THEN 'block' ELSE 'allow' END AS host_verdict
 FROM seeds s LEFT JOIN trust_8 t ON t.host = s.host LEFT JOIN distrust_8 d ON d.host = s.host""",
+    "op6_url_filters": f"""
+WITH RECURSIVE {JUDGED_SQL}, {LINKS_SQL},
+seeds AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS trust, avg(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS distrust FROM r WHERE host <> '' GROUP BY host),
+{_far_sql(60)},
+v AS (SELECT host, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust FROM seeds LEFT JOIN trust_r t USING (host) LEFT JOIN distrust_r d USING (host))
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN distrust - trust >= 0.5 * (1 - 0.85::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust FROM r LEFT JOIN v ON v.host = r.host""",
     "op7_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM p)

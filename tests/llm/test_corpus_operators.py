@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -100,6 +101,18 @@ def test_confirm_with_nulls(spark):
     assert {tuple(r) for r in neardup.confirm(pairs, docs, 4, 80).collect()} == {(1, 2)}
 
 
+def test_rows_without_an_id_take_no_part_in_links(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    docs = frame(spark, [text, near, text, near, None, "alone here"], ids=[4, 7, None, None, None, 9])
+    got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, words=5).collect())
+    assert got == [("4", 4, True), ("7", 4, False), ("9", 9, True), ("None", None, True), ("None", None, True), ("None", None, True)]
+    # several ids with the set of a row without one: it shows their component
+    docs = frame(spark, [text, text, text], ids=[4, 5, None])
+    got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, words=5).collect())
+    assert got == [("4", 4, True), ("5", 4, False), ("None", 4, True)]
+
+
 def test_leader_rounds_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(neardup, "COMPARED_PER_MEMBER", 0)
     texts = graded_copies(50, 3)
@@ -229,6 +242,67 @@ def test_statistics(spark):
     assert row["symbol_share"] == pytest.approx(1 / 23) and row["ends_per_word"] == pytest.approx(1 / 7) and row["distinct_runs"] == 1
 
 
+def plain_statistics(text):
+    """Statistics of one text by loops over its characters, lines and words."""
+    text = text or ""
+    w, lines = words(text), [x for x in text.split("\n") if x]
+    n, runs = max(1, len(text)), [tuple(w[i : i + quality.RUN]) for i in range(len(w) - quality.RUN + 1)]
+    share = lambda told: sum(map(told, text)) / n
+    return {
+        "chars_log": math.log1p(min(len(text), 6 * quality.LONG)), "words_log": math.log1p(min(len(w), quality.LONG)), "word_length": len(text) / max(1, len(w)),
+        "symbol_share": share(lambda c: c in quality.SYMBOLS), "point_share": share(lambda c: c in quality.POINTS), "digit_share": share(lambda c: c in "0123456789"),
+        "upper_share": share(lambda c: unicodedata.category(c) == "Lu"), "exclaim_share": share(lambda c: c == "!"), "distinct_runs": len(set(runs)) / max(1, len(w) - quality.RUN + 1),
+        "distinct_lines": len(set(lines)) / max(1, len(lines)), "words_per_line": len(w) / max(1, len(lines)), "ends_per_word": sum(c in ".?" for c in text) / max(1, len(w)),
+        "repeat_share": sum(a == b for a, b in zip(w, w[1:])) / max(1, len(w)),
+    }
+
+
+def test_quality_scores_of_a_plain_version_over_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    odd = [*ODD, "\n\nA\n\nA", "x|y<z>{}[]\\@/ \u00c9\u00c8 \U0001d400 12,5!?", "a a A b B c " * 400, "one\x0btwo\x1fthree\u00a0four"]
+    told = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(50_000 + i, t) for i, t in enumerate(odd)]
+    rows = quality.with_statistics(spark.createDataFrame(told, "doc_id long, text string")).withColumn("s", model.column()).collect()
+    assert len(rows) == len(told) and model.rules
+    texts = dict(told)
+    for r in rows:
+        want = plain_statistics(texts[r["doc_id"]])
+        assert list(want) == list(quality.STATISTICS) and {k: r[k] for k in want} == pytest.approx(want, rel=1e-12), r["doc_id"]
+        x = [r[k] for k in quality.STATISTICS]
+        z = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if all(x[i] > t if above else x[i] <= t for i, t, above in rule))
+        assert r["s"] == pytest.approx(1 / (1 + math.exp(-z)))
+    # the registered query gives these scores
+    scores = {r["doc_id"]: r["s"] for r in rows}
+    assert all(r["score"] == pytest.approx(scores[r["doc_id"]]) for r in queries.op5_quality(spark, sf).collect())
+
+
+def test_lasso_weights_are_where_the_penalised_loss_is_least(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    learned = labels.where("quality IS NOT NULL").select("doc_id", "quality").join(docs.select("doc_id", "text"), "doc_id").where(~quality.held_out(quality.F.col("doc_id")))
+    rows = quality.with_statistics(learned).select("quality", *quality.STATISTICS).collect()
+    x, y = np.array([r[1:] for r in rows]), np.array([r[0] for r in rows])
+    error = model.score(x) - y
+    assert len(model.weights) > 3 and abs(error.mean()) < 1e-3
+    # at the least, the slope for each kept rule, scaled by its deviation, is the penalty against the weight's sign
+    for rule, weight in zip(model.rules, model.weights):
+        inside = quality.holds(rule, x).astype(float)
+        slope = (error * (inside - inside.mean())).mean() / max(inside.std(), 0.02)
+        assert -slope * np.sign(weight) == pytest.approx(quality.PENALTY, rel=0.05)
+
+
+def test_quality_keeps_columns_named_like_its_own(spark):
+    docs = frame(spark, ODD).withColumn("words_log", quality.F.lit("mine")).withColumn("predicted", quality.F.lit("mine"))
+    model = quality.RuleEnsemble(1.0, (((1, 0.5, True),),), (0.5,))
+    assert quality.accepted(docs, model).columns == docs.columns
+    assert {(r["words_log"], r["predicted"]) for r in quality.accepted(docs, model).collect()} == {("mine", "mine")}
+    scored = quality.score(docs, model)
+    assert {r["words_log"] for r in scored.collect()} == {"mine"} and scored.columns.count("predicted") == 1
+    assert {r["predicted"] for r in scored.collect()} == {1}
+
+
 def test_quality_edges(spark):
     labels = "doc_id long, quality int, toxic int"
     docs = frame(spark, ODD)
@@ -420,6 +494,29 @@ def test_codes_and_chunks(monkeypatch):
     assert [grulm.Rounds.of(n) for n in (0, 10**5, 10**8)] == [grulm.Rounds(1, 1), grulm.Rounds(1, 1), grulm.Rounds(12, 6)]
 
 
+def test_rounds_are_bounded_at_any_size():
+    for n in (10**8, 10**9, 1_500_000_000, 3 * 10**9, 10**10, 10**12, 2 * 10**13):
+        plan = grulm.Rounds.of(n)
+        unit = n / plan.replicas / (2**plan.rounds - 1 + plan.further * 2 ** (plan.rounds - 1))
+        assert unit * 2 ** (plan.rounds - 1) <= grulm.ROUND_TOKENS and grulm.FIRST_TOKENS / 2 <= unit <= 2 * grulm.FIRST_TOKENS
+    assert grulm.Rounds.of(10**9).further == 0 and grulm.Rounds.of(2 * 10**13).further > 100
+
+
+def test_rows_of_further_rounds(spark, monkeypatch):
+    plan = grulm.Rounds(1, 3, 2)
+    got = spark.range(60_000).select(plan.round(grulm.F.xxhash64("id")).alias("r")).groupBy("r").count().collect()
+    share = {r["r"]: r["count"] / 60_000 for r in got}
+    assert [share[i] for i in range(5)] == pytest.approx([x / 15 for x in (1, 2, 4, 4, 4)], abs=0.01) and len(share) == 5
+    # a model of such rounds has learned
+    monkeypatch.setattr(grulm, "FIRST_TOKENS", 10_000)
+    monkeypatch.setattr(grulm, "ROUND_TOKENS", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = grulm.log_likelihoods(docs).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(rows) == 1000 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert grulm.Rounds.of(rows[0]["train_tokens"]).further > 0
+
+
 def test_language_model_edges(spark):
     assert grulm.log_likelihoods(frame(spark, [])).count() == 0
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
