@@ -286,11 +286,11 @@ def test_lasso_weights_are_where_the_penalised_loss_is_least(spark):
     x, y = np.array([r[1:] for r in rows]), np.array([r[0] for r in rows])
     error = model.score(x) - y
     assert len(model.weights) > 3 and abs(error.mean()) < 1e-3
-    # at the least, the slope for each kept rule, scaled by its deviation, is the penalty against the weight's sign
+    # at the least, the slope for each kept rule, scaled by its deviation, is the penalty against the weight's sign; the steps end within a tenth of it
     for rule, weight in zip(model.rules, model.weights):
         inside = quality.holds(rule, x).astype(float)
         slope = (error * (inside - inside.mean())).mean() / max(inside.std(), 0.02)
-        assert -slope * np.sign(weight) == pytest.approx(quality.PENALTY, rel=0.05)
+        assert -slope * np.sign(weight) == pytest.approx(quality.PENALTY, rel=0.1)
 
 
 def test_quality_keeps_columns_named_like_its_own(spark):
