@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's docs. All but the last return the columns of documents. A stage works on all rows that the one before
 kept; a null text is kept as long as no stage's rule speaks against it.
+
+Defined cases: a null text and an empty one have statistics of 0, no shingles, no personal data and no tokens; a row
+without an id is judged by its text in the first stage, is kept by the two that remove by id, and goes through the last
+two like any other; very long texts are read whole in every stage; of a group of near-duplicates the smallest id stays,
+and of equal rows of one id one; an empty table gives an empty result. Further columns pass through all stages but the
+last, whatever their names; the last one returns its own columns with lang and source.
 """
 
 from __future__ import annotations
