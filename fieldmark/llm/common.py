@@ -99,6 +99,25 @@ def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Has Spark delete an execution's shuffle files at its end; else they stay until the driver's garbage collection.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession):
+    """Meanwhile the shuffle files of each write or action go once it has ended, as tables keep what it made.
+
+    A lost executor's part is made again as ever: files go only after the last task. An action on the same frame twice
+    makes its shuffles twice.
+    """
+    before = spark.conf.get(_SHUFFLES_GO, None)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLES_GO) if before is None else spark.conf.set(_SHUFFLES_GO, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

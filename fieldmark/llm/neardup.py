@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import drop_table, if_few_bytes, if_small, map_rows, materialize, of_ids, temporary
+from fieldmark.llm.common import drop_table, if_few_bytes, if_small, map_rows, materialize, of_ids, shuffles_go, temporary
 from fieldmark.llm.components import components
 
 SAMPLES, ROWS, BITS, SKETCH_CUT, WHOLE_BITS = 112, 4, 256, 0.5, 1024
@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # classes of several documents are few beside all; the others stand for themselves
     several = known.groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
     several = materialize(several, "classes")
-    with temporary(docs.sparkSession):
+    with temporary(docs.sparkSession), shuffles_go(docs.sparkSession):
         labels = materialize(_labels(docs, all_docs, several, words, percent), "labels", outer=True)
     named = several.select("class", "first")
     joined = all_docs.select("doc_id", "n_shingles", "class").join(if_small(named), "class", "left").withColumn("id", F.coalesce("first", "doc_id"))
