@@ -81,3 +81,13 @@ def test_few_small_pages_among_large_ones_and_odd_characters(spark):
     assert len(samples) == 31 and sum(map(len, samples)) <= warc.SAMPLE_BYTES
     assert len(warc.sample_records(pages_of(spark, 500, 900), rows=20)) == 20
     assert warc.sample_records(pages.limit(0)) == []
+
+
+def test_shuffle_cleanup_is_set_only_meanwhile(spark):
+    from fieldmark.llm.common import _SHUFFLES_GO, shuffles_go
+
+    before = spark.conf.get(_SHUFFLES_GO)
+    with pytest.raises(KeyError), shuffles_go(spark):
+        assert spark.conf.get(_SHUFFLES_GO) == "true"
+        raise KeyError
+    assert spark.conf.get(_SHUFFLES_GO) == before
