@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmark.functions.png import OtherForm, decode_png
 from fieldmark.schemas import ARABIC, CARD_KEYS, FIELDS
 
 MANIFEST = "map<string, struct<fields: map<string, string>, boxes: map<string, array<int>>>>"
@@ -24,6 +29,40 @@ def read_written_images(spark: SparkSession, path: str) -> DataFrame:
     return folders.select(F.col("name").cast("string").alias("name"), "image")
 
 
+#: Images that a task holds decoded at a time.
+SCANNED = 64
+
+
+def scan_images(files: DataFrame, look: Callable[[list[np.ndarray | None]], pa.Array] | None = None, kind: str = "boolean") -> DataFrame:
+    """name, image of rows of PNG files (name, content): height, width, nChannels, and found, what ``look`` makes of the pixels.
+
+    Many images are rows of a table, not files of their own, each of which costs more than its bytes. They are decoded
+    where ``look`` needs them (height x width x channels, red first), and no pixels leave a task. As in the image source, one
+    that can't be decoded, or a null, has a height and width of -1; ``look`` meets None for it. Checksums are tested, so
+    one whose end is missing isn't decoded here, where the image source gives what is left. Images that numpy doesn't decode
+    though they may be sound (JPEG, GIF, BMP; palettes, interlace, 16 bits) are an error when they are met: read_images decodes these.
+    """
+    def decoded(name: str, content: bytes | None) -> np.ndarray | None:
+        try:
+            image = decode_png(content or b"")
+        except OtherForm as error:
+            raise ValueError(f"{name}: {error}") from error
+        except ValueError:
+            return None
+        return image.samples.reshape(image.height, image.width, image.channels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCANNED):
+                some = batch.slice(at, SCANNED)
+                pages = [decoded(n.as_py(), c.as_py()) for n, c in zip(some.column("name"), some.column("content"))]
+                sides = [pa.array([p.shape[i] if p is not None else -1 for p in pages], pa.int32()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([some.column("name"), *sides, look(pages) if look else pa.nulls(len(pages), pa.bool_())], ["name", "height", "width", "nChannels", "found"])
+
+    rows = files.select("name", "content").mapInArrow(run, f"name string, height int, width int, nChannels int, found {kind}")
+    return rows.select("name", F.struct("height", "width", "nChannels", "found").alias("image"))
+
+
 def readable(images: DataFrame) -> DataFrame:
     return images.where("image.width > 0")
 

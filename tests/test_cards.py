@@ -1,9 +1,12 @@
 """Cards as images: drawn, written as files, read back by the image source and found in pixels."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from fieldmark.schemas import CARD_KEYS, FIELDS
 from fieldmark.sources import cards, readers, writers
 
@@ -66,3 +69,47 @@ def test_nothing_stays_after_the_session(spark):
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     assert system.exists(at) and system.cancelDeleteOnExit(at)
     system.delete(at, True)
+
+
+def test_rows_are_scanned_as_files_are(spark, tmp_path):
+    grey = np.add.outer(np.arange(40) // 7, np.arange(60) % 3).astype(np.uint8)
+    good = cards.png(grey)
+    rows = [("a.png", bytearray(good)), ("b.png", bytearray(good[:45])), ("c.png", None), ("d.png", bytearray(b"hello")), ("e.png", bytearray(good[:20]))]
+    files = spark.createDataFrame(rows, "name string, content binary")
+    for name, content in rows:
+        (tmp_path / name).write_bytes(bytes(content or b"\n"))  # the image source leaves out files of no bytes
+    size = lambda df: sorted(tuple(r) for r in df.select("name", "image.width", "image.height", "image.nChannels").where("width > 0").collect())
+    scanned, read = readers.scan_images(files), readers.read_images(spark, str(tmp_path))
+    assert size(scanned) == size(read) == [("a.png", 60, 40, 1)]
+    assert {r["name"] for r in readers.rejects(scanned).collect()} == {r["name"] for r in readers.rejects(read).collect()} == {"b.png", "c.png", "d.png", "e.png"}
+    assert bytes(readers.readable(read).select("image.data").first()[0]) == grey.tobytes()
+    # stricter than the image source, which gives an image whose end is missing
+    (tmp_path / "a.png").write_bytes(good[:-20])
+    cut = spark.createDataFrame([("a.png", bytearray(good[:-20]))], "name string, content binary")
+    assert size(readers.read_images(spark, str(tmp_path))) and [r[0] for r in readers.rejects(readers.scan_images(cut)).collect()] == ["a.png"]
+    with pytest.raises(Exception, match="x.gif: not a PNG"):
+        readers.scan_images(spark.createDataFrame([("x.gif", bytearray(b"GIF89a"))], "name string, content binary")).collect()
+
+
+def test_boxes_of_rows_are_those_of_files(spark, tmp_path):
+    drawn = cards.draw_cards(frame(spark)).select(F.col("image").alias("name"), "content")
+    writers.write_files(drawn, str(tmp_path / "cards"))
+    by_file = {r["name"]: r["found"] for r in cards.found_boxes(readers.read_written_images(spark, str(tmp_path / "cards"))).collect()}
+    assert {r["name"]: r["image"]["found"] for r in cards.scan_boxes(drawn).collect()} == by_file and len(by_file) == len(VALUES)
+
+
+@pytest.mark.parametrize("name", ["image_scan", "image_rejects"])
+def test_no_file_for_each_image(spark, sf, monkeypatch, name):
+    """Each file and folder costs milliseconds, so many images are rows of few files."""
+    made, passing = [], writers.passing
+    monkeypatch.setattr(writers, "passing", lambda *a: made.append(passing(*a)) or made[-1])
+    entry.queries()[name](spark, sf).collect()
+    files = [f for p in made for _, _, found in os.walk(p.removeprefix("file:").replace("///", "/")) for f in found]
+    assert 0 < len(files) < 60 and spark.read.parquet(f"{sf}/customer.parquet").count() > 100
+
+
+def test_width_of_odd_texts(spark):
+    texts = ["", " ", "a-b.c", "W W", "😀é", "il1|MW%"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cards.printed_width(F.col("t"))).collect()
+    widths = {t: sum(7 if c in cards.NARROW else 17 if c in cards.WIDE else 12 for c in t) + 2 * len(t) - 2 for t in texts}
+    assert {r[0]: r[1] for r in got} == widths
