@@ -38,10 +38,10 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +55,8 @@ RATE, CLIP = 0.25, 1.0
 #: There are sqrt(tokens / REPLICA_TOKENS) replicas; the first round has about FIRST_TOKENS for each, none about more than ROUND_TOKENS.
 REPLICA_TOKENS, FIRST_TOKENS, ROUND_TOKENS = 750_000, 200_000, 20_000_000
 COUNTER_WORDS, BLOCKS = 300_000, 32
+#: Least scores lie so far below a bound on them at most, for exponentials that keep their precision in 32 bits.
+SAFE = 60.0
 #: The end and FREQUENT words have the codes below this; from here on, codes are classes of other words.
 RARE = FREQUENT + 1
 
@@ -84,8 +86,20 @@ class SuffixClasses(dict):
 _suffix_classes = SuffixClasses()
 
 
-def classes_of(words: list[bytes]) -> list[int]:
-    return list(map(_suffix_classes.__getitem__, [w[-SUFFIX:] for w in words]))
+def classes_of(words: pa.Array) -> np.ndarray:
+    """The class of each word, by its distinct suffixes."""
+    suffixes = pc.binary_slice(words.cast(pa.binary()), -SUFFIX).dictionary_encode()
+    return np.array(list(map(_suffix_classes.__getitem__, suffixes.dictionary.to_pylist())), np.int32)[suffixes.indices.to_numpy()]
+
+
+def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, as words_of gives them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    # blanks around a text leave empty words there
+    there = pc.not_equal(words, "")
+    kept = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[ends]
+    return words.filter(there), np.diff(kept)
 
 
 # ---- counts ---------------------------------------------------------------------------------------------------
@@ -98,17 +112,19 @@ def count_words(training: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def flush():
-            words = list(seen)
-            rows = {"word": pa.array(words, pa.binary()).cast(pa.string()), "class": pa.array(classes_of(words), pa.int32()), "n": pa.array(list(seen.values()), pa.int64())}
+            words = pa.array(list(seen), pa.string())
+            rows = {"word": words, "class": classes_of(words), "n": pa.array(list(seen.values()), pa.int64())}
             seen.clear()
             return pa.RecordBatch.from_pydict(rows)
 
         for batch in small_batches(5000, "text")(batches):
-            for t in batch.column("text"):
-                seen.update(words_of(t.as_py()))
-                seen[b""] += 1
-                if len(seen) >= COUNTER_WORDS:
-                    yield flush()
+            words, lengths = word_lists(batch.column("text"))
+            met = words.value_counts()
+            for word, n in zip(met.field("values").to_pylist(), met.field("counts").to_pylist()):
+                seen[word] += n
+            seen[""] += len(lengths)
+            if len(seen) >= COUNTER_WORDS:
+                yield flush()
         if seen:
             yield flush()
 
@@ -116,14 +132,6 @@ def count_words(training: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n"))
 
 
-class Lookup(dict):
-    """Word to index; a word that isn't there is -1 and is noted in ``rare``, all in one pass over a text."""
-
-    def __missing__(self, word: bytes) -> int:
-        self.rare.append(word)
-        return -1
-
-
 @dataclass
 class Vocabulary:
     """What every worker knows: the frequent words in order, their counts, and totals of all words and of each class's rest."""
@@ -137,7 +145,7 @@ class Vocabulary:
     classes: np.ndarray = field(init=False)
     units: np.ndarray = field(init=False)
     sizes: np.ndarray = field(init=False)
-    index: Lookup = field(init=False, repr=False)
+    known: pa.Array = field(init=False, repr=False)
 
     def __post_init__(self):
         self.head = min(HEAD, len(self.words))
@@ -150,7 +158,7 @@ class Vocabulary:
             self.units[i] = next_unit[c] if i < self.head else self.sizes[c] - 1
             next_unit[c] += i < self.head
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.index = Lookup({w: i for i, w in enumerate(self.words) if i})
+        self.known = pa.array(self.words[1:], pa.binary()).cast(pa.string())
         self.rest_log = np.log10(self.rest_tokens + 0.5 * (self.rest_words + 1))
         self.base_log = float(np.log10(self.tokens + 0.5 * (self.distinct + 1)))
         self.count_log = np.log10(self.counts + 0.5)
@@ -238,46 +246,62 @@ def run_window(p: Weights, state: np.ndarray, inputs: np.ndarray, keep: np.ndarr
     return after, before, gates, fresh, inner
 
 
-def _picked(x: np.ndarray, which: np.ndarray, all_of_them: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Logits with a column for each token: the log-probability of the row picked in each, and all probabilities (in x) if wanted."""
-    x -= x.max(axis=0)
-    found = x[which, np.arange(x.shape[1])]
+def _picked(table: np.ndarray, between: tuple[float, float], states: np.ndarray, which: np.ndarray, grads: np.ndarray | None, back: np.ndarray | None) -> np.ndarray:
+    """Log-probability of the row of ``table`` picked for each state, by a softmax over its rows; adds to the gradients if wanted.
+
+    table and states have a last column more, the biases and ones. The largest score of any state lies between ``between``,
+    from high to low; where these are near enough, all are shifted by the first, in the biases, instead of by each state's largest.
+    """
+    high, low = between
+    if high - low < SAFE:
+        table = np.concatenate([table[:, :-1], table[:, -1:] - high], axis=1)
+    x = table @ states.T
+    if high - low >= SAFE:
+        x -= x.max(axis=0)
+    at = np.arange(len(states))
+    found = x[which, at]
     np.exp(x, out=x)
     total = x.sum(axis=0)
-    if all_of_them:
-        x /= total
-    return found - np.log(total), x if all_of_them else None
+    if grads is not None:
+        # probabilities less one for the picked are x / total; the few columns of states and back are divided instead
+        x[which, at] -= total
+        each = np.reciprocal(total)[:, None]
+        grads += x @ (states * each)
+        back += (x.T @ table[:, :-1]) * each
+    return found - np.log(total)
 
 
 def outputs(p: Weights, offsets: np.ndarray, states: np.ndarray, classes: np.ndarray, units: np.ndarray, grads: Weights | None = None):
     """Natural log of each token's class and unit probability; with grads, adds to them and returns the states' gradient too."""
     order = np.argsort(classes.astype(np.int8), kind="stable")
-    states, classes, units = states.take(order, axis=0), classes[order], units[order]
-    found, g = _picked(p["C"].T @ states.T + p["c"][:, None], classes, grads is not None)
-    back = None
+    wide = np.ones((len(states), states.shape[1] + 1), states.dtype)
+    wide[:, :-1] = states.take(order, axis=0)
+    classes, units = classes[order], units[order]
+    of_classes, of_units = np.column_stack([p["C"].T, p["c"]]), np.column_stack([p["W"], p["w"]])
+    # states lie between -1 and 1
+    around = [(x[:, -1], np.abs(x[:, :-1]).sum(axis=1)) for x in (of_classes, of_units)]
+    of_class = [float((bias + sign * most).max()) for bias, most in around[:1] for sign in (1, -1)]
+    of_unit = [np.maximum.reduceat(bias + sign * most, offsets[:-1]).tolist() for bias, most in around[1:] for sign in (1, -1)]
+    back = by_classes = by_units = None
     if grads is not None:
-        g[classes, np.arange(len(states))] -= 1
-        grads["C"] += (g @ states).T
-        grads["c"] += g.sum(axis=1)
-        back = (p["C"] @ g).T
+        back, by_classes, by_units = np.zeros_like(states), np.zeros_like(of_classes), np.zeros_like(of_units)
+    found = _picked(of_classes, tuple(of_class), wide, classes, by_classes, back)
     start = 0
     for c, end in enumerate(np.cumsum(np.bincount(classes, minlength=CLASSES)).tolist()):
         if end == start:
             continue
-        o, s, k = slice(offsets[c], offsets[c + 1]), states[start:end], units[start:end]
-        inside, g = _picked(p["W"][o] @ s.T + p["w"][o, None], k, grads is not None)
-        found[start:end] += inside
-        if grads is not None:
-            g[k, np.arange(end - start)] -= 1
-            grads["W"][o] += g @ s
-            grads["w"][o] += g.sum(axis=1)
-            back[start:end] += g.T @ p["W"][o]
+        o, r = slice(offsets[c], offsets[c + 1]), slice(start, end)
+        found[r] += _picked(of_units[o], (of_unit[0][c], of_unit[1][c]), wide[r], units[r], None if grads is None else by_units[o], None if grads is None else back[r])
         start = end
     in_order = np.empty_like(found)
     in_order[order] = found
     if grads is None:
         return in_order, None
-    back_in_order = np.empty_like(states)
+    grads["C"] += by_classes[:, :-1].T
+    grads["c"] += by_classes[:, -1]
+    grads["W"] += by_units[:, :-1]
+    grads["w"] += by_units[:, -1]
+    back_in_order = np.empty_like(back)
     back_in_order[order] = back
     return in_order, back_in_order
 
@@ -364,21 +388,27 @@ class Coded:
 
     codes: np.ndarray
     lengths: np.ndarray
-    rare: list[list[bytes]]
+    others: pa.ListArray
 
-
-def coded(texts: list[str | None], v: Vocabulary) -> Coded:
-    look, parts, rare = v.index.__getitem__, [], []
-    end = np.zeros(1, np.int32)
-    for text in texts:
-        words = words_of(text)
-        v.index.rare = []
-        parts += [np.fromiter(map(look, words), np.int32, len(words)), end]
-        rare.append(v.index.rare)
-    codes = np.concatenate(parts)
-    lengths = np.array([len(p) for p in parts], np.int64).reshape(-1, 2).sum(axis=1)
-    codes[codes < 0] = RARE + np.array(classes_of(list(chain.from_iterable(rare))), np.int32)
-    return Coded(codes.astype(np.uint16), lengths, rare)
+    @property
+    def rare(self) -> list[list[bytes]]:
+        return [[w.encode() for w in words] for words in self.others.to_pylist()]
+
+
+def coded(texts: pa.Array | list[str | None], v: Vocabulary) -> Coded:
+    words, n = word_lists(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    found = pc.index_in(words, value_set=v.known.cast(words.type))
+    rest = found.is_null()
+    index = pc.add(found, 1).fill_null(0).to_numpy().astype(np.uint16)
+    others, unknown = words.filter(rest), rest.to_numpy(zero_copy_only=False)
+    index[unknown] = RARE + classes_of(others)
+    lengths = n.astype(np.int64) + 1
+    codes, ends = np.zeros(len(words) + len(n), np.uint16), np.cumsum(lengths) - 1
+    own = np.ones(len(codes), bool)
+    own[ends] = False
+    codes[own] = index
+    to = np.concatenate([[0], np.cumsum(unknown)])[np.concatenate([[0], np.cumsum(n)]).astype(np.int64)]
+    return Coded(codes, lengths, pa.ListArray.from_arrays(pa.array(to, pa.int32()), others.cast(pa.string())))
 
 
 def tokens_from(codes: np.ndarray, lengths: np.ndarray, v: Vocabulary) -> Tokens:
@@ -562,7 +592,7 @@ def encode(docs: DataFrame, v: Vocabulary, plan: Rounds) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> dict:
             nonlocal row
-            c = coded(batch.column("text").to_pylist(), v)
+            c = coded(batch.column("text"), v)
             frequent = c.codes < RARE
             index = np.where(frequent, c.codes, 0)
             known = np.where(frequent, v.count_log[index], 0.0)  # other words' logs follow from the join
@@ -571,11 +601,9 @@ def encode(docs: DataFrame, v: Vocabulary, plan: Rounds) -> DataFrame:
             row += batch.num_rows
             bytes_at = np.append(at, len(c.codes)).astype(np.int32) * 2
             codes = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(bytes_at), pa.py_buffer(c.codes)])
-            words = pa.array(list(chain.from_iterable(c.rare)), pa.binary()).cast(pa.string())
-            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c.rare)]), pa.int32()), words)
             return {
                 "row": rows, "doc_id": batch.column("doc_id"), "n_tokens": c.lengths, "n_known": np.add.reduceat((frequent & (v.counts[index] > 0)).astype(np.int64), at),
-                "base": np.add.reduceat(known, at) - c.lengths * v.base_log, "codes": codes, "rare": rare,
+                "base": np.add.reduceat(known, at) - c.lengths * v.base_log, "codes": codes, "rare": c.others,
             }
 
         return work

@@ -622,3 +622,27 @@ def test_first_by_hash(spark):
     assert got == want == [r["id"] for r in first_by_hash(df, 50, "id", "k", of=5000).collect()]
     assert first_by_hash(df.limit(0), 5, "id").count() == 0 and first_by_hash(df.limit(7), 50, "id").count() == 7
     assert "<" in first_by_hash(df, 50, "id", "k")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_by_columns_are_those_by_texts():
+    texts = ["skipped", "", None, "  ", " A b\x0bC\x1cd\te f g  ", "É ÀB x\n\ny", "zz\u0085q \U0001f600 ab"]
+    words, n = grulm.word_lists(grulm.pa.array(texts).slice(1))
+    each = [grulm.words_of(t) for t in texts[1:]]
+    assert [w.encode() for w in words.to_pylist()] == sum(each, []) and n.tolist() == [len(e) for e in each]
+    assert grulm.classes_of(words).tolist() == [grulm.class_of(w) for w in sum(each, [])]
+
+
+@pytest.mark.parametrize("scale", [0.1, 30.0])
+def test_softmax_by_a_bound_and_by_the_largest(scale):
+    rng = np.random.default_rng(3)
+    table, states = rng.standard_normal((9, 5)) * scale, np.column_stack([rng.uniform(-1, 1, (20, 4)), np.ones(20)])
+    most, which = np.abs(table[:, :-1]).sum(axis=1), rng.integers(0, 9, 20)
+    between = tuple(float((table[:, -1] + sign * most).max()) for sign in (1, -1))
+    grads, back = np.zeros_like(table), np.zeros((20, 4))
+    found = grulm._picked(table, between, states, which, grads, back)
+    x = states @ table.T
+    x -= x.max(axis=1, keepdims=True)
+    p = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+    off = p - np.eye(9)[which]
+    assert (between[0] - between[1] < grulm.SAFE) == (scale < 1)
+    assert np.allclose(found, x[np.arange(20), which] - np.log(np.exp(x).sum(axis=1))) and np.allclose(grads, off.T @ states) and np.allclose(back, off @ table[:, :-1])
