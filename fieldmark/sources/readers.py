@@ -29,15 +29,11 @@ def read_written_images(spark: SparkSession, path: str) -> DataFrame:
     return folders.select(F.col("name").cast("string").alias("name"), "image")
 
 
-#: Images that a task holds decoded at a time.
-SCANNED = 64
-
-
-def scan_images(files: DataFrame, look: Callable[[list[np.ndarray | None]], pa.Array] | None = None, kind: str = "boolean") -> DataFrame:
+def scan_images(files: DataFrame, look: Callable[[Iterator[np.ndarray | None]], pa.Array] | None = None, kind: str = "boolean") -> DataFrame:
     """name, image of rows of PNG files (name, content): height, width, nChannels, and found, what ``look`` makes of the pixels.
 
     Many images are rows of a table, not files of their own, each of which costs more than its bytes. They are decoded
-    where ``look`` needs them (height x width x channels, red first), and no pixels leave a task. As in the image source, one
+    where ``look`` takes them, one after the other (height x width x channels, red first, not to be written to), and no pixels leave a task. As in the image source, one
     that can't be decoded, or a null, has a height and width of -1; ``look`` meets None for it. Checksums are tested, so
     one whose end is missing isn't decoded here, where the image source gives what is left. Images that numpy doesn't decode
     though they may be sound (JPEG, GIF, BMP; palettes, interlace, 16 bits) are an error when they are met: read_images decodes these.
@@ -53,11 +49,16 @@ def scan_images(files: DataFrame, look: Callable[[list[np.ndarray | None]], pa.A
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SCANNED):
-                some = batch.slice(at, SCANNED)
-                pages = [decoded(n.as_py(), c.as_py()) for n, c in zip(some.column("name"), some.column("content"))]
-                sides = [pa.array([p.shape[i] if p is not None else -1 for p in pages], pa.int32()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([some.column("name"), *sides, look(pages) if look else pa.nulls(len(pages), pa.bool_())], ["name", "height", "width", "nChannels", "found"])
+            sides: list[tuple[int, ...]] = []
+
+            def pages() -> Iterator[np.ndarray | None]:
+                for name, content in zip(batch.column("name"), batch.column("content")):
+                    page = decoded(name.as_py(), content.as_py())
+                    sides.append((-1, -1, -1) if page is None else page.shape)
+                    yield page
+
+            found = look(pages()) if look else pa.nulls(sum(1 for _ in pages()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("name"), *[pa.array([s[i] for s in sides], pa.int32()) for i in range(3)], found], ["name", "height", "width", "nChannels", "found"])
 
     rows = files.select("name", "content").mapInArrow(run, f"name string, height int, width int, nChannels int, found {kind}")
     return rows.select("name", F.struct("height", "width", "nChannels", "found").alias("image"))
@@ -101,11 +102,11 @@ def manifest_truth(manifest: DataFrame) -> DataFrame:
     return manifest.select("image", F.explode(F.array(*rows)).alias("r")).select("image", "r.*")
 
 
-def manifest_images(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """The manifest's images in the order of their names; one whose file is absent is an error when it is met."""
-    joined = manifest.select("image").join(images.withColumnRenamed("image", "pixels"), F.col("image") == F.col("name"), "left")
+def manifest_images(manifest: DataFrame, images: DataFrame, *keep: str) -> DataFrame:
+    """The manifest's images, with those of its columns that are to be kept; one whose file is absent is an error when it is met."""
+    joined = manifest.select("image", *keep).join(images.withColumnRenamed("image", "pixels"), F.col("image") == F.col("name"), "left")
     lost = F.raise_error(F.concat(F.lit("no file for "), F.col("image")))
-    return joined.where(F.when(F.col("name").isNull(), lost.cast("boolean")).otherwise(True)).select("image", "pixels")
+    return joined.where(F.when(F.col("name").isNull(), lost.cast("boolean")).otherwise(True)).select("image", *keep, "pixels")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

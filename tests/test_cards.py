@@ -3,10 +3,12 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from fieldmark.functions.png import decode_png
 from fieldmark.schemas import CARD_KEYS, FIELDS
 from fieldmark.sources import cards, readers, writers
 
@@ -108,6 +110,63 @@ def test_no_file_for_each_image(spark, sf, monkeypatch, name):
     assert 0 < len(files) < 60 and spark.read.parquet(f"{sf}/customer.parquet").count() > 100
 
 
+def plain_page(card, layout):
+    """A card painted value by value over a whole page, with no line drawn once for others."""
+    page = np.full((layout.height, layout.width), layout.paper, np.uint8)
+    page[: layout.head] = layout.ink
+    for f, y in layout.rows().items():
+        for a, b in cards._runs(card.get(f"{f}_ar") or ""):
+            page[y : y + layout.glyph, max(0, layout.right - b) : max(0, layout.right - a)] = layout.ink + 60
+        for a, b in cards._runs((card.get(f) or "").rstrip(" ")):
+            page[y : y + layout.glyph, layout.left + a : layout.left + b] = layout.ink
+    return page
+
+
+def test_pages_are_drawn_line_by_line():
+    """A page's pixels cost far more than its few different lines, so that no page is painted to be written."""
+    layouts = [cards.Layout(), cards.Layout(row=10), cards.Layout(head=120), cards.Layout(width=333, height=201), cards.Layout(top=300), cards.Layout(glyph=50, row=30), cards.Layout(right=160)]
+    for i in range(70):
+        card = {key: VALUES[(i * 7 + k) % len(VALUES)] if not key.endswith("_ar") else ["عماني", None, "ع" * 80][i % 3] for k, key in enumerate(CARD_KEYS)}
+        layout = layouts[i % len(layouts)]
+        page, written = plain_page(card, layout), cards.png_of_lines(cards.drawn_lines(card, layout), layout.width)
+        image = decode_png(written)  # tests all checksums
+        assert (cards.drawn(card, layout) == page).all() and (image.samples == page).all() and (decode_png(cards.png(page)).samples == page).all()
+        assert cards.boxes_in(image.samples, layout) == cards.boxes_in(page, layout)
+    assert len(cards.drawn_lines(dict.fromkeys(CARD_KEYS, "A"))) <= 2 * len(FIELDS) + 2
+
+
+def test_boxes_of_pages_of_other_sizes():
+    page = cards.drawn({"full_name": "JO", "sex": "M"})
+    whole = cards.boxes_in(page)
+    assert set(whole) == {"full_name", "sex"}
+    assert [set(cards.boxes_in(page[:h, :w])) for h, w in ((0, 0), (330, 0), (0, 640), (330, 150), (60, 640), (120, 640))] == [set()] * 5 + [{"full_name"}]
+    large = np.full((700, 901), 244, np.uint8)
+    large[:330, :640] = page
+    assert cards.boxes_in(large) == whole
+    # part of a value's first and last rows and columns only
+    dots = np.full((330, 640), 244, np.uint8)
+    for y, x in ((72, 639), (80, 200), (87, 151)):
+        dots[y, x] = 18
+    assert cards.boxes_in(dots) == {"full_name": [147, 68, 644, 92]}
+
+
+def test_pages_are_scanned_one_after_the_other(spark):
+    """No batch of decoded pages is held: what looks at them gets each when it asks for it."""
+    files = spark.createDataFrame([(f"{i}", bytearray(cards.png(np.full((2, 3), i, np.uint8)))) for i in range(5)] + [("x", None)], "name string, content binary").coalesce(1)
+
+    def look(pages):
+        assert not hasattr(pages, "__len__")
+        return pa.array([None if p is None else int(p[0, 0, 0]) for p in pages], pa.int32())
+
+    rows = {r["name"]: (r["image"]["width"], r["image"]["found"]) for r in readers.scan_images(files, look, "int").collect()}
+    assert rows == {str(i): (3, i) for i in range(5)} | {"x": (-1, None)}
+
+
+def test_manifest_and_images_meet_once(spark, sf):
+    plan = entry.queries()["image_scan"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_width_of_odd_texts(spark):
     texts = ["", " ", "a-b.c", "W W", "😀é", "il1|MW%"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cards.printed_width(F.col("t"))).collect()
